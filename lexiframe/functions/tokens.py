@@ -66,15 +66,13 @@ def doc_tokens(text: Column, is_stop) -> Column:
 
     def describe(t: Column, i: Column) -> Column:
         lower = F.lower(t["text"])
-        alpha = is_alpha(t["text"])
-        stop = F.when(alpha, is_stop(lower))
         return F.struct(
             i.alias("tok_id"),
             t["sent_id"].alias("sent_id"),
             t["text"].alias("text"),
             lower.alias("lower"),
-            alpha.alias("is_alpha"),
-            F.coalesce(stop, F.lit(False)).alias("is_stop"),
+            is_alpha(t["text"]).alias("is_alpha"),
+            is_stop(lower).alias("is_stop"),
         )
 
     return F.transform(F.flatten(nested), describe)
