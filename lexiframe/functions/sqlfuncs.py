@@ -1,18 +1,85 @@
-"""SQL names for the column functions. Their bodies are expressions, so plans stay in Catalyst."""
+"""SQL names for column functions. The bodies are SQL, so plans stay in Catalyst."""
 
 from __future__ import annotations
 
+from collections.abc import Mapping
+
 from pyspark.sql import SparkSession
-from pyspark.sql import functions as F
-
-from lexiframe.functions import cells, normalize, vectors
-
-BODIES = {
-    "normalize_text": ("c STRING", "STRING", lambda: normalize.normalize_text(F.col("c"))),
-    "strip_html": ("c STRING", "STRING", lambda: normalize.strip_html(F.col("c"))),
-    "expand_chat_words": ("c STRING", "STRING", lambda: normalize.expand_chat_words(F.col("c"))),
-    "is_valid_header": ("c ARRAY<STRING>", "BOOLEAN", lambda: cells.is_valid_header(F.col("c"))),
-    "cosine": (
-        "a ARRAY<FLOAT>, b ARRAY<FLOAT>", "DOUBLE", lambda: vectors.cosine(F.col("a"), F.col("b"))
-    ),
-}
+
+from lexiframe.functions import cells, lexicons, normalize
+from lexiframe.functions.columns import RARE_WS, WS
+
+
+def _text(value: str) -> str:
+    return "'" + value.replace("\\", "\\\\").replace("'", "\\'") + "'"
+
+
+def _words(table: Mapping[str, str]) -> str:
+    return ", ".join(_text(w) for w in table)
+
+
+def _map(table: Mapping[str, str]) -> str:
+    return "map(" + ", ".join(f"{_text(k)}, {_text(v)}" for k, v in table.items()) + ")"
+
+
+def _replaced(word: str, key: str, table: Mapping[str, str]) -> str:
+    return f"if({key} in ({_words(table)}), element_at({_map(table)}, {key}), {word})"
+
+
+def bodies() -> dict[str, tuple[str, str, str]]:
+    """Name -> (parameters, result type, body)."""
+    ws_run, rare = _text(r"\s+"), _text(f"[{RARE_WS}]")
+    emoji = lexicons.emoji_names()
+    names = {chr(cp): f":{name.replace(' ', '_')}:" for cp, name in emoji.items()}
+    emoji_table = f"str_to_map({_text(chr(10).join(f'{k}{chr(9)}{v}' for k, v in names.items()))}, '\\n', '\\t')"
+    pieces = f"""transform(
+        regexp_extract_all(translate(c, {_text(normalize.EMOJI_GLUE)}, ''),
+                           {_text(normalize.EMOJI_PIECE)}, 0),
+        p -> coalesce(element_at({emoji_table}, p), p))"""
+    contraction = _replaced("p", "lower(translate(p, '’', \"'\"))", lexicons.contractions())
+    squeezed = f"trim(regexp_replace(regexp_replace(c, {rare}, ' '), {ws_run}, ' '))"
+    blank = f"(c is null or not c rlike {_text(f'[^{WS}]')})"
+    return {
+        "collapse_ws": ("c STRING", "STRING", squeezed),
+        "strip_html": ("c STRING", "STRING", f"regexp_replace(c, {_text(normalize.HTML_TAG)}, '')"),
+        "strip_urls": ("c STRING", "STRING", f"regexp_replace(c, {_text(normalize.URL)}, '')"),
+        "expand_contractions": (
+            "c STRING", "STRING",
+            f"array_join(transform(regexp_extract_all(c, {_text(normalize.CONTRACTION_PIECE)}, 0), p -> {contraction}), '')",
+        ),
+        "expand_chat_words": (
+            "c STRING", "STRING",
+            f"array_join(transform(split(collapse_ws(c), ' '), w -> {_replaced('w', 'upper(w)', lexicons.CHAT_WORDS)}), ' ')",
+        ),
+        "demojize": (
+            "c STRING", "STRING",
+            f"if(c rlike {_text(f'[{normalize.EMOJI_CLASS}]')}, array_join({pieces}, ''), c)",
+        ),
+        "normalize_text": (
+            "c STRING", "STRING",
+            "collapse_ws(translate(demojize(expand_chat_words(expand_contractions("
+            "strip_urls(strip_html(lower(c)))))), ':_\"\\'', '  '))",
+        ),
+        "is_valid_header": (
+            "cells ARRAY<STRING>", "BOOLEAN",
+            f"""size(filter(cells, c -> not {blank})) >= {cells.MIN_HEADER_CELLS}
+                and aggregate(filter(cells, c -> not {blank}), 0,
+                              (n, c) -> n + size(split({squeezed}, ' ')))
+                    <= size(filter(cells, c -> not {blank})) * {cells.MAX_HEADER_WORDS}""",
+        ),
+        "cosine": (
+            "a ARRAY<FLOAT>, b ARRAY<FLOAT>", "DOUBLE",
+            """aggregate(zip_with(a, b, (x, y) -> double(x) * double(y)), 0D, (s, x) -> s + x)
+               / nullif(sqrt(aggregate(a, 0D, (s, x) -> s + double(x) * double(x)))
+                        * sqrt(aggregate(b, 0D, (s, x) -> s + double(x) * double(x))), 0D)""",
+        ),
+    }
+
+
+def register_functions(spark: SparkSession) -> list[str]:
+    """Make the functions callable from SQL in this session; returns their names."""
+    made = []
+    for name, (params, kind, body) in bodies().items():
+        spark.sql(f"CREATE OR REPLACE TEMPORARY FUNCTION {name}({params}) RETURNS {kind} RETURN {body}")
+        made.append(name)
+    return made

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -30,6 +32,7 @@ def apply_settings(spark: SparkSession) -> SparkSession:
     """Set the runtime settings the operators rely on in a session somebody else made."""
     for key, value in SETTINGS.items():
         spark.conf.set(key, value)
+    ship_package(spark)
     return spark
 
 
@@ -60,3 +63,17 @@ def materialize(df: DataFrame, eager: bool = True) -> DataFrame:
     """Checkpoint to the shared folder: later reads see one fixed result and a short lineage."""
     scratch_root(df.sparkSession)
     return df.checkpoint(eager)
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Send this package to the Python workers, for functions that run there."""
+    context = spark.sparkContext
+    if getattr(context, "_lexiframe_shipped", False):
+        return
+    root = Path(__file__).resolve().parent
+    archive = Path(tempfile.mkdtemp(prefix="lexiframe-")) / "lexiframe-package.zip"
+    with zipfile.ZipFile(archive, "w") as out:
+        for source in sorted(root.rglob("*.py")):
+            out.write(source, Path("lexiframe") / source.relative_to(root))
+    context.addPyFile(str(archive))
+    context._lexiframe_shipped = True
