@@ -42,3 +42,11 @@ def is_blank(c: Column) -> Column:
 def word_count(c: Column) -> Column:
     """Number of whitespace-separated words."""
     return F.size(F.filter(F.split(c, f"[{WS}]+"), lambda w: w != ""))
+
+
+def round_binary(c: Column, digits: int) -> Column:
+    """Round the exact binary value, ties to even, as Python's ``round`` does.
+
+    Spark's ``round`` works on the shortest decimal text instead (2.175 becomes 2.18).
+    """
+    return F.translate(F.format_number(c, digits), ",", "").cast("double")

@@ -6,7 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from lexiframe.functions import tokens as T
-from lexiframe.functions.columns import let
+from lexiframe.functions.columns import let, round_binary
 
 # Separators and the texts for "nothing found", per mode.
 SEPARATOR = {"text": " , ", "column": " | "}
@@ -134,7 +134,7 @@ def keyword_counts(tokens: Column) -> Column:
         return F.struct(
             keys.alias("keywords"),
             stops.alias("stopwords"),
-            F.round(keys / (stops + 1), 2).alias("ratio"),
+            round_binary(keys / (stops + 1), 2).alias("ratio"),
         )
 
     return let(alpha(tokens), counted)
@@ -158,9 +158,9 @@ def readability_metrics(text: Column, tokens: Column) -> Column:
         per_sentence = F.coalesce(base["words"] / F.nullif(base["sents"], F.lit(0)), F.lit(0.0))
         per_word = F.coalesce(base["letters"] / F.nullif(base["words"], F.lit(0)), F.lit(0.0))
         return F.struct(
-            F.round(per_sentence, 2).alias("avg_sentence_length"),
-            F.round(per_word, 2).alias("avg_word_length"),
-            F.round(per_sentence * 0.6 + per_word * 0.4, 2).alias("complexity_score"),
+            round_binary(per_sentence, 2).alias("avg_sentence_length"),
+            round_binary(per_word, 2).alias("avg_word_length"),
+            round_binary(per_sentence * 0.6 + per_word * 0.4, 2).alias("complexity_score"),
         )
 
     def base(words: Column) -> Column:

@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from lexiframe.functions.columns import round_binary
 from lexiframe.operators.skew import facts_join, previous_value, running_index, running_sum
 
 # Gates and reporting step.
@@ -152,7 +153,7 @@ def status_changes(
 def job_duration(jobs: DataFrame, name: str = "total_time_taken") -> DataFrame:
     """Minutes from creation to completion, two digits."""
     micros = F.timestamp_diff("MICROSECOND", F.col("created_at"), F.col("completed_at"))
-    return jobs.withColumn(name, F.round(micros / 1_000_000 / 60, 2))
+    return jobs.withColumn(name, round_binary(micros / 1_000_000 / 60, 2))
 
 
 def dedupe_idempotent(

@@ -57,6 +57,11 @@ def collapsed(c: str) -> str:
     return f"trim(regexp_replace({c}, '[{WS}]+', ' ', 'g'))"
 
 
+def rounded(x: str, digits: int = 2) -> str:
+    """Correct rounding of the binary value, by way of its printed form."""
+    return f"CAST(format('{{:.{digits}f}}', {x}) AS DOUBLE)"
+
+
 NOISY_CASES = """CASE doc_id % 6
          WHEN 0 THEN concat('<p class="x">', text, '</p> BTW idk')
          WHEN 1 THEN concat(text, ' see https://x.io/', CAST(doc_id AS {string}), ' don''t')

@@ -15,6 +15,7 @@ from lexiframe.operators import hooks as H
 from lexiframe.operators import keyphrases as K
 from lexiframe.operators import linguistics as O
 from lexiframe.plans import sqltext as S
+from lexiframe.plans import toys
 from lexiframe.plans.registry import query, table
 
 
@@ -400,8 +401,8 @@ def _(spark, sf):
     return tokened(spark, sf).select("doc_id", F.explode(pairs).alias("pair"))
 
 
-RATIO = """SELECT d.doc_id, coalesce(k, 0)::BIGINT AS keywords, coalesce(s, 0)::BIGINT AS stopwords,
-      round(coalesce(k, 0) / (coalesce(s, 0) + 1), 2) AS ratio
+RATIO = f"""SELECT d.doc_id, coalesce(k, 0)::BIGINT AS keywords, coalesce(s, 0)::BIGINT AS stopwords,
+      {S.rounded('coalesce(k, 0) / (coalesce(s, 0) + 1)')} AS ratio
     FROM documents d LEFT JOIN (
       SELECT doc_id, count(*) FILTER (is_alpha AND NOT is_stop) AS k, count(*) FILTER (is_alpha AND is_stop) AS s
       FROM toks GROUP BY 1) c USING (doc_id)"""
@@ -450,8 +451,8 @@ def _(spark, sf):
       FROM documents d LEFT JOIN w USING (doc_id)),
     m AS (SELECT doc_id, CASE WHEN sents > 0 THEN words / sents ELSE 0.0 END AS a,
         CASE WHEN words > 0 THEN letters / words ELSE 0.0 END AS l FROM b)
-    SELECT doc_id, round(a, 2) AS avg_sentence_length, round(l, 2) AS avg_word_length,
-      round(a * 0.6::DOUBLE + l * 0.4::DOUBLE, 2) AS complexity_score FROM m""",
+    SELECT doc_id, {S.rounded('a::DOUBLE')} AS avg_sentence_length, {S.rounded('l::DOUBLE')} AS avg_word_length,
+      {S.rounded('a * 0.6::DOUBLE + l * 0.4::DOUBLE')} AS complexity_score FROM m""",
 )
 def _(spark, sf):
     metrics = L.readability_metrics(F.col("text"), toks())
@@ -623,7 +624,7 @@ def _(spark, sf):
       coalesce(pos, 'No POS tags found') AS pos, coalesce(dependency, 'No dependnecy parsing found') AS dependency,
       coalesce(morphology, 'None') AS morphology, coalesce(negations, 0)::BIGINT AS negations,
       'keywords -> ' || coalesce(k, 0) || ' , stopwords -> ' || coalesce(s, 0) || ' , ratio -> '
-        || CAST(round(coalesce(k, 0) / (coalesce(s, 0) + 1), 2) AS VARCHAR) AS keyword_stopword_ratio,
+        || CAST({S.rounded('coalesce(k, 0) / (coalesce(s, 0) + 1)')} AS VARCHAR) AS keyword_stopword_ratio,
       'No entity relation found for given input' AS entities
     FROM clean c LEFT JOIN agg USING (doc_id)""",
 )
@@ -688,32 +689,13 @@ def _(spark, sf):
 # --- hooks ---------------------------------------------------------------
 
 
-def _toy_model():
-    return {"vowels": set("aeiou")}
-
-
-def _toy_annotate(model, batch):
-    counts = [sum(c in model["vowels"] for c in text) for text in batch["text"]]
-    return batch[["doc_id"]].assign(vowels=counts)
-
-
-def _toy_row(model, text):
-    if len(text) % 5 == 0:
-        raise ValueError("row cannot be read")
-    return {"vowels": sum(c in model["vowels"] for c in text)}
-
-
-def _toy_embed(model, texts):
-    return texts.map(lambda t: [float(sum(c == v for c in t)) for v in sorted(model["vowels"])])
-
-
 VOWELS = "length(regexp_replace(text, '[^aeiou]', '', 'g'))"
 
 
 @query("annotator_hook", f"SELECT doc_id, CAST({VOWELS} AS BIGINT) AS vowels FROM documents")
 def _(spark, sf):
     docs = documents(spark, sf).select("doc_id", "text")
-    return H.annotate_with(docs, _toy_model, _toy_annotate, "doc_id long, vowels long")
+    return H.annotate_with(docs, toys.model, toys.annotate, "doc_id long, vowels long")
 
 
 @query(
@@ -721,7 +703,7 @@ def _(spark, sf):
     f"SELECT doc_id, CASE WHEN length(text) % 5 <> 0 THEN CAST({VOWELS} AS BIGINT) END AS vowels FROM documents",
 )
 def _(spark, sf):
-    return H.safe_apply(documents(spark, sf), _toy_model, _toy_row, "doc_id", "text", {"vowels": "long"})
+    return H.safe_apply(documents(spark, sf), toys.model, toys.row, "doc_id", "text", {"vowels": "long"})
 
 
 @query(
@@ -732,7 +714,7 @@ def _(spark, sf):
     FROM documents""",
 )
 def _(spark, sf):
-    embed = H.embed_with(_toy_model, _toy_embed)
+    embed = H.embed_with(toys.model, toys.embed)
     docs = documents(spark, sf).select("doc_id", "text")
     found = E.dedup_apply(docs, "text", "doc_id", lambda t: t.withColumn("v", embed(F.col("text"))))
     return found.select(
