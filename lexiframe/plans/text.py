@@ -16,7 +16,7 @@ from lexiframe.operators import keyphrases as K
 from lexiframe.operators import linguistics as O
 from lexiframe.plans import sqltext as S
 from lexiframe.plans import toys
-from lexiframe.plans.registry import query, table
+from lexiframe.plans.registry import query, spread, table
 
 
 def toks() -> Column:
@@ -24,7 +24,7 @@ def toks() -> Column:
 
 
 def documents(spark, sf) -> DataFrame:
-    return table(spark, sf, "documents")
+    return spread(table(spark, sf, "documents"))
 
 
 def noisy(spark, sf) -> DataFrame:
