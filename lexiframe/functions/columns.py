@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Mapping
+from collections.abc import Callable, Mapping, Sequence
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 # Inside a Java character class: every character Python's str.split() and
@@ -50,3 +50,13 @@ def round_binary(c: Column, digits: int) -> Column:
     Spark's ``round`` works on the shortest decimal text instead (2.175 becomes 2.18).
     """
     return F.translate(F.format_number(c, digits), ",", "").cast("double")
+
+
+def unnest(df: DataFrame, keep: Sequence[str], structs: Column, field: str) -> DataFrame:
+    """One row per struct of an array column, next to the ``keep`` columns.
+
+    The plain ``inline`` makes the optimizer add a test for empty arrays below
+    it, which computes the array a second time; the outer form does not. Its row
+    for an empty array is told by a null ``field``, which no struct may have.
+    """
+    return df.select(*keep, F.inline_outer(structs)).filter(F.col(field).isNotNull())

@@ -89,7 +89,7 @@ def entity_string(entities: Column, mode: str) -> Column:
 
 
 def lemmatized_text(tokens: Column) -> Column:
-    return join_or(F.transform(content(tokens), lambda t: t["lemma"]), " ", "None")
+    return join_or(content(tokens)["lemma"], " ", "None")
 
 
 def morphology_string(tokens: Column) -> Column:

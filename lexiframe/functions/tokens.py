@@ -54,28 +54,38 @@ def sentences(text: Column) -> Column:
     return F.filter(F.transform(pieces, lambda s: F.trim(s)), lambda s: s.rlike(r"\p{L}"))
 
 
+def zipped(**arrays: Column) -> Column:
+    """Equally long arrays as one array of structs; cheaper than building structs one by one."""
+    return F.arrays_zip(*(array.alias(name) for name, array in arrays.items()))
+
+
+def extended(tokens: Column, **arrays: Column) -> Column:
+    """Token structs with further fields."""
+    return zipped(**{name: tokens[name] for name in BASE_FIELDS}, **arrays)
+
+
 def doc_tokens(text: Column, is_stop) -> Column:
     """The token structs of a text, in order. ``sent_id`` numbers the stretches between closing marks."""
     pieces = F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(SENTENCE_PIECE), F.lit(0))
-    nested = F.transform(
-        pieces,
-        lambda piece, sent: F.transform(
-            token_texts(piece), lambda t: F.struct(sent.alias("sent_id"), t.alias("text"))
-        ),
-    )
 
-    def describe(t: Column, i: Column) -> Column:
-        lower = F.lower(t["text"])
-        return F.struct(
-            i.alias("tok_id"),
-            t["sent_id"].alias("sent_id"),
-            t["text"].alias("text"),
-            lower.alias("lower"),
-            is_alpha(t["text"]).alias("is_alpha"),
-            is_stop(lower).alias("is_stop"),
+    def described(texts: Column, sents: Column) -> Column:
+        return let(
+            F.transform(texts, lambda t: F.lower(t)),
+            lambda lowers: zipped(
+                tok_id=F.transform(texts, lambda t, i: i),
+                sent_id=sents,
+                text=texts,
+                lower=lowers,
+                is_alpha=F.transform(texts, lambda t: is_alpha(t)),
+                is_stop=F.transform(lowers, lambda w: is_stop(w)),
+            ),
         )
 
-    return F.transform(F.flatten(nested), describe)
+    def flat(nested: Column) -> Column:
+        sents = F.flatten(F.transform(nested, lambda ts, i: F.array_repeat(i, F.size(ts))))
+        return let(F.flatten(nested), lambda texts: described(texts, sents))
+
+    return let(F.transform(pieces, lambda piece: token_texts(piece)), flat)
 
 
 def _may_end_in(lower: Column, endings: Sequence[str]) -> Column:
@@ -154,19 +164,20 @@ def morph_of(lower: Column, pos: Column) -> Column:
 def annotate_tokens(tokens: Column) -> Column:
     """Add ``pos``, ``lemma`` and ``morph`` to each token struct."""
 
-    def described(t: Column, pos: Column) -> Column:
-        return F.struct(
-            *(t[f].alias(f) for f in BASE_FIELDS),
-            pos.alias("pos"),
-            lemma_of(t["lower"], pos).alias("lemma"),
-            morph_of(t["lower"], pos).alias("morph"),
+    def tagged(toks: Column, tags: Column) -> Column:
+        return extended(
+            toks,
+            pos=tags,
+            lemma=F.zip_with(toks["lower"], tags, lemma_of),
+            morph=F.zip_with(toks["lower"], tags, morph_of),
         )
 
-    def annotated(t: Column) -> Column:
-        pos = pos_of(t["text"], t["lower"], t["is_alpha"])
-        return let(pos, lambda p: described(t, p))
+    def tag(t: Column) -> Column:
+        return pos_of(t["text"], t["lower"], t["is_alpha"])
 
-    return F.transform(tokens, lambda t: annotated(t))
+    return let(
+        tokens, lambda toks: let(F.transform(toks, lambda t: tag(t)), lambda tags: tagged(toks, tags))
+    )
 
 
 def attach_heads(tokens: Column) -> Column:
@@ -176,19 +187,19 @@ def attach_heads(tokens: Column) -> Column:
     hangs on the root; the label follows its word class and side.
     """
 
-    def sentence(toks: Column) -> Column:
+    def root(toks: Column) -> Column:
         verbs = F.filter(toks, lambda t: t["pos"].isin("VERB", "AUX"))
         words = F.filter(toks, lambda t: t["is_alpha"])
         first = F.coalesce(F.get(verbs, F.lit(0)), F.get(words, F.lit(0)), F.get(toks, F.lit(0)))
-        return let(first["tok_id"], lambda root: F.transform(toks, lambda t: attached(t, root)))
+        return first["tok_id"]
 
-    def attached(t: Column, root: Column) -> Column:
+    def label(t: Column, head: Column) -> Column:
         noun = t["pos"].isin("NOUN", "PRON", "X")
-        dep = (
-            F.when(t["tok_id"] == root, "ROOT")
+        return (
+            F.when(t["tok_id"] == head, "ROOT")
             .when(t["lower"].isin(list(lexicons.NEGATION_CUES)), "neg")
             .when(t["pos"].isin("PUNCT", "SYM"), "punct")
-            .when(noun & (t["tok_id"] < root), "nsubj")
+            .when(noun & (t["tok_id"] < head), "nsubj")
             .when(noun, "dobj")
             .when(t["pos"] == "ADJ", "amod")
             .when(t["pos"] == "DET", "det")
@@ -196,22 +207,31 @@ def attach_heads(tokens: Column) -> Column:
             .when(t["pos"] == "ADV", "advmod")
             .otherwise("dep")
         )
-        return F.struct(
-            *(t[f].alias(f) for f in (*BASE_FIELDS, "pos", "lemma", "morph")),
-            dep.alias("dep"),
-            root.alias("head_tok_id"),
+
+    def parsed(toks: Column) -> Column:
+        heads = F.flatten(
+            F.transform(by_sentence(toks), lambda part: F.array_repeat(root(part), F.size(part)))
+        )
+        return let(
+            heads,
+            lambda h: extended(
+                toks,
+                **{name: toks[name] for name in ("pos", "lemma", "morph")},
+                dep=F.zip_with(toks, h, label),
+                head_tok_id=h,
+            ),
         )
 
-    return F.flatten(F.transform(by_sentence(tokens), lambda toks: sentence(toks)))
+    return let(tokens, parsed)
 
 
 def by_sentence(tokens: Column) -> Column:
     """Cut a token array into one array per sentence; linear in the document."""
 
-    def cut(toks: Column) -> Column:
+    def cut(toks: Column, sents: Column) -> Column:
         starts = F.filter(
             F.sequence(F.lit(0), F.size(toks) - 1),
-            lambda i: (i == 0) | (F.get(toks, i)["sent_id"] != F.get(toks, i - 1)["sent_id"]),
+            lambda i: (i == 0) | (F.get(sents, i) != F.get(sents, i - 1)),
         )
         return let(
             starts,
@@ -221,4 +241,7 @@ def by_sentence(tokens: Column) -> Column:
             ),
         )
 
-    return let(tokens, lambda t: F.when(F.size(t) > 0, cut(t)).otherwise(F.array()))
+    return let(
+        tokens,
+        lambda t: F.when(F.size(t) > 0, let(t["sent_id"], lambda s: cut(t, s))).otherwise(F.array()),
+    )

@@ -16,7 +16,7 @@ from lexiframe.operators.linguistics import (
     match_entities,
     with_tokens,
 )
-from lexiframe.operators.skew import SALTS, facts_join
+from lexiframe.operators.skew import HOT_ROWS, hot_join
 
 FAILED = "Processing failed"
 
@@ -103,14 +103,14 @@ def dedup_apply(
     key: str,
     row_id: str,
     fn: Callable[[DataFrame], DataFrame],
-    salts: int = SALTS,
+    hot_rows: int = HOT_ROWS,
 ) -> DataFrame:
     """Run ``fn`` on distinct texts and give every row its text's result.
 
     For expensive ``fn`` (models); built-in expressions are cheaper applied to
     every row. ``fn`` takes and returns a table with ``key``. The distinct step
-    combines before its shuffle, and the join back spreads the rows of a
-    frequent text over ``salts`` partitions.
+    combines before its shuffle, and the rows of a very frequent text are joined
+    back in several parts.
     """
     distinct = df.select(key).filter(F.col(key).isNotNull()).distinct()
-    return facts_join(df, fn(distinct), [key], [row_id], salts=salts)
+    return hot_join(df, fn(distinct), [key], [row_id], hot_rows=hot_rows)

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from lexiframe.functions import linguistics as L
 from lexiframe.functions import phrases as P
+from lexiframe.functions.columns import unnest
 from lexiframe.functions.vectors import cosine
 from lexiframe.operators.linguistics import TOKENS
 
@@ -20,25 +21,23 @@ MAX_ROUNDS = 100
 
 def with_words(docs: DataFrame) -> DataFrame:
     """Add ``vocab`` (distinct content words with counts and positions) from the token array."""
-    words = F.transform(L.content(F.col(TOKENS)), lambda t: t["lower"])
-    return docs.withColumn("vocab", P.vocabulary(words))
+    return docs.withColumn("vocab", P.vocabulary(L.content(F.col(TOKENS))["lower"]))
 
 
 def candidate_phrases(docs: DataFrame, doc_id: str) -> DataFrame:
     found = P.candidate_phrases(F.col(TOKENS))
-    return docs.select(doc_id, F.posexplode(found).alias("phrase_idx", "p")).select(
-        doc_id, "phrase_idx", "p.phrase"
-    )
+    rows = docs.select(doc_id, F.posexplode_outer(found).alias("phrase_idx", "p"))
+    return rows.filter("phrase_idx is not null").select(doc_id, "phrase_idx", "p.phrase")
 
 
 def word_importance(docs: DataFrame, doc_id: str) -> DataFrame:
-    return with_words(docs).select(doc_id, F.inline(P.word_importance(F.col("vocab"))))
+    return unnest(with_words(docs), [doc_id], P.word_importance(F.col("vocab")), "word")
 
 
 def cooccurrence_edges(docs: DataFrame, doc_id: str, window: int = P.WINDOW) -> DataFrame:
     worded = with_words(docs).withColumn("ids", word_ids())
     edges = P.neighbour_edges(F.col("ids"), F.col("vocab"), window)
-    return worded.select(doc_id, F.inline(edges))
+    return unnest(worded, [doc_id], edges, "src")
 
 
 def word_ids() -> Column:
@@ -119,8 +118,8 @@ def pagerank(docs: DataFrame, doc_id: str) -> DataFrame:
         .select(doc_id, "vocab.word", "ids")
         .withColumn("score", pagerank_column("ids"))
     )
-    rows = scored.select(doc_id, F.inline(F.arrays_zip(F.col("word").alias("node"), "score")))
-    return rows.filter("score > 0")
+    zipped = F.arrays_zip(F.col("word").alias("node"), "score")
+    return unnest(scored, [doc_id], zipped, "node").filter("score > 0")
 
 
 def with_phrase_scores(docs: DataFrame, mode: str) -> DataFrame:
@@ -146,7 +145,7 @@ def with_phrase_scores(docs: DataFrame, mode: str) -> DataFrame:
 
 
 def hybrid_scores(docs: DataFrame, doc_id: str, mode: str) -> DataFrame:
-    return with_phrase_scores(docs, mode).select(doc_id, F.inline("phrases"))
+    return unnest(with_phrase_scores(docs, mode), [doc_id], F.col("phrases"), "phrase_idx")
 
 
 def keyphrases(
@@ -155,7 +154,7 @@ def keyphrases(
     """Add the phrases of each document, best first, as one string."""
     ranked = P.rank(F.col("phrases"), k)
     text = L.join_or(
-        F.transform(ranked, lambda p: p["phrase"]), L.SEPARATOR[mode], L.NO_KEYPHRASE[mode]
+        ranked["phrase"], L.SEPARATOR[mode], L.NO_KEYPHRASE[mode]
     )
     return with_phrase_scores(docs, mode).withColumn(name, text).drop("phrases")
 
@@ -165,7 +164,7 @@ def rank_phrases(scored: DataFrame, doc_id: str, mode: str, k: int | None = None
     group = F.collect_list(F.struct("phrase_idx", "phrase", "score"))
     ranked = P.rank(F.col("__p"), k)
     text = L.join_or(
-        F.transform(ranked, lambda p: p["phrase"]), L.SEPARATOR[mode], L.NO_KEYPHRASE[mode]
+        ranked["phrase"], L.SEPARATOR[mode], L.NO_KEYPHRASE[mode]
     )
     return scored.groupBy(doc_id).agg(group.alias("__p")).select(doc_id, text.alias("key_phrase"))
 
@@ -185,7 +184,7 @@ def embed(docs: DataFrame, dims: int = 1 << 10, out: str = "embedding") -> DataF
     from pyspark.ml.feature import IDF, HashingTF, Normalizer
     from pyspark.ml.functions import vector_to_array
 
-    words = docs.withColumn("__w", F.transform(L.content(F.col(TOKENS)), lambda t: t["lower"]))
+    words = docs.withColumn("__w", L.content(F.col(TOKENS))["lower"])
     counted = HashingTF(numFeatures=dims, inputCol="__w", outputCol="__tf").transform(words)
     weighted = IDF(inputCol="__tf", outputCol="__idf").fit(counted).transform(counted)
     unit = Normalizer(inputCol="__idf", outputCol="__unit").transform(weighted)

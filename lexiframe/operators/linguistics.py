@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from lexiframe.functions import lexicons
 from lexiframe.functions import linguistics as L
 from lexiframe.functions import tokens as T
+from lexiframe.functions.columns import let, unnest
 
 TOKENS = "tokens"
 
@@ -41,7 +42,12 @@ def with_tokens(
 
 def tokenize(df: DataFrame, doc_id: str, text: str, lang: str | None = None, **options) -> DataFrame:
     """One row per token."""
-    return with_tokens(df, text, lang, **options).select(doc_id, F.inline(TOKENS))
+    return token_rows(with_tokens(df, text, lang, **options), doc_id)
+
+
+def token_rows(docs: DataFrame, *keep: str) -> DataFrame:
+    """The token arrays as a token table."""
+    return unnest(docs, keep, F.col(TOKENS), "tok_id")
 
 
 def assemble(tokens: DataFrame, doc_id: str, docs: DataFrame | None = None) -> DataFrame:
@@ -81,7 +87,8 @@ def tag_pos(tokens: DataFrame, lexicon: DataFrame) -> DataFrame:
 
 
 def split_sentences(df: DataFrame, doc_id: str, text: str) -> DataFrame:
-    return df.select(doc_id, F.posexplode(T.sentences(F.col(text))).alias("sent_no", "sentence"))
+    rows = df.select(doc_id, F.posexplode_outer(T.sentences(F.col(text))).alias("sent_no", "sentence"))
+    return rows.filter("sent_no is not null")
 
 
 def match_entities(
@@ -95,9 +102,8 @@ def match_entities(
     listed = gazetteer.select(F.lower("phrase").alias("key"), "label").dropDuplicates(["key"])
     # only token runs that open like a listed phrase travel on
     openers = listed.select(F.substring_index("key", " ", 1).alias("opener")).distinct()
-    starts = docs.select(doc_id, F.explode(_starts(F.col(TOKENS), max_n)).alias("s"))
     grams = (
-        starts.select(doc_id, "s.*")
+        unnest(docs, [doc_id], _starts(F.col(TOKENS), max_n), "first")
         .join(openers, "opener", "left_semi")
         .select(doc_id, "first", F.explode(_grams()).alias("g"))
         .select(doc_id, "first", "g.*")
@@ -121,14 +127,15 @@ def match_entities(
 def _starts(tokens: Column, max_n: int) -> Column:
     """Each token with the next ones, as ``(opener, first, lowers, texts)``."""
 
-    def start(t: Column, i: Column) -> Column:
-        part = F.slice(tokens, i + 1, max_n)
-        return F.struct(
-            t["lower"].alias("opener"), i.alias("first"),
-            part["lower"].alias("lowers"), part["text"].alias("texts"),
+    def starts(lowers: Column, texts: Column) -> Column:
+        return F.arrays_zip(
+            lowers.alias("opener"),
+            F.transform(lowers, lambda w, i: i).alias("first"),
+            F.transform(lowers, lambda w, i: F.slice(lowers, i + 1, max_n)).alias("lowers"),
+            F.transform(texts, lambda w, i: F.slice(texts, i + 1, max_n)).alias("texts"),
         )
 
-    return F.transform(tokens, start)
+    return let(tokens["lower"], lambda lw: let(tokens["text"], lambda tx: starts(lw, tx)))
 
 
 def _grams() -> Column:

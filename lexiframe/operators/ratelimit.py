@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lexiframe.functions.columns import let
+from lexiframe.functions.columns import let, unnest
 from lexiframe.operators.skew import order_number
 from lexiframe.session import materialize
 
@@ -52,7 +52,7 @@ def _decided(groups: DataFrame, client: str, id_col: str, limit: int, ttl: int)
             lambda r, i: F.struct(r["id"].alias(id_col), F.array_contains(taken, i).alias("accepted")),
         ),
     )
-    return groups.select(client, F.inline(flags))
+    return unnest(groups, [client], flags, id_col)
 
 
 def _sorted_requests(id_col: str, at: Column) -> Column:

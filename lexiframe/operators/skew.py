@@ -7,9 +7,16 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from lexiframe.session import materialize
+
 SALTS = 16
 # rows a block of one key should hold on average
 BLOCK_ROWS = 1_000_000
+# a block this many times as full calls for another way to cut
+OVERFULL = 4
+# keys treated as hot: the most frequent ones, beyond this many rows
+HOT_KEYS = 10_000
+HOT_ROWS = 1_000_000
 
 
 def facts_join(
@@ -31,6 +38,42 @@ def facts_join(
     return salted.join(repeated, [*keys, "__salt"], how).drop("__salt")
 
 
+def hot_join(
+    rows: DataFrame,
+    facts: DataFrame,
+    keys: Sequence[str],
+    spread_by: Sequence[str],
+    how: str = "left",
+    hot_rows: int = HOT_ROWS,
+) -> DataFrame:
+    """``facts_join`` for facts that are large themselves: only hot keys are repeated.
+
+    The most frequent keys, at most ``HOT_KEYS`` of them by construction, are
+    broadcast as hash and number of parts. Rows of such a key are dealt over its
+    parts and its facts repeated once per part; all other keys join as they are.
+    Keys that share a hash share their parts, which changes nothing in the result.
+    """
+    hashed = rows.withColumn("__h", F.xxhash64(*keys))
+    counted = hashed.groupBy("__h").agg(F.count("*").alias("__n"))
+    hot = (
+        counted.filter(F.col("__n") > hot_rows)
+        .orderBy(F.desc("__n"))
+        .limit(HOT_KEYS)
+        .select("__h", F.ceil(F.col("__n") / hot_rows).cast("int").alias("__parts"))
+    )
+    part = F.pmod(F.xxhash64(*spread_by), F.coalesce("__parts", F.lit(1))).cast("int")
+    dealt = hashed.join(F.broadcast(hot), "__h", "left").withColumn("__part", part)
+    last = F.coalesce("__parts", F.lit(1)) - 1
+    repeated = (
+        facts.withColumn("__h", F.xxhash64(*keys))
+        .join(F.broadcast(hot), "__h", "left")
+        .withColumn("__part", F.explode(F.sequence(F.lit(0), last)))
+        .drop("__parts", "__h")
+    )
+    joined = dealt.join(repeated, [*keys, "__part"], how)
+    return joined.drop("__h", "__parts", "__part")
+
+
 def order_number(column: Column, data_type: str) -> Column:
     """An order column as a whole number; times count in microseconds."""
     if data_type == "timestamp_ntz":
@@ -43,19 +86,35 @@ def order_number(column: Column, data_type: str) -> Column:
 
 
 def with_block(
-    df: DataFrame, order: str, rows_per_block: int = BLOCK_ROWS, width: int | None = None
+    df: DataFrame,
+    keys: Sequence[str],
+    order: Sequence[str],
+    rows_per_block: int = BLOCK_ROWS,
+    width: int | None = None,
 ) -> DataFrame:
-    """Add ``__block``: the slice of the order column's range a row falls into.
-
-    A block depends on the row's own value only, so it is the same however often
-    the plan runs. Without ``width`` one pass over the order column (minimum,
-    maximum, count) picks it so that a block averages ``rows_per_block`` rows.
+    """Add ``__block``: blocks of one key follow each other in its order and stay small.
+
+    A block is a slice of the first order column's range, so it depends on the
+    row's own value only and is the same however often the plan runs. Without
+    ``width`` one pass over that column (minimum, maximum, count) picks the
+    slices, and a second one checks that no (key, block) is overfull. If values
+    cluster too much for that, blocks come from a range partitioning over keys and
+    all order columns, fixed by a checkpoint.
     """
-    number = order_number(F.col(order), df.schema[order].dataType.simpleString())
-    if width is None:
-        low, high, n = df.agg(F.min(number), F.max(number), F.count("*")).first()
-        width = 1 if not n else max(1, -(-(high - low + 1) * rows_per_block // n))
-    return df.withColumn("__block", F.floor(number / F.lit(width)).cast("long"))
+    number = order_number(F.col(order[0]), df.schema[order[0]].dataType.simpleString())
+    if width is not None:
+        return df.withColumn("__block", F.floor(number / F.lit(width)).cast("long"))
+    low, high, n = df.agg(F.min(number), F.max(number), F.count("*")).first()
+    if n <= rows_per_block:
+        return df.withColumn("__block", F.lit(0).cast("long"))
+    width = max(1, (high - low + 1) * rows_per_block // n)
+    blocked = df.withColumn("__block", F.floor(number / F.lit(width)).cast("long"))
+    fullest = blocked.groupBy(*keys, "__block").count().agg(F.max("count")).first()[0]
+    if fullest <= OVERFULL * rows_per_block:
+        return blocked
+    parts = max(n // rows_per_block, 1) + 1
+    ranged = df.repartitionByRange(int(parts), *keys, *order)
+    return materialize(ranged.withColumn("__block", F.spark_partition_id().cast("long")))
 
 
 def running_sum(
@@ -74,7 +133,7 @@ def running_sum(
     defines the blocks.
     """
     keys = list(keys)
-    blocked = with_block(df, order[0], rows_per_block, width)
+    blocked = with_block(df, keys, order, rows_per_block, width)
     totals = blocked.groupBy(*keys, "__block").agg(
         *(F.sum(expr).alias(f"__total_{name}") for name, expr in sums.items())
     )
@@ -125,7 +184,7 @@ def previous_value(
 ) -> DataFrame:
     """The value one row earlier in the key's order, across block borders."""
     keys = list(keys)
-    blocked = with_block(df, order[0], rows_per_block, width)
+    blocked = with_block(df, keys, order, rows_per_block, width)
     lasts = blocked.groupBy(*keys, "__block").agg(
         F.max_by(F.struct(F.col(value).alias("v")), F.struct(*order)).alias("__last")
     )

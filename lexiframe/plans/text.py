@@ -154,7 +154,7 @@ def _(spark, sf):
     f"WITH {S.tokens()} SELECT doc_id, tok_id, sent_id, text, lower, is_alpha, is_stop FROM toks",
 )
 def _(spark, sf):
-    return tokened(spark, sf).select("doc_id", F.inline(O.TOKENS))
+    return O.token_rows(tokened(spark, sf), "doc_id")
 
 
 @query(
@@ -180,16 +180,14 @@ def _(spark, sf):
     words = spark.createDataFrame(
         [(lang, word) for lang, listed in lists.items() for word in listed], "lang string, word string"
     )
-    rows = tokened(spark, sf, words={"en": ["the"]}).select(
-        "doc_id", "lang", F.inline(F.transform(O.TOKENS, lambda t: t.dropFields("is_stop")))
-    )
+    rows = O.token_rows(tokened(spark, sf, words={"en": ["the"]}), "doc_id", "lang").drop("is_stop")
     flagged = O.flag_stopwords(rows, words).filter("is_stop")
     return flagged.groupBy("lang", F.col("lower").alias("word")).agg(F.count("*").alias("n"))
 
 
 @query("pos_tags", f"WITH {S.annotated()} SELECT doc_id, tok_id, text, pos FROM ann")
 def _(spark, sf):
-    rows = tokened(spark, sf, annotate=True).select("doc_id", F.inline(O.TOKENS))
+    rows = O.token_rows(tokened(spark, sf, annotate=True), "doc_id")
     return rows.select("doc_id", "tok_id", "text", "pos")
 
 
@@ -204,7 +202,7 @@ def _(spark, sf):
     lexicon = spark.createDataFrame(
         [("th", "NOUN"), ("er", "VERB"), ("an", "DET")], "word string, pos string"
     )
-    rows = tokened(spark, sf).select("doc_id", F.inline(O.TOKENS))
+    rows = O.token_rows(tokened(spark, sf), "doc_id")
     return O.tag_pos(rows, lexicon).groupBy("pos").agg(F.count("*").alias("n"))
 
 
@@ -237,7 +235,7 @@ def _(spark, sf):
     f"WITH {S.annotated()} " + _joined("text || ' -> ' || pos", " , ", "is_alpha", "No POS tags found"),
 )
 def _(spark, sf):
-    rows = tokened(spark, sf, annotate=True).select("doc_id", F.inline(O.TOKENS))
+    rows = O.token_rows(tokened(spark, sf, annotate=True), "doc_id")
     docs = O.assemble(rows.select("doc_id", "tok_id", "text", "pos", "is_alpha"), "doc_id", documents(spark, sf))
     return docs.select("doc_id", L.pos_string(toks(), "text").alias("value"))
 
@@ -385,7 +383,9 @@ def _(spark, sf):
 )
 def _(spark, sf):
     docs = tokened(spark, sf, heads=True)
-    return docs.select("doc_id", F.explode(L.negations(toks())).alias("pair"))
+    return docs.select("doc_id", F.explode_outer(L.negations(toks())).alias("pair")).filter(
+        "pair is not null"
+    )
 
 
 @query(
@@ -398,7 +398,9 @@ def _(spark, sf):
 )
 def _(spark, sf):
     pairs = L.lexical_negations(toks(), ("not", "no", "pas", "nicht", "th"))
-    return tokened(spark, sf).select("doc_id", F.explode(pairs).alias("pair"))
+    return tokened(spark, sf).select("doc_id", F.explode_outer(pairs).alias("pair")).filter(
+        "pair is not null"
+    )
 
 
 RATIO = f"""SELECT d.doc_id, coalesce(k, 0)::BIGINT AS keywords, coalesce(s, 0)::BIGINT AS stopwords,
@@ -469,7 +471,7 @@ def _(spark, sf):
     FROM ann GROUP BY 1""",
 )
 def _(spark, sf):
-    rows = tokened(spark, sf, annotate=True).select("doc_id", F.inline(O.TOKENS))
+    rows = O.token_rows(tokened(spark, sf, annotate=True), "doc_id")
     return O.summarize_tokens(rows, "doc_id").fillna(0, ["letters"])
 
 
