@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Mapping, Sequence
+from collections.abc import Callable, Iterable, Mapping, Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark import SparkContext
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.classic.column import Column
 
 # Inside a Java character class: every character Python's str.split() and
 # str.strip() treat as whitespace. Java's \s alone covers only the ASCII ones.
@@ -20,6 +22,18 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
     return F.get(F.transform(F.array(value), lambda v: body(v)), F.lit(0))
 
 
+def is_one_of(c: Column, words: Iterable[str]) -> Column:
+    """``isin`` for long word lists: the list reaches the JVM in one call, not one per word.
+
+    Spark turns the test into a hash set.
+    """
+    listed = sorted(set(words))
+    jvm = SparkContext._active_spark_context._jvm
+    tokens = jvm.java.util.StringTokenizer("\n".join(listed), "\n")
+    test = Column(c._jc.isInCollection(jvm.java.util.Collections.list(tokens)))
+    return test | (c == "") if "" in listed else test
+
+
 def const_map(pairs: Mapping[str, str]) -> Column:
     """A constant string map as one literal (folded at planning time)."""
     text = "\n".join(f"{key}\t{value}" for key, value in pairs.items())
@@ -31,7 +45,7 @@ def replace_words(word: Column, key: Column, table: Mapping[str, str]) -> Column
 
     The set test is a hash probe; only hits pay for the map's linear search.
     """
-    return F.when(key.isin(list(table)), F.element_at(const_map(table), key)).otherwise(word)
+    return F.when(is_one_of(key, table), F.element_at(const_map(table), key)).otherwise(word)
 
 
 def is_blank(c: Column) -> Column:

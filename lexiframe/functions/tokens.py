@@ -14,7 +14,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from lexiframe.functions import lexicons
-from lexiframe.functions.columns import const_map, let
+from lexiframe.functions.columns import const_map, is_one_of, let
 
 TOKEN = r"[\p{L}\p{M}]+|\p{N}+|[^\s\p{L}\p{M}\p{N}]"
 # a stretch up to and including its closing marks; covers the whole text
@@ -39,10 +39,10 @@ def stop_test(
 
     def test(lower: Column) -> Column:
         if lang is None:
-            return lower.isin(list(words[default]))
+            return is_one_of(lower, words[default])
         branch = F.lit(False)
         for code, listed in words.items():
-            branch = F.when(lang == code, lower.isin(list(listed))).otherwise(branch)
+            branch = F.when(lang == code, is_one_of(lower, listed)).otherwise(branch)
         return branch
 
     return test
@@ -103,7 +103,7 @@ def pos_of(text: Column, lower: Column, alpha: Column) -> Column:
 
     known = F.lit("X")
     for pos, listed in reversed(lexicons.POS_WORDS.items()):
-        known = F.when(lower.isin(listed.split()), F.lit(pos)).otherwise(known)
+        known = F.when(is_one_of(lower, listed.split()), F.lit(pos)).otherwise(known)
 
     ending = F.lit("X")
     for pos, endings in reversed(lexicons.POS_SUFFIXES):
@@ -114,7 +114,7 @@ def pos_of(text: Column, lower: Column, alpha: Column) -> Column:
     endings = [e for _, listed in lexicons.POS_SUFFIXES for e in listed]
     return (
         F.when(~alpha, other)
-        .when(lower.isin(words), known)
+        .when(is_one_of(lower, words), known)
         .when(_may_end_in(lower, endings), ending)
         .otherwise("X")
     )
@@ -134,13 +134,13 @@ def lemma_of(lower: Column, pos: Column) -> Column:
         .otherwise(lower)
     )
     verb_form = (
-        F.when(stem.isin(verbs), stem)
-        .when(F.concat(stem, F.lit("e")).isin(verbs), F.concat(stem, F.lit("e")))
+        F.when(is_one_of(stem, verbs), stem)
+        .when(is_one_of(F.concat(stem, F.lit("e")), verbs), F.concat(stem, F.lit("e")))
         .otherwise(lower)
     )
     return (
         F.when(
-            lower.isin(list(lexicons.LEMMAS)), F.element_at(const_map(lexicons.LEMMAS), lower)
+            is_one_of(lower, lexicons.LEMMAS), F.element_at(const_map(lexicons.LEMMAS), lower)
         )
         .when(lower.endswith("s"), in_s)
         .when((pos == "VERB") & (lower.endswith("ing") | lower.endswith("ed")), verb_form)

@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lexiframe.functions import cells as C
-from lexiframe.functions.columns import is_blank, let
+from lexiframe.functions.columns import is_blank, is_one_of, let
 from lexiframe.functions.lexicons import NA_STRINGS
 from lexiframe.operators.skew import facts_join
 
@@ -194,7 +194,7 @@ def text_column_names(header: Column, rows: Column) -> Column:
 
 
 def missing_to_null(c: Column) -> Column:
-    return F.when(~c.isin(list(NA_STRINGS)), c)
+    return F.when(~is_one_of(c, NA_STRINGS), c)
 
 
 def gate_values(sampled: DataFrame) -> DataFrame:

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
+from lexiframe.functions.columns import is_one_of
 from lexiframe.functions.lexicons import NA_STRINGS
 
 # Accepted file endings, size limit and encodings in order of trial.
@@ -71,7 +72,7 @@ def scan_csv(
     table = reader.schema(schema).csv(path) if schema else reader.csv(path)
     texts = [f.name for f in table.schema if f.dataType.simpleString() == "string"]
     return table.withColumns(
-        {name: F.when(~F.col(f"`{name}`").isin(list(NA_STRINGS)), F.col(f"`{name}`")) for name in texts}
+        {name: F.when(~is_one_of(F.col(f"`{name}`"), NA_STRINGS), F.col(f"`{name}`")) for name in texts}
     )
 
 
