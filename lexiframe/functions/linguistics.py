@@ -175,7 +175,10 @@ def readability_metrics(text: Column, tokens: Column) -> Column:
 
 
 def readability_string(metrics: Column) -> Column:
-    parts = []
-    for i, name in enumerate(("avg_sentence_length", "avg_word_length", "complexity_score")):
-        parts += [F.lit(f"{' , ' if i else ''}{name} -> "), metrics[name].cast("string")]
-    return F.concat(*parts)
+    def line(m: Column) -> Column:
+        parts = []
+        for i, name in enumerate(("avg_sentence_length", "avg_word_length", "complexity_score")):
+            parts += [F.lit(f"{' , ' if i else ''}{name} -> "), m[name].cast("string")]
+        return F.concat(*parts)
+
+    return let(metrics, line)

@@ -14,6 +14,8 @@ SETTINGS = {
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
+    # documents can be long: small batches bound memory and overlap with Python
+    "spark.sql.execution.arrow.maxRecordsPerBatch": "512",
     # lets decode() accept windows-1252
     "spark.sql.legacy.javaCharsets": "true",
 }
