@@ -50,12 +50,17 @@ def _(spark, sf):
     return spark.read.parquet(out).drop("batch")
 
 
-@query("stream_dedupe")
+@query(
+    "stream_dedupe",
+    """SELECT DISTINCT user_id || event_type AS idempotency_key, CAST(NULL AS BIGINT) AS keyless_event FROM events
+    WHERE event_id % 4 <> 0 UNION ALL SELECT NULL, event_id FROM events WHERE event_id % 4 = 0""",
+)
 def _(spark, sf):
     key = F.when(F.col("event_id") % 4 != 0, F.concat(F.col("user_id").cast("string"), "event_type"))
     requests = events(spark, sf).select("event_id", "ts", key.alias("idempotency_key"))
     found = collected(T.stream_dedupe(requests, "idempotency_key", "ts", "40 days"), "stream-dedupe")
-    return found.select("event_id", "idempotency_key")
+    keyless = F.when(F.col("idempotency_key").isNull(), F.col("event_id"))
+    return found.select("idempotency_key", keyless.alias("keyless_event"))
 
 
 @query("stream_rate_limit", LIMITED)
