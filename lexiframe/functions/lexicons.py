@@ -131,15 +131,6 @@ def emoji_names() -> dict[int, str]:
     return table
 
 
-def stopwords(spark, lang: str) -> list[str]:
-    """Spark ML's stop word list for a language code."""
-    from pyspark.ml.feature import StopWordsRemover
-
-    return list(StopWordsRemover.loadDefaultStopWords(STOPWORD_LANGUAGES[lang]))
-
-
-STOPWORD_LANGUAGES = {"en": "english", "fr": "french", "de": "german", "es": "spanish"}
-
 # English word classes for the lexicon tagger.
 POS_WORDS = {
     "PRON": (

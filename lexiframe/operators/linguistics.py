@@ -7,16 +7,16 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lexiframe.functions import lexicons
 from lexiframe.functions import linguistics as L
 from lexiframe.functions import tokens as T
 from lexiframe.functions.columns import let, unnest
+from lexiframe.functions.stopwords import WORDS, stopwords
 
 TOKENS = "tokens"
 
 
-def stop_lists(spark, languages: Sequence[str] = ("en",)) -> dict[str, list[str]]:
-    return {lang: lexicons.stopwords(spark, lang) for lang in languages}
+def stop_lists(languages: Sequence[str] = ("en",)) -> dict[str, list[str]]:
+    return {lang: stopwords(lang) for lang in languages}
 
 
 def with_tokens(
@@ -29,9 +29,7 @@ def with_tokens(
 ) -> DataFrame:
     """Add the token array of a text column; no shuffle, one row per document as before."""
     if words is None:
-        words = stop_lists(
-            df.sparkSession, tuple(lexicons.STOPWORD_LANGUAGES) if lang else ("en",)
-        )
+        words = stop_lists(tuple(WORDS) if lang else ("en",))
     column = T.doc_tokens(F.col(text), T.stop_test(words, F.col(lang) if lang else None))
     if annotate or heads:
         column = T.annotate_tokens(column)

@@ -2,14 +2,10 @@
 
 from __future__ import annotations
 
-import zipfile
 from collections.abc import Iterable, Mapping
-from functools import lru_cache
-from pathlib import Path
-
-import pyspark
 
 from lexiframe.functions import lexicons
+from lexiframe.functions.stopwords import WORDS, stopwords
 
 WS = r"\s\x0b\x1c-\x1f\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}"
 TOKEN = r"[\p{L}\p{M}]+|\p{N}+|[^\s\p{L}\p{M}\p{N}]"
@@ -30,21 +26,10 @@ def mapped(table: Mapping[str, str]) -> str:
     return "MAP {" + ", ".join(f"{quoted(k)}: {quoted(v)}" for k, v in table.items()) + "}"
 
 
-@lru_cache(maxsize=None)
-def stop_list(lang: str) -> tuple[str, ...]:
-    """Spark ML's list, read from the jar so that the check needs no session."""
-    jars = Path(pyspark.__file__).parent / "jars"
-    name = f"org/apache/spark/ml/feature/stopwords/{lexicons.STOPWORD_LANGUAGES[lang]}.txt"
-    for jar in jars.glob("spark-mllib_*.jar"):
-        with zipfile.ZipFile(jar) as packed:
-            return tuple(packed.read(name).decode("utf-8").split())
-    raise FileNotFoundError(name)
-
-
 def is_stop(word: str = "lower(text)", lang: str = "lang") -> str:
     branches = " ".join(
-        f"WHEN {quoted(code)} THEN {word} IN {listed(stop_list(code))}"
-        for code in lexicons.STOPWORD_LANGUAGES
+        f"WHEN {quoted(code)} THEN {word} IN {listed(stopwords(code))}"
+        for code in WORDS
     )
     return f"(CASE {lang} {branches} ELSE false END)"
 

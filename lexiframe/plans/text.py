@@ -5,11 +5,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lexiframe.functions import lexicons
 from lexiframe.functions import linguistics as L
 from lexiframe.functions import normalize as N
 from lexiframe.functions import tokens as T
 from lexiframe.functions.sqlfuncs import register_functions
+from lexiframe.functions.stopwords import WORDS
 from lexiframe.operators import enrich as E
 from lexiframe.operators import hooks as H
 from lexiframe.operators import keyphrases as K
@@ -176,7 +176,7 @@ def _(spark, sf):
     SELECT lang, lower AS word, count(*)::BIGINT AS n FROM toks WHERE is_stop GROUP BY 1, 2""",
 )
 def _(spark, sf):
-    lists = O.stop_lists(spark, tuple(lexicons.STOPWORD_LANGUAGES))
+    lists = O.stop_lists(tuple(WORDS))
     words = spark.createDataFrame(
         [(lang, word) for lang, listed in lists.items() for word in listed], "lang string, word string"
     )
