@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lexiframe.llm import exactdedup, mixing, sharding
+from lexiframe.llm import decontaminate, exactdedup, mixing, sharding
 from lexiframe.session import apply_settings, scratch_path
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -71,6 +71,30 @@ def mix_sql(documents: str = "documents") -> str:
       (copies + (done OR took)::INTEGER)::INTEGER AS copies FROM p{mixing.FILLS}"""
 
 
+WORD = "[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+"
+
+
+@query(
+    "op1_positional_decontamination",
+    f"""WITH d AS (SELECT doc_id, regexp_extract_all({LOWERED}, '{WORD}') AS w FROM documents),
+    b AS (SELECT item_id::VARCHAR AS item, regexp_extract_all({LOWERED}, '{WORD}') AS w FROM benchmark),
+    bi AS (SELECT item, w, least(13, len(w)) AS k, unnest(range(1, len(w) - least(13, len(w)) + 2)) AS i FROM b WHERE len(w) > 0),
+    bw AS (SELECT DISTINCT item, k, array_to_string(w[i:i + k - 1], ' ') AS g FROM bi),
+    ks AS (SELECT DISTINCT k FROM bw),
+    di AS (SELECT doc_id, w, k, unnest(range(1, len(w) - k + 2)) AS i FROM d, ks WHERE len(w) >= k),
+    dw AS (SELECT doc_id, k, i, array_to_string(w[i:i + k - 1], ' ') AS g FROM di),
+    hit AS (SELECT doc_id, i, k, item FROM dw JOIN bw USING (k, g)),
+    n AS (SELECT doc_id, count(DISTINCT p) AS n_hit FROM (SELECT doc_id, unnest(range(i, i + k)) AS p FROM hit) GROUP BY 1),
+    s AS (SELECT doc_id, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS items
+      FROM (SELECT DISTINCT doc_id, item FROM hit) GROUP BY 1)
+    SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit, coalesce(n_items, 0)::BIGINT AS n_items,
+      sha256(coalesce(items, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(w) AS contaminated
+    FROM d LEFT JOIN n USING (doc_id) LEFT JOIN s USING (doc_id)""",
+)
+def _(spark, sf):
+    return decontaminate.contamination(table(spark, sf, "documents"), table(spark, sf, "benchmark"))
+
+
 @query("op2_mix_sources", mix_sql())
 def _(spark, sf):
     return mixing.mix(table(spark, sf, "documents"))
