@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lexiframe.llm import decontaminate, exactdedup, mixing, sharding
+from lexiframe.llm import decontaminate, exactdedup, htmltext, mixing, quality, sharding
 from lexiframe.session import apply_settings, scratch_path
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -100,11 +100,21 @@ def _(spark, sf):
     return mixing.mix(table(spark, sf, "documents"))
 
 
+@query("op4_block_labeller")
+def _(spark, sf):
+    return htmltext.extract(table(spark, sf, "pages"))
+
+
 @query("op5_virtual_slots")
 def _(spark, sf):
     return sharding.shard_documents(table(spark, sf, "documents"), scratch_path(spark, "slot-map"))
 
 
+@query("op6_byte_cnn_quality")
+def _(spark, sf):
+    return quality.quality_scores(table(spark, sf, "documents"), table(spark, sf, "labels"))
+
+
 @query(
     "op9_bloom_exact_dedup",
     f"""WITH h AS (SELECT doc_id, sha256({LOWERED}) AS text_sha256 FROM documents),
