@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lexiframe.llm import decontaminate, exactdedup, htmltext, mixing, quality, sharding
+from lexiframe.llm import classlm, decontaminate, exactdedup, htmltext, mixing, quality, sharding
 from lexiframe.session import apply_settings, scratch_path
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -123,3 +123,8 @@ def _(spark, sf):
 )
 def _(spark, sf):
     return exactdedup.exact_copies(table(spark, sf, "documents"))
+
+
+@query("op10_class_bigrams")
+def _(spark, sf):
+    return classlm.score_texts(table(spark, sf, "documents"))
