@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lexiframe.llm import classlm, decontaminate, exactdedup, htmltext, mixing, quality, sharding
+from lexiframe.llm import classlm, decontaminate, exactdedup, htmltext, mixing, neardup, quality, sharding
 from lexiframe.session import apply_settings, scratch_path
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -115,6 +115,11 @@ def _(spark, sf):
     return quality.quality_scores(table(spark, sf, "documents"), table(spark, sf, "labels"))
 
 
+@query("op7_probminhash_neardup")
+def _(spark, sf):
+    return neardup.near_duplicates(table(spark, sf, "documents"))
+
+
 @query(
     "op9_bloom_exact_dedup",
     f"""WITH h AS (SELECT doc_id, sha256({LOWERED}) AS text_sha256 FROM documents),
