@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lexiframe.llm import classlm, decontaminate, exactdedup, htmltext, mixing, neardup, quality, sharding
+from lexiframe.llm import classlm, decontaminate, exactdedup, htmltext, linededup, mixing, neardup, quality, sharding
 from lexiframe.session import apply_settings, scratch_path
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -100,6 +100,11 @@ def _(spark, sf):
     return mixing.mix(table(spark, sf, "documents"))
 
 
+@query("op3_similar_lines")
+def _(spark, sf):
+    return linededup.repeated_lines(table(spark, sf, "documents"))
+
+
 @query("op4_block_labeller")
 def _(spark, sf):
     return htmltext.extract(table(spark, sf, "pages"))
