@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lexiframe.llm import classlm, decontaminate, exactdedup, htmltext, linededup, mixing, neardup, quality, sharding
+from lexiframe.llm import classlm, decontaminate, exactdedup, htmltext, licenses, linededup, mixing, neardup, quality, sharding
 from lexiframe.session import apply_settings, scratch_path
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -125,6 +125,34 @@ def _(spark, sf):
     return neardup.near_duplicates(table(spark, sf, "documents"))
 
 
+def licence_sql() -> str:
+    """The same canonical forms and look-ups; known texts as a list of values."""
+
+    def canonical(text: str) -> str:
+        out = f"regexp_replace(translate({text}, '{UPPER}', '{LOWER}'), '(?m){licenses.COPYRIGHT_LINE}', '', 'g')"
+        out = f"regexp_replace({out}, '{licenses.MARKS}', ' ', 'g')"
+        for found, put in licenses.SPELLINGS:
+            out = f"regexp_replace({out}, '{found}', '{put}', 'g')"
+        return f"trim({out})"
+
+    quoted = lambda x: "'" + x.replace("'", "''") + "'"
+    known = ", ".join(f"({quoted(n)}, {quoted(t)})" for n, each in licenses.known_texts().items() for t in each)
+    return f"""WITH k AS (SELECT sha256(form) AS digest, min(licence) AS licence FROM (
+      SELECT licence, {canonical('t')} AS form FROM (VALUES {known}) AS v(licence, t)) WHERE form <> '' GROUP BY 1),
+    whole AS (SELECT doc_id, {canonical("coalesce(text, '')")} AS form FROM documents),
+    parts AS (SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS part FROM documents),
+    hits AS (SELECT doc_id, count(*) AS n_notices, string_agg(DISTINCT licence, ',' ORDER BY licence) AS notices
+      FROM (SELECT doc_id, {canonical('part')} AS form FROM parts) JOIN k ON digest = sha256(form) WHERE form <> '' GROUP BY 1)
+    SELECT doc_id, CASE WHEN form <> '' THEN sha256(form) END AS text_digest, licence, coalesce(n_notices, 0)::BIGINT AS n_notices,
+      coalesce(notices, '') AS notices
+    FROM whole LEFT JOIN k ON form <> '' AND digest = sha256(form) LEFT JOIN hits USING (doc_id)"""
+
+
+@query("op8_licence_digests", licence_sql())
+def _(spark, sf):
+    return licenses.scan(table(spark, sf, "documents"))
+
+
 @query(
     "op9_bloom_exact_dedup",
     f"""WITH h AS (SELECT doc_id, sha256({LOWERED}) AS text_sha256 FROM documents),
