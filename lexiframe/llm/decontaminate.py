@@ -311,6 +311,16 @@ def _overlaps(index: DataFrame, phrases: Phrases) -> DataFrame:
     return index.mapInArrow(search, schema)
 
 
+def _items(tests: DataFrame, item_col: str, text_col: str, round_bytes: int) -> tuple[DataFrame, int]:
+    """(item, text), and in how many rounds they are searched."""
+    items = tests.select(
+        F.coalesce(tests[item_col].cast("string"), F.lit("null")).alias("item"),
+        F.coalesce(tests[text_col], F.lit("")).cast("binary").alias("text"),
+    )
+    size = items.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
+    return items, size // round_bytes + 1
+
+
 def contamination(
     docs: DataFrame,
     tests: DataFrame,
@@ -333,12 +343,7 @@ def contamination(
     Columns: doc_id, n_words, n_hit, n_items, items_sha256, contaminated.
     """
     index = build_index(docs, id_col, text_col)
-    items = tests.select(
-        F.coalesce(tests[item_col].cast("string"), F.lit("null")).alias("item"),
-        F.coalesce(tests[item_text_col], F.lit("")).cast("binary").alias("text"),
-    )
-    size = items.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
-    rounds = size // round_bytes + 1
+    items, rounds = _items(tests, item_col, item_text_col, round_bytes)
     if rounds == 1:
         found = _overlaps(index, windows_of(items.collect(), window))  # at most round_bytes
         lengths = F.zip_with("froms", "tos", lambda a, b: b - a)
@@ -365,3 +370,52 @@ def contamination(
         F.sha2(F.concat_ws(",", F.array_sort("items")), 256).alias("items_sha256"),
         ((F.col("n_hit") > 0) & (F.col("n_hit") * ratio >= F.col("n_words"))).alias("contaminated"),
     )
+
+
+def decontaminated(
+    docs: DataFrame,
+    tests: DataFrame,
+    text_col: str = "text",
+    item_col: str = "item_id",
+    item_text_col: str = "text",
+    window: int = WINDOW,
+    ratio: int = RATIO,
+    round_bytes: int = ROUND_BYTES,
+) -> DataFrame:
+    """The documents that ``contamination`` does not find contaminated, with all their columns.
+
+    The index of a block of documents is searched in the task that built it, so the
+    documents themselves do not move. Test sets too large for one broadcast go by
+    the stored index; then contaminated texts are taken out by a join.
+    """
+    names = docs.columns
+    rows = docs.toDF(*(f"c{k}" for k in range(len(names))))
+    text = rows[names.index(text_col)]
+    items, rounds = _items(tests, item_col, item_text_col, round_bytes)
+    if rounds > 1:
+        keyed = rows.withColumn("key", F.sha2(F.coalesce(text, F.lit("")), 256))
+        found = contamination(keyed, tests, "key", f"c{names.index(text_col)}", item_col, item_text_col, window, ratio, round_bytes)
+        gone = stored(found.filter("contaminated").select(F.col("doc_id").alias("key")).distinct(), "contaminated")
+        return keyed.join(gone, "key", "left_anti").drop("key").toDF(*names)
+
+    shared = docs.sparkSession.sparkContext.broadcast(windows_of(items.collect(), window))  # at most round_bytes
+    at = names.index(text_col)
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = shared.value
+        vocabulary = pa.array(known.vocabulary, pa.binary())
+        for batch in batches:
+            found = [words((t or "").encode("utf-8", "surrogatepass")) for t in batch.column(at).to_pylist()]
+            lengths = np.array([len(w) for w in found], np.int64)
+            _, first, terms, starts, positions = _block(found, lengths, [w for ws in found for w in ws])
+            local = pc.index_in(vocabulary, value_set=terms).fill_null(-1).to_numpy()
+            edge = np.zeros(int(first[-1]) + 1, np.int32)
+            for length, table in known.tables.items():
+                _, begin = find(first, starts, positions, local, table)
+                np.add.at(edge, begin, 1)
+                np.add.at(edge, begin + length, -1)
+            inside = np.concatenate(([0], np.cumsum(np.cumsum(edge[:-1]) > 0)))
+            n_hit = inside[first[1:]] - inside[first[:-1]]
+            yield batch.filter(pa.array(~((n_hit > 0) & (n_hit * ratio >= lengths))))
+
+    return rows.mapInArrow(run, rows.schema).toDF(*names)

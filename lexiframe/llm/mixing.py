@@ -14,6 +14,7 @@ the corpus is still many small tasks.
 from __future__ import annotations
 
 from collections.abc import Sequence
+from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -31,6 +32,8 @@ TILT = 0.5
 FILLS = 3
 #: Documents of a source that a block holds on average.
 BLOCK_ROWS = 100_000
+#: Sources up to which a table with one row per source is broadcast.
+MOST_BROADCAST = 100_000
 
 
 def source_targets(
@@ -71,8 +74,13 @@ def random_number(id_col: Column, seed: str) -> Column:
     return (hex_number(digest, 1, 13).cast("double") + 0.5) / F.lit(float(1 << 52))
 
 
+def _small(df: DataFrame) -> DataFrame:
+    """A per-source table, broadcast where it has few enough rows to be."""
+    return F.broadcast(df) if df.count() <= MOST_BROADCAST else df
+
+
 def ranked(sized: DataFrame, targets: DataFrame, seed: str, tilt: float, block_rows: int) -> DataFrame:
-    """Add copies (certain ones), place (the Pareto rank, in (0, 1)) and block."""
+    """Add source_size, target, copies (certain ones), place (the Pareto rank, in (0, 1)) and block."""
     share = F.col("target") / F.col("source_size")
     rates = targets.select(
         F.col("source").alias("s"),
@@ -83,16 +91,14 @@ def ranked(sized: DataFrame, targets: DataFrame, seed: str, tilt: float, block_r
         "target",
         "source_size",
     )
-    joined = sized.join(rates, F.col("source").eqNullSafe(F.col("s")))
+    joined = sized.join(_small(rates), F.col("source").eqNullSafe(F.col("s"))).drop("s")
     rest, mean, size = F.col("rest"), F.col("mean"), F.col("size")
     chance = rest + F.least(rest, 1 - rest) * F.lit(tilt) * (size - mean) / (size + mean)
     u = random_number(F.col("doc_id"), seed)
     odds = (u / (1 - u)) / (chance / (1 - chance))
     placed = joined.withColumn("place", F.when(rest > 0, odds / (1 + odds)))
-    return placed.select(
-        "doc_id", "source", "size", "source_size", "target", "copies", "place",
-        F.least(F.floor(F.col("place") * F.col("blocks")), F.col("blocks") - 1).alias("block"),
-    )
+    block = F.least(F.floor(F.col("place") * F.col("blocks")), F.col("blocks") - 1)
+    return placed.withColumn("block", block).drop("rest", "mean", "blocks")
 
 
 def _cut(rows: DataFrame, gaps: DataFrame, first: bool) -> DataFrame:
@@ -131,37 +137,45 @@ def _cut(rows: DataFrame, gaps: DataFrame, first: bool) -> DataFrame:
     return both.groupBy("source").agg(F.max("last").alias("last"), F.max("words").alias("words"))
 
 
-def mix(
-    docs: DataFrame,
-    id_col: str = "doc_id",
-    text_col: str = "text",
-    source_col: str = "source",
+@dataclass
+class Plan:
+    """What decides a mix: targets and cuts per source, and the settings of the ranking."""
+
+    targets: DataFrame
+    passes: list[DataFrame]
+    seed: str
+    tilt: float
+    block_rows: int
+
+    def copies(self, sized: DataFrame) -> DataFrame:
+        """Add source_size, target and copies to rows of (doc_id, source, size, ...)."""
+        out = ranked(sized, self.targets, self.seed, self.tilt, self.block_rows)
+        chosen = F.lit(False)
+        here = F.struct("place", "doc_id")
+        for k, one in enumerate(self.passes):
+            out = out.join(_small(one.withColumnRenamed("source", "s")), F.col("source").eqNullSafe(F.col("s")), "left").drop("s")
+            p = F.col(f"pass{k}")
+            inside = here <= p["cut"]
+            if k:
+                inside = inside & F.coalesce(here > p["after"], F.lit(True)) & (F.col("size") <= p["had"])
+            chosen = chosen | F.coalesce(inside, F.lit(False))
+        copies = F.col("copies") + F.when(F.col("place").isNotNull() & chosen, 1).otherwise(0)
+        return out.withColumn("copies", copies.cast("int")).select(*sized.columns, "source_size", "target", "copies")
+
+
+def plan(
+    sized: DataFrame,
     weights: Sequence[int] = WEIGHTS,
     share: float = SHARE,
     most: int = MOST,
     tilt: float = TILT,
     seed: str = "mix",
     block_rows: int = BLOCK_ROWS,
-) -> DataFrame:
-    """One row per document with the words the mix takes of it.
-
-    A document is taken whole, never in part. A null text has no words, a null
-    source is a source of its own, null ids share one random number. Rows equal in
-    id and source are taken together or not at all. Sources without words have
-    target 0. Ids and seed decide everything, so reruns agree. Only the three named
-    columns are read. An empty table gives an empty result.
-
-    Columns: doc_id, size, source_size, target, taken, source, copies.
-    """
-    words = F.regexp_count(F.coalesce(docs[text_col], F.lit("")), F.lit(f"[^{SPACE}]+"))
-    sized = stored(
-        docs.select(docs[id_col].alias("doc_id"), docs[source_col].alias("source"), words.cast("long").alias("size")),
-        "sizes",
-    )
+) -> Plan:
+    """The plan of a mix from (doc_id, source, size)."""
     sizes = sized.groupBy("source").agg(F.count("*").alias("documents"), F.sum("size").alias("source_size"))
     targets = stored(source_targets(sizes, weights, share, most), "targets")
-    rows = stored(ranked(sized, targets, seed, tilt, block_rows), "ranked")
-
+    rows = stored(ranked(sized, targets, seed, tilt, block_rows).select("doc_id", "source", "size", "place", "block"), "ranked")
     share_of = F.col("target") / F.col("source_size")
     whole = F.coalesce(F.floor(share_of), F.lit(0)) * F.col("source_size")
     state = targets.select("source", (F.col("target") - whole).alias("gap")).withColumn(
@@ -176,19 +190,46 @@ def mix(
         )
         state = stored(joined, "mix-state")
         passes.append(state.select("source", F.struct("had", "after", "cut").alias(f"pass{k}")))
+    return Plan(targets, passes, seed, tilt, block_rows)
 
-    out = rows
-    chosen = F.lit(False)
-    here = F.struct("place", "doc_id")
-    for k, one in enumerate(passes):
-        out = out.join(one.withColumnRenamed("source", f"s{k}"), F.col("source").eqNullSafe(F.col(f"s{k}")), "left")
-        p = F.col(f"pass{k}")
-        inside = here <= p["cut"]
-        if k:
-            inside = inside & F.coalesce(here > p["after"], F.lit(True)) & (F.col("size") <= p["had"])
-        chosen = chosen | F.coalesce(inside, F.lit(False))
-    copies = F.col("copies") + F.when(F.col("place").isNotNull() & chosen, 1).otherwise(0)
-    return out.select(
-        "doc_id", "size", "source_size", "target",
-        (copies * F.col("size")).cast("long").alias("taken"), "source", copies.cast("int").alias("copies"),
+
+def word_count(text: Column) -> Column:
+    return F.regexp_count(F.coalesce(text, F.lit("")), F.lit(f"[^{SPACE}]+")).cast("long")
+
+
+def _sized(docs: DataFrame, id_col: str, text_col: str, source_col: str) -> DataFrame:
+    return stored(
+        docs.select(docs[id_col].alias("doc_id"), docs[source_col].alias("source"), word_count(docs[text_col]).alias("size")),
+        "sizes",
+    )
+
+
+def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", **settings) -> DataFrame:
+    """One row per document with the words the mix takes of it.
+
+    A document is taken whole, never in part. A null text has no words, a null
+    source is a source of its own, null ids share one random number. Rows equal in
+    id and source are taken together or not at all. Sources without words have
+    target 0. Ids and seed decide everything, so reruns agree. Only the three named
+    columns are read. An empty table gives an empty result. ``settings`` are those
+    of ``plan``.
+
+    Columns: doc_id, size, source_size, target, taken, source, copies.
+    """
+    sized = _sized(docs, id_col, text_col, source_col)
+    out = plan(sized, **settings).copies(sized)
+    taken = (F.col("copies") * F.col("size")).cast("long")
+    return out.select("doc_id", "size", "source_size", "target", taken.alias("taken"), "source", "copies")
+
+
+def mixed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", **settings) -> DataFrame:
+    """The mix itself: every document as often as it is taken, with all its columns; they do not shuffle."""
+    decided = plan(_sized(docs, id_col, text_col, source_col), **settings)
+    names = docs.columns
+    rows = docs.select(
+        docs[id_col].alias("doc_id"), docs[source_col].alias("source"), word_count(docs[text_col]).alias("size"),
+        *(docs[c].alias(f"c{k}") for k, c in enumerate(names)),
     )
+    taken = decided.copies(rows).filter("copies > 0")
+    repeated = taken.withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("copies"))))
+    return repeated.select(*(F.col(f"c{k}").alias(c) for k, c in enumerate(names)))

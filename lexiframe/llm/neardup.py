@@ -118,7 +118,7 @@ def _parts(batch: pa.RecordBatch, most: int = 1 << 9) -> Iterator[pa.RecordBatch
 
 
 def signed(rows: DataFrame) -> DataFrame:
-    """Add digest, n (distinct shingles), bands and sketch to (id, text); the text stays for verification."""
+    """Add digest, n (distinct shingles), bands and sketch to (id, text, ...); the text stays for verification."""
     fields = [
         ("digest", T.StringType()), ("n", T.IntegerType()), ("bands", T.ArrayType(T.LongType())), ("sketch", T.ArrayType(T.LongType())),
     ]
@@ -252,6 +252,25 @@ def near_classes(reps: DataFrame) -> DataFrame:
     return link(rest.select("a", "b").distinct(), classes)
 
 
+def _classified(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The signed rows of (doc_id, text, ...), and per digest its class: best row and size."""
+    table = stored(signed(rows).withColumn("row", F.monotonically_increasing_id()), "signatures")
+    order = F.struct(F.col("doc_id").isNull().alias("missing"), "doc_id", "row")
+    copies = table.groupBy("digest").agg(F.min("row").alias("rep"), F.count("*").alias("copies"), F.min(order).alias("best"))
+    copies = stored(copies, "copies")
+    reps = table.join(copies.select(F.col("rep").alias("row")), "row").select(F.col("row").alias("rep"), "text", "n", "bands", "sketch")
+    labelled = copies.join(near_classes(reps), "rep", "left").withColumn("class", F.coalesce("class", "rep"))
+    labelled = stored(labelled, "labelled")
+    whole = labelled.groupBy("class").agg(F.min("best").alias("best"), F.sum("copies").alias("class_size"))
+    named = labelled.select("digest", "class").join(stored(whole, "near-classes"), "class")
+    return table, stored(named, "named")
+
+
+def _rows(docs: DataFrame, id_col: str, text_col: str, *more: Column) -> DataFrame:
+    text = F.coalesce(docs[text_col], F.lit("")).cast("binary")
+    return docs.select(docs[id_col].alias("doc_id"), text.alias("text"), *more)
+
+
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per document with its class of near copies.
 
@@ -265,17 +284,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     Columns: doc_id, class_id, class_size, n_shingles, kept.
     """
-    rows = docs.select(docs[id_col].alias("doc_id"), F.coalesce(docs[text_col], F.lit("")).cast("binary").alias("text"))
-    table = stored(signed(rows).withColumn("row", F.monotonically_increasing_id()), "signatures")
-    order = F.struct(F.col("doc_id").isNull().alias("missing"), "doc_id", "row")
-    copies = table.groupBy("digest").agg(F.min("row").alias("rep"), F.count("*").alias("copies"), F.min(order).alias("best"))
-    copies = stored(copies, "copies")
-    reps = table.join(copies.select(F.col("rep").alias("row")), "row").select(F.col("row").alias("rep"), "text", "n", "bands", "sketch")
-    classes = near_classes(reps)
-    labelled = copies.join(classes, "rep", "left").withColumn("class", F.coalesce("class", "rep"))
-    labelled = stored(labelled, "labelled")
-    whole = labelled.groupBy("class").agg(F.min("best").alias("best"), F.sum("copies").alias("class_size"))
-    named = stored(labelled.select("digest", "class").join(stored(whole, "near-classes"), "class"), "named")
+    table, named = _classified(_rows(docs, id_col, text_col))
     return table.select("doc_id", "row", "digest", "n").join(named, "digest").select(
         "doc_id",
         F.col("best.doc_id").alias("class_id"),
@@ -283,3 +292,16 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         F.col("n").cast("long").alias("n_shingles"),
         (F.col("row") == F.col("best.row")).alias("kept"),
     )
+
+
+def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The documents without near copies: of each class the row that ``near_duplicates`` keeps, all columns."""
+    record = F.struct(*(F.col(c).alias(f"c{k}") for k, c in enumerate(docs.columns) if c != text_col), F.lit(0).alias("none"))
+    null = docs[text_col].isNull()
+    table, named = _classified(_rows(docs, id_col, text_col, record.alias("record"), null.alias("null")))
+    kept = named.groupBy("class").agg(F.first("best.row").alias("row")).select("row")
+    columns = [
+        F.when(~F.col("null"), F.col("text").cast("string")).alias(c) if c == text_col else F.col(f"record.c{k}").alias(c)
+        for k, c in enumerate(docs.columns)
+    ]
+    return table.join(stored(kept, "kept-rows"), "row", "left_semi").select(*columns)

@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+import corpus_pipeline
 from lexiframe.llm import classlm, decontaminate, exactdedup, htmltext, licenses, linededup, mixing, neardup, quality, sharding
 from lexiframe.session import apply_settings, scratch_path
 
@@ -166,3 +167,6 @@ def _(spark, sf):
 @query("op10_class_bigrams")
 def _(spark, sf):
     return classlm.score_texts(table(spark, sf, "documents"))
+
+
+query("pipeline", corpus_pipeline.ORACLE_SQL)(corpus_pipeline.run)

@@ -250,6 +250,17 @@ def quality_scores(
     )
 
 
+def accepted(
+    docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", model: Model | None = None
+) -> DataFrame:
+    """The documents that the classifier does not reject, with all their columns."""
+    model = model or fit(docs, labels, id_col, text_col)
+    names = docs.columns
+    rows = docs.toDF(*(f"c{k}" for k in range(len(names))))
+    text = F.coalesce(rows[names.index(text_col)], F.lit("")).cast("binary")
+    return with_score(rows.withColumn("text", text), model).filter("score >= 0.5").drop("score").toDF(*names)
+
+
 def with_score(rows: DataFrame, model: Model) -> DataFrame:
     """Replace the last column, the text's bytes, by its score; others pass through."""
     kept = rows.schema.fields[:-1]

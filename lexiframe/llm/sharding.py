@@ -7,7 +7,7 @@ which slot. Rebalancing edits that table; records move only with their slot.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lexiframe.llm.common import stored
@@ -26,14 +26,17 @@ def record_slots(
     Id and text decide the slot, so records without an id spread as well. Only
     records equal in both share a slot by design.
     """
-    text = F.coalesce(docs[text_col], F.lit(""))
-    sized = docs.select(
-        docs[id_col].alias("doc_id"),
-        (F.octet_length(text) + RECORD_BYTES).cast("long").alias("size"),
-        F.crc32(text.cast("binary")).alias("text_crc32"),
+    size, crc, slot = _slot(docs[id_col], docs[text_col], slots)
+    return docs.select(
+        docs[id_col].alias("doc_id"), size.alias("size"), crc.alias("text_crc32"), slot.alias("virtual_slot")
     )
-    slot = F.pmod(F.xxhash64("doc_id", "text_crc32", "size"), F.lit(slots)).cast("int")
-    return sized.withColumn("virtual_slot", slot)
+
+
+def _slot(id_col: Column, text_col: Column, slots: int) -> tuple[Column, Column, Column]:
+    text = F.coalesce(text_col, F.lit(""))
+    size = (F.octet_length(text) + RECORD_BYTES).cast("long")
+    crc = F.crc32(text.cast("binary"))
+    return size, crc, F.pmod(F.xxhash64(id_col, crc, size), F.lit(slots)).cast("int")
 
 
 def slot_weights(records: DataFrame, slots: int = SLOTS) -> DataFrame:
@@ -162,3 +165,27 @@ def shard_documents(
         "virtual_slot",
         F.col("version").alias("map_version"),
     )
+
+
+def with_shards(
+    docs: DataFrame,
+    map_path: str,
+    id_col: str = "doc_id",
+    text_col: str = "text",
+    shards: int = SHARDS,
+    slots: int = SLOTS,
+) -> DataFrame:
+    """The documents themselves with size, virtual_slot, shard and map_version added; they do not shuffle."""
+    records = record_slots(docs, id_col, text_col, slots)
+    weights = stored(slot_weights(records.select("virtual_slot", "size"), slots), "slot-weights")
+    save_map(first_map(weights, shards), map_path)
+    names = docs.columns
+    size, _, slot = _slot(docs[id_col], docs[text_col], slots)
+    rows = docs.select(*(docs[c].alias(f"c{k}") for k, c in enumerate(names)), size.alias("size"), slot.alias("virtual_slot"))
+    # one row per slot: bounded by the number of slots
+    joined = rows.join(F.broadcast(load_map(docs.sparkSession, map_path)), "virtual_slot")
+    taken = {c.lower() for c in names}
+    added = {c: c if c not in taken else f"shard_{c}" for c in ("size", "virtual_slot", "shard", "map_version")}
+    return joined.withColumnRenamed("version", "map_version").select(
+        *(F.col(f"c{k}").alias(c) for k, c in enumerate(names)), *(F.col(c).alias(a) for c, a in added.items())
+    )
