@@ -26,8 +26,8 @@ from pyspark.sql import types as T
 
 #: Bound on the sample of pages the network is trained on, and on the html of one of them.
 SAMPLE_PAGES, SAMPLE_BYTES = 240, 65_536
-#: Invented layouts per sampled page.
-LAYOUTS = 4
+#: Invented layouts in the training set.
+LAYOUTS = 960
 TAGS, WORDS, WIDTH, HIDDEN, MEASURES = 512, 2048, 12, 16, 6
 EPOCHS, BATCH, RATE = 6, 16, 0.01
 #: Blocks of pages that are read side by side.
@@ -392,7 +392,7 @@ def train(pages: list[str], seed: int = 5) -> Model:
     texts = [t for p in pages for t in blocks(p).texts if t.strip()]
     texts = texts or ["One two three four five.", "Six seven, eight nine ten eleven twelve.", "Menu", "Read more about this."]
     marked = [m for m in map(weakly_labelled, pages) if m]
-    marked += [invented(rng, texts) for _ in range(LAYOUTS * max(len(pages), 40))]
+    marked += [invented(rng, texts) for _ in range(LAYOUTS)]
     examples = [p for p in map(blocks, marked) if p.texts and min(p.labels) >= 0]
     moments = [(np.zeros_like(p), np.zeros_like(p)) for p in model.parts()]
     step = 0

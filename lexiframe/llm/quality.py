@@ -40,11 +40,11 @@ class Model:
         return [self.vectors, self.filters, self.bias, self.heads]
 
 
-def layout(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def layout(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Texts one after the other, each followed by SPAN - 1 zero bytes.
 
-    Returns the bytes, where each half begins, and the document of each half. An
-    empty text has no halves.
+    Returns the bytes, where the windows of each half begin and end, and the
+    document of each half. An empty text has no halves.
     """
     pad = b"\0" * (SPAN - 1)
     joined = np.frombuffer(pad.join(texts) + pad, np.uint8)
@@ -53,7 +53,8 @@ def layout(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     halves = -(-lengths // HALF)
     doc = np.repeat(np.arange(len(texts)), halves)
     inner = np.arange(len(doc)) - np.repeat(np.cumsum(halves) - halves, halves)
-    return joined, np.repeat(begins, halves) + inner * HALF, doc
+    first = np.repeat(begins, halves) + inner * HALF
+    return joined, first, np.minimum(first + HALF, np.repeat(begins + lengths, halves)), doc
 
 
 def pool(best: np.ndarray, doc: np.ndarray, documents: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -101,16 +102,14 @@ def train(texts: list[bytes], labels: list[int], seed: int = 7) -> Model:
         order = rng.permutation(len(texts))
         for at in range(0, len(order), BATCH):
             chosen = order[at : at + BATCH]
-            joined, begins, doc = layout([texts[k] for k in chosen])
+            joined, begins, ends, doc = layout([texts[k] for k in chosen])
             if not len(begins):
                 continue
             view = _windows(joined)
             flat = model.filters.reshape(SPAN * WIDTH, FILTERS)
-            ends = np.append(begins[1:], len(view))
             best = np.zeros((len(begins), FILTERS), np.float32)
             won = np.zeros((len(begins), FILTERS), np.int64)
             for k, (a, b) in enumerate(zip(begins, ends)):  # halves are short: one small product each
-                b = min(b, a + HALF)
                 got = model.vectors[view[a:b]].reshape(b - a, -1) @ flat
                 won[k] = a + got.argmax(0)
                 best[k] = got.max(0)
@@ -167,14 +166,11 @@ def pair_tables(model: Model) -> list[np.ndarray]:
 
 def score(texts: list[bytes], model: Model, tables: list[np.ndarray]) -> np.ndarray:
     """Probability of label 1 for whole texts."""
-    joined, begins, doc = layout(texts)
+    joined, begins, ends, doc = layout(texts)
     best = np.zeros((len(begins), FILTERS), np.float32)
     if len(begins):
         pairs = joined[:-1].astype(np.uint16) << 8 | joined[1:]
         positions = len(joined) - SPAN + 1
-        # halves are reduced from where they begin to where the next begins: windows in the zero
-        # bytes between two documents are left out by a closing mark
-        ends = np.minimum(np.append(begins[1:], positions), begins + HALF)
         cut = np.searchsorted(begins, np.arange(0, positions, SLICE))
         for a, b in zip(cut, np.append(cut[1:], len(begins))):
             if a == b:
@@ -183,6 +179,7 @@ def score(texts: list[bytes], model: Model, tables: list[np.ndarray]) -> np.ndar
             got = tables[0].take(pairs[low:high], axis=0)
             for k in range(1, SPAN // 2):
                 got += tables[k].take(pairs[low + 2 * k : high + 2 * k], axis=0)
+            # every other stretch lies between two halves and is passed over
             marks = np.empty(2 * (b - a), np.int64)
             marks[0::2], marks[1::2] = begins[a:b] - low, ends[a:b] - low
             if marks[-1] == high - low:
