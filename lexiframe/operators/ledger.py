@@ -21,11 +21,16 @@ AGGREGATION_FAILED = "Aggregation_Failed"
 
 # Statuses after which a stage leaves a job alone.
 TERMINAL = {
-    "conversion": ("Invalid_file", "Excel_parquet_conversion_failed", "columns_extracted"),
+    "conversion": (
+        "Invalid_file", "Excel_parquet_conversion_failed", "job_not_found", "columns_extracted", "no_columns_found",
+    ),
     "extraction": (
         "Invalid_file", "Column_extraction_failed", "columns_extracted", "no_columns_found",
         "job_not_found",
     ),
+    "distribution": (
+        "nlp_processing_failed_upload_errors", "nlp_processing_failed_stream_errors", "system_failed",
+    ),
     "aggregation": ("aggregation_process(map_reduce)_completed", "aggregation_process_failed"),
     "export": ("Zipping_failed", "final_zip_file_uploaded_Azure"),
 }
@@ -130,6 +135,16 @@ def eligible(jobs: DataFrame, stage: str) -> DataFrame:
     return jobs.filter(~F.coalesce(F.col("status").isin(*TERMINAL[stage]), F.lit(False)))
 
 
+def stages_open(jobs: DataFrame, job: str = "job_id") -> DataFrame:
+    """``(job, stage, open)``: for every job and stage whether the stage may still work on it."""
+    status = F.col("status")
+    states = [
+        F.struct(F.lit(stage).alias("stage"), (~F.coalesce(status.isin(*ends), F.lit(False))).alias("open"))
+        for stage, ends in TERMINAL.items()
+    ]
+    return jobs.select(job, F.inline(F.array(*states)))
+
+
 def apply_status_updates(jobs: DataFrame, updates: DataFrame, job: str = "job_id") -> DataFrame:
     """Jobs with their new status and whether it changed. ``updates`` has one row per job."""
     new = updates.select(job, F.col("status").alias("__new"))

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -14,11 +15,21 @@ SALTS = 16
 BLOCK_ROWS = 1_000_000
 # a block this many times as full calls for another way to cut
 OVERFULL = 4
+# the block of rows without an order value
+NULL_BLOCK = -(1 << 62)
 # keys treated as hot: the most frequent ones, beyond this many rows
 HOT_KEYS = 10_000
 HOT_ROWS = 1_000_000
 
 
+def null_safe_join(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str = "inner") -> DataFrame:
+    """Join on equal keys, where null equals null; the right side's keys are dropped."""
+    theirs = {key: f"__key{i}" for i, key in enumerate(keys)}
+    renamed = right.withColumnsRenamed(theirs)
+    same = reduce(lambda a, b: a & b, (F.col(key).eqNullSafe(F.col(other)) for key, other in theirs.items()))
+    return left.join(renamed, same, how).drop(*theirs.values())
+
+
 def facts_join(
     rows: DataFrame,
     facts: DataFrame,
@@ -35,7 +46,7 @@ def facts_join(
     """
     salted = rows.withColumn("__salt", F.pmod(F.xxhash64(*spread_by), F.lit(salts)).cast("int"))
     repeated = facts.withColumn("__salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-    return salted.join(repeated, [*keys, "__salt"], how).drop("__salt")
+    return null_safe_join(salted, repeated, [*keys, "__salt"], how).drop("__salt")
 
 
 def hot_join(
@@ -70,7 +81,7 @@ def hot_join(
         .withColumn("__part", F.explode(F.sequence(F.lit(0), last)))
         .drop("__parts", "__h")
     )
-    joined = dealt.join(repeated, [*keys, "__part"], how)
+    joined = null_safe_join(dealt, repeated, [*keys, "__part"], how)
     return joined.drop("__h", "__parts", "__part")
 
 
@@ -102,13 +113,18 @@ def with_block(
     all order columns, fixed by a checkpoint.
     """
     number = order_number(F.col(order[0]), df.schema[order[0]].dataType.simpleString())
+
+    def cut(width: int) -> DataFrame:
+        # nulls come first in an order, so their block does as well
+        return df.withColumn("__block", F.coalesce(F.floor(number / F.lit(width)).cast("long"), F.lit(NULL_BLOCK)))
+
     if width is not None:
-        return df.withColumn("__block", F.floor(number / F.lit(width)).cast("long"))
+        return cut(width)
     low, high, n = df.agg(F.min(number), F.max(number), F.count("*")).first()
     if n <= rows_per_block:
         return df.withColumn("__block", F.lit(0).cast("long"))
-    width = max(1, (high - low + 1) * rows_per_block // n)
-    blocked = df.withColumn("__block", F.floor(number / F.lit(width)).cast("long"))
+    width = max(1, (high - low + 1) * rows_per_block // n) if low is not None else 1
+    blocked = cut(width)
     fullest = blocked.groupBy(*keys, "__block").count().agg(F.max("count")).first()[0]
     if fullest <= OVERFULL * rows_per_block:
         return blocked
@@ -130,7 +146,7 @@ def running_sum(
     Two levels: totals per (key, block), their running sum per key, and a window
     inside each (key, block). No task sees more of a hot key than one block or
     its list of block totals. ``order`` must be unique per key; its first column
-    defines the blocks.
+    defines the blocks. A null key is a key like others; a null order value comes first.
     """
     keys = list(keys)
     blocked = with_block(df, keys, order, rows_per_block, width)
@@ -154,7 +170,7 @@ def running_sum(
     local = blocked.withColumns(
         {f"__local_{name}": F.sum(expr).over(inside) for name, expr in sums.items()}
     )
-    joined = local.join(offsets, [*keys, "__block"])
+    joined = null_safe_join(local, offsets, [*keys, "__block"])
     return joined.select(
         *df.columns,
         *((F.col(f"__local_{n}") + F.col(f"__before_{n}")).alias(n) for n in sums),
@@ -197,7 +213,7 @@ def previous_value(
     local = blocked.withColumn(
         "__prev", F.lag(F.struct(F.col(value).alias("v"))).over(inside)
     )
-    joined = local.join(carried, [*keys, "__block"])
+    joined = null_safe_join(local, carried, [*keys, "__block"])
     return joined.select(
         *df.columns, F.coalesce(F.col("__prev"), F.col("__carried"))["v"].alias(name)
     )

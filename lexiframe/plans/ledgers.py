@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from lexiframe.operators import ledger as J
 from lexiframe.operators import ratelimit as R
+from lexiframe.operators.skew import previous_value, running_sum
 from lexiframe.plans.registry import query, table
 
 # Events as a ledger: users are jobs, events are chunks.
@@ -145,6 +146,60 @@ def _(spark, sf):
     return J.eligible(latest(spark, sf), "extraction")
 
 
+@query(
+    "stages_open",
+    f"""WITH {LATEST}, stages(stage, ends) AS (VALUES
+      ('conversion', ['Invalid_file', 'Excel_parquet_conversion_failed', 'job_not_found', 'columns_extracted', 'no_columns_found']),
+      ('extraction', ['Invalid_file', 'Column_extraction_failed', 'columns_extracted', 'no_columns_found', 'job_not_found']),
+      ('distribution', ['nlp_processing_failed_upload_errors', 'nlp_processing_failed_stream_errors', 'system_failed']),
+      ('aggregation', ['aggregation_process(map_reduce)_completed', 'aggregation_process_failed']),
+      ('export', ['Zipping_failed', 'final_zip_file_uploaded_Azure']))
+    SELECT job_id, stage, NOT list_contains(ends, status) AS open FROM latest, stages""",
+)
+def _(spark, sf):
+    return J.stages_open(latest(spark, sf))
+
+
+# A fifth of the events without a job, a seventh without a time; both belong to the result.
+GAPPED = """gapped AS (
+  SELECT CASE WHEN event_id % 5 <> 0 THEN user_id END AS job_id, CASE WHEN event_id % 7 <> 0 THEN event_id // 3 END AS moment,
+    event_id FROM events)"""
+
+
+def gapped(spark, sf) -> DataFrame:
+    return table(spark, sf, "events").select(
+        F.when(F.col("event_id") % 5 != 0, F.col("user_id")).alias("job_id"),
+        F.when(F.col("event_id") % 7 != 0, F.expr("event_id div 3")).alias("moment"),
+        "event_id",
+    )
+
+
+@query(
+    "running_sum_with_nulls",
+    f"""WITH {GAPPED}, cuts(cut) AS (VALUES (1), (50), (1000000000))
+    SELECT cut, event_id, sum(event_id) OVER w::BIGINT AS upto, count(*) OVER w AS row_no FROM gapped, cuts
+    WINDOW w AS (PARTITION BY cut, job_id ORDER BY moment NULLS FIRST, event_id)""",
+)
+def _(spark, sf):
+    parts = []
+    for cut in (1, 50, 1_000_000_000):
+        sums = {"upto": F.col("event_id"), "row_no": F.lit(1)}
+        found = running_sum(gapped(spark, sf), ["job_id"], ["moment", "event_id"], sums, rows_per_block=cut)
+        parts.append(found.select(F.lit(cut).alias("cut"), "event_id", "upto", F.col("row_no").cast("long")))
+    return parts[0].unionByName(parts[1]).unionByName(parts[2])
+
+
+@query(
+    "previous_value_with_nulls",
+    f"""WITH {GAPPED} SELECT event_id, lag(event_id) OVER (PARTITION BY job_id ORDER BY moment NULLS FIRST, event_id) AS previous
+    FROM gapped""",
+)
+def _(spark, sf):
+    return previous_value(gapped(spark, sf), ["job_id"], ["moment", "event_id"], "event_id", "previous", rows_per_block=50).select(
+        "event_id", "previous"
+    )
+
+
 @query(
     "apply_status_updates",
     f"""WITH {LATEST}, jobs AS (SELECT c_custkey AS job_id, 'Text_processing' AS status FROM customer)

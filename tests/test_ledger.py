@@ -157,3 +157,13 @@ def test_no_chunks_no_rows(spark):
     empty = spark.createDataFrame([], "job_id string, seq long, status string")
     assert J.chunk_summary(empty).count() == 0
     assert J.status_changes(empty.withColumnRenamed("seq", "ts")).count() == 0
+
+
+@pytest.mark.parametrize("rows_per_block", [1, 2, 10**9])
+def test_nulls_in_key_and_order(spark, rows_per_block):
+    rows = [(k, o, v) for v, (k, o) in enumerate([("a", 1), ("a", None), (None, 3), (None, None), ("a", 9), (None, 50), ("b", None)])]
+    df = spark.createDataFrame(rows, "k string, o int, v int")
+    sums = S.running_sum(df, ["k"], ["o", "v"], {"s": F.col("v")}, rows_per_block=rows_per_block)
+    assert {r.v: r.s for r in sums.collect()} == {0: 1, 1: 1, 2: 5, 3: 3, 4: 5, 5: 10, 6: 6}
+    before = S.previous_value(df, ["k"], ["o", "v"], "v", "p", rows_per_block=rows_per_block)
+    assert {r.v: r.p for r in before.collect()} == {0: 1, 1: None, 2: 3, 3: None, 4: 0, 5: 2, 6: None}
