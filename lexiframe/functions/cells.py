@@ -98,8 +98,12 @@ def is_footer(cells: Column) -> Column:
     return F.coalesce(first.rlike("|".join(FOOTER_WORDS)), F.lit(False))
 
 
+# no type suffixes: 12d and 3f are codes, not numbers
+NUMBER = r"^\s*[+-]?(?:\d+\.?\d*|\.\d+)(?:[eE][+-]?\d+)?\s*$"
+
+
 def is_number_or_null(c: Column) -> Column:
-    return c.isNull() | c.try_cast("double").isNotNull()
+    return c.isNull() | c.rlike(NUMBER)
 
 
 def is_boolean_or_null(c: Column) -> Column:

@@ -81,14 +81,17 @@ def contractions() -> dict[str, str]:
     return table
 
 
-# Code points of the Miscellaneous Symbols and Dingbats blocks
-# that Unicode's emoji data lists as emoji.
+# Single code points and short runs that Unicode's emoji data lists as emoji.
 SYMBOL_EMOJI = (
+    "203C 2049 20E3 2122 2139 2194-2199 21A9-21AA 231A-231B 2328 23CF 23E9-23F3 23F8-23FA 24C2 25AA-25AB "
+    "25B6 25C0 25FB-25FE "
     "2600-2604 260E 2611 2614-2615 2618 261D 2620 2622-2623 2626 262A 262E-262F 2638-263A 2640 "
     "2642 2648-2653 265F-2660 2663 2665-2666 2668 267B 267E-267F 2692-2697 2699 269B-269C "
     "26A0-26A1 26A7 26AA-26AB 26B0-26B1 26BD-26BE 26C4-26C5 26C8 26CE-26CF 26D1 26D3-26D4 "
     "26E9-26EA 26F0-26F5 26F7-26FA 26FD 2702 2705 2708-270D 270F 2712 2714 2716 271D 2721 2728 "
-    "2733-2734 2744 2747 274C 274E 2753-2755 2757 2763-2764 2795-2797 27A1 27B0 27BF"
+    "2733-2734 2744 2747 274C 274E 2753-2755 2757 2763-2764 2795-2797 27A1 27B0 27BF "
+    "2934-2935 2B05-2B07 2B1B-2B1C 2B50 2B55 3030 303D 3297 3299 1F004 1F0CF 1F170-1F171 1F17E-1F17F 1F18E "
+    "1F191-1F19A 1F1E6-1F1FF 1F201-1F202 1F21A 1F22F 1F232-1F23A 1F250-1F251 1F7E0-1F7EB 1F7F0"
 )
 # Pictograph blocks taken whole.
 PICTOGRAPH_BLOCKS = "1F300-1F64F 1F680-1F6FF 1F900-1F9FF 1FA70-1FAFF"
@@ -109,9 +112,9 @@ EMOJI_NAMES = {
     0x1F3FE: "medium-dark skin tone",
     0x1F3FF: "dark skin tone",
 }
-EMOJI_BASE, EMOJI_END = 0x2600, 0x1FAFF
-# The gap between the two groups of blocks holds no emoji of ours.
-EMOJI_GAP = (0x27C0, 0x1F2FF)
+EMOJI_BASE, EMOJI_END = 0x203C, 0x1FAFF
+# The gap between the two groups of blocks holds no emoji.
+EMOJI_GAP = (0x329A, 0x1F003)
 
 
 def _code_points(spec: str):

@@ -18,7 +18,7 @@ HTML_TAG = "(?d)<.*?>"
 URL = f"https?://[^{WS}]+|www\\.[^{WS}]+"
 # a word with inner apostrophes, or a stretch between words
 CONTRACTION_PIECE = r"[\p{L}\p{N}_]+(?:['’][\p{L}\p{N}_]+)*|[^\p{L}\p{N}_]+"
-EMOJI_CLASS = r"\x{2600}-\x{27BF}\x{1F300}-\x{1FAFF}"
+EMOJI_CLASS = r"\x{203C}-\x{3299}\x{1F004}-\x{1FAFF}"
 EMOJI_PIECE = f"[{EMOJI_CLASS}]|[^{EMOJI_CLASS}]+"
 # variation selector and joiner inside emoji sequences
 EMOJI_GLUE = "\ufe0f\u200d"

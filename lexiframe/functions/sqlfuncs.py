@@ -69,9 +69,11 @@ def bodies() -> dict[str, tuple[str, str, str]]:
         ),
         "cosine": (
             "a ARRAY<FLOAT>, b ARRAY<FLOAT>", "DOUBLE",
-            """aggregate(zip_with(a, b, (x, y) -> double(x) * double(y)), 0D, (s, x) -> s + x)
-               / nullif(sqrt(aggregate(a, 0D, (s, x) -> s + double(x) * double(x)))
-                        * sqrt(aggregate(b, 0D, (s, x) -> s + double(x) * double(x))), 0D)""",
+            """aggregate(array(struct(
+                 aggregate(zip_with(a, b, (x, y) -> double(x) * double(y)), 0D, (s, x) -> s + x) as d,
+                 sqrt(aggregate(a, 0D, (s, x) -> s + double(x) * double(x)))
+                   * sqrt(aggregate(b, 0D, (s, x) -> s + double(x) * double(x))) as n)),
+               cast(null as double), (z, v) -> if(v.n = 0, 0D, v.d / v.n))""",
         ),
     }
 

@@ -208,8 +208,18 @@ def gate_values(sampled: DataFrame) -> DataFrame:
     ).withColumn("columns", let(names, lambda s: F.transform(s, lambda x: x["name"])))
 
 
-def validate_files(grid: DataFrame, kind: str = "csv", mode: str = "first") -> DataFrame:
-    """One row per file: status, columns and the first check that failed."""
+def enough_rows(rows: DataFrame, keys: Sequence[str] = ("file",), least: int = MIN_ROWS) -> DataFrame:
+    """Per file whether it has the least number of rows."""
+    return rows.groupBy(*keys).agg((F.count("*") >= least).alias("enough"))
+
+
+def validate_files(
+    grid: DataFrame, kind: str = "csv", mode: str = "first", encodings: DataFrame | None = None
+) -> DataFrame:
+    """One row per file: status, columns and the first check that failed.
+
+    With ``encodings``, rows of (file, encoding), the report names each file's encoding.
+    """
     headers = locate_header(grid, mode)
     sampled = gate_values(sample_rows(grid, headers))
     if kind == "csv":
@@ -239,7 +249,8 @@ def validate_files(grid: DataFrame, kind: str = "csv", mode: str = "first") -> D
         .when(F.size(names) > 0, "columns_extracted")
         .otherwise("no_columns_found")
     )
-    return joined.select("file", status.alias("status"), problem.alias("problem"), names.alias("columns"))
+    report = joined.select("file", status.alias("status"), problem.alias("problem"), names.alias("columns"))
+    return report if encodings is None else report.join(encodings.select("file", "encoding"), "file", "left")
 
 
 def sample_head(df: DataFrame, order: Sequence[str], n: int) -> DataFrame:

@@ -278,13 +278,17 @@ def _(spark, sf):
 )
 def _(spark, sf):
     rows = table(spark, sf, "customer").withColumnRenamed("c_mktsegment", "file")
-    return rows.groupBy("file").agg((F.count("*") >= G.MIN_ROWS).alias("enough"))
+    return G.enough_rows(rows)
 
 
 @query(
     "text_columns",
-    """SELECT * FROM (VALUES (1, 'c_name'), (4, 'c_mktsegment')) t(ordinal, "column")
-    WHERE (SELECT count(*) FROM customer) > 0""",
+    f"""WITH heads AS (SELECT * FROM customer ORDER BY c_custkey LIMIT 50),
+    long AS (SELECT unnest([0, 1, 2, 3, 4]) AS ordinal,
+      unnest(['c_custkey', 'c_name', 'c_nationkey', 'c_acctbal', 'c_mktsegment']) AS "column",
+      unnest([c_custkey::VARCHAR, c_name, c_nationkey::VARCHAR, c_acctbal::VARCHAR, c_mktsegment]) AS v FROM heads)
+    SELECT ordinal, "column" FROM long GROUP BY 1, 2
+    HAVING NOT bool_and(v IS NULL OR TRY_CAST(v AS DOUBLE) IS NOT NULL) AND NOT bool_and(lower(v) IN ('true', 'false'))""",
 )
 def _(spark, sf):
     return G.text_columns(table(spark, sf, "customer"), ["c_custkey"])
@@ -309,10 +313,10 @@ def _(spark, sf):
     "assign_chunks",
     """SELECT o_orderkey, CAST((n - 1) // 500 + 1 AS INTEGER) AS chunk_no,
       'orders_chunk_' || ((n - 1) // 500 + 1) || '_csv' AS chunk_id
-    FROM (SELECT o_orderkey, row_number() OVER (ORDER BY o_orderkey) AS n FROM orders WHERE o_orderstatus <> 'P')""",
+    FROM (SELECT o_orderkey, row_number() OVER (ORDER BY o_orderkey) AS n FROM orders)""",
 )
 def _(spark, sf):
-    orders = table(spark, sf, "orders").filter("o_orderstatus <> 'P'").withColumn("job", F.lit("orders"))
+    orders = table(spark, sf, "orders").withColumn("job", F.lit("orders"))
     return B.assign_chunks(orders, ["job"], ["o_orderkey"], job="job", rows_per_block=2000).select(
         "o_orderkey", "chunk_no", "chunk_id"
     )
@@ -386,15 +390,28 @@ def _(spark, sf):
 
 @query(
     "export_csv",
-    "SELECT CAST(doc_id AS VARCHAR) AS doc_id, source, replace(text, chr(10), ' \" ') AS text FROM documents",
+    "SELECT CAST(doc_id AS VARCHAR) AS doc_id, source, text || ' \"q\", x' AS text FROM documents",
 )
 def _(spark, sf):
     path = scratch_path(spark, "export")
-    docs = table(spark, sf, "documents").select(
-        "doc_id", "source", F.regexp_replace("text", "\n", ' " ').alias("text")
-    )
+    docs = table(spark, sf, "documents").select("doc_id", "source", F.concat("text", F.lit(' "q", x')).alias("text"))
     sinks.export_csv(docs, path)
-    return spark.read.csv(path, header=True, escape='"')
+    return scans.scan_csv(spark, path)
+
+
+@query(
+    "scan_csv_header_row",
+    """SELECT c_custkey::VARCHAR AS Id, c_name || chr(10) || '"x"' AS Name, c_mktsegment AS Segment FROM customer""",
+)
+def _(spark, sf):
+    path = scratch_path(spark, "header-row")
+    customers = table(spark, sf, "customer").select("c_custkey", "c_name", "c_mktsegment").coalesce(2)
+    quoted = F.concat(F.lit('"'), F.col("c_name"), F.lit('\n""x"""'))
+    line = F.concat_ws(",", "c_custkey", F.lit(""), quoted, "c_mktsegment")
+    title = "Customers,,,\nId,,Name , Segment\n"
+    whole = customers.groupBy(F.spark_partition_id()).agg(F.concat(F.lit(title), F.concat_ws("\n", F.collect_list(line))).alias("value"))
+    whole.select("value").write.option("lineSep", "\n").text(path)
+    return scans.scan_csv(spark, f"{path}/*.txt", header_row=1)
 
 
 @query(
@@ -412,46 +429,79 @@ def _(spark, sf):
 
 @query(
     "scan_csv_cp1252",
-    "SELECT CAST(doc_id AS VARCHAR) AS doc_id, regexp_replace(text, '\\s+', ' ', 'g') AS text FROM documents WHERE lang = 'fr'",
+    "SELECT CAST(doc_id AS VARCHAR) AS doc_id, text FROM documents",
 )
 def _(spark, sf):
     path = scratch_path(spark, "cp1252")
-    docs = table(spark, sf, "documents").filter("lang = 'fr'").select(
-        "doc_id", F.regexp_replace("text", r"\s+", " ").alias("text")
-    )
+    docs = table(spark, sf, "documents").select("doc_id", "text")
     docs.write.options(header=True, quoteAll=True, escape='"', encoding="windows-1252").csv(path)
     return scans.scan_csv(spark, path, "cp1252")
 
 
 def _encoded_files(spark, sf) -> str:
-    """French words in three encodings, one folder each, one file per task."""
+    """The documents as files in three encodings, one folder each, one file per task."""
     path = scratch_path(spark, "encodings")
-    words = table(spark, sf, "documents").filter("lang = 'fr'").select(
-        F.concat(F.lit("é "), F.regexp_replace("text", r"\s+", " ")).alias("value")
+    rows = table(spark, sf, "documents").select(
+        F.col("doc_id").cast("string").alias("Id"), F.concat(F.lit("é "), "text").alias("Text"), F.col("source").alias("Source")
     )
     for name, charset in scans.CHARSETS.items():
         tail = "\x81" if name == "latin1" else ""
-        words.withColumn("value", F.concat("value", F.lit(tail))).write.options(encoding=charset).csv(f"{path}/{name}")
+        out = rows.withColumn("Text", F.concat("Text", F.lit(tail))).coalesce(1)
+        out.write.options(header=True, quoteAll=True, escape='"', encoding=charset).csv(f"{path}/{name}")
     return path
 
 
-@query(
-    "detect_encoding",
-    "SELECT unnest(['utf-8', 'cp1252', 'latin1']) AS stored, unnest(['utf-8', 'cp1252', 'latin1']) AS encoding",
-)
+ENCODED = """stored AS (SELECT unnest(['utf-8', 'cp1252', 'latin1']) AS stored),
+  bytes AS (SELECT stored, bool_or(stored <> 'utf-8' AND text <> '') AS broken, bool_or(stored = 'latin1') AS gaps
+    FROM documents, stored GROUP BY 1),
+  found AS (SELECT stored, CASE WHEN NOT broken THEN 'utf-8' WHEN NOT gaps THEN 'cp1252' ELSE 'latin1' END AS encoding FROM bytes)"""
+
+
+@query("detect_encoding", f"WITH {ENCODED} SELECT stored, encoding FROM found")
 def _(spark, sf):
     files = scans.binary_files(spark, _encoded_files(spark, sf))
     found = scans.detect_encoding(files.filter(F.col("path").endswith(".csv")))
     stored = F.element_at(F.split("path", "/"), -2)
-    return found.select(stored.alias("stored"), "encoding").distinct()
+    return found.select(stored.alias("stored"), "encoding")
 
 
-@query("file_catalog")
+@query(
+    "validate_with_encoding",
+    f"WITH {ENCODED} SELECT 'columns_extracted' AS status, 'Text|Source' AS columns, encoding FROM found WHERE EXISTS (FROM documents)",
+)
 def _(spark, sf):
-    found = scans.file_catalog(spark, _encoded_files(spark, sf))
+    files = scans.binary_files(spark, _encoded_files(spark, sf)).filter(F.col("path").endswith(".csv"))
+    encodings = scans.detect_encoding(files).select(scans.file_name().alias("file"), "encoding")
+    report = G.validate_files(scans.grid_from_files(files), encodings=encodings)
+    return report.select("status", F.array_join("columns", "|").alias("columns"), "encoding")
+
+
+@query(
+    "file_catalog",
+    "SELECT 'orders_' || o_orderpriority[1] || '.csv' AS name, true AS filled FROM orders GROUP BY 1",
+)
+def _(spark, sf):
+    """Named files, each twice under other folders, beside files that the catalog does not accept."""
+    path = scratch_path(spark, "catalog")
+    rows = table(spark, sf, "orders").select("o_orderkey", F.substring("o_orderpriority", 1, 1).alias("p"))
+    for folder, ending in (("a", "csv"), ("b", "csv"), ("c", "txt")):
+        for p in "12345":
+            part = scratch_path(spark, "catalog-part")
+            rows.filter(F.col("p") == p).coalesce(1).write.csv(part)
+            _moved(spark, part, f"{path}/{folder}/orders_{p}.{ending}")
+    found = scans.file_catalog(spark, path)
     return found.select("name", (F.col("length") > 0).alias("filled"))
 
 
+def _moved(spark, folder: str, target: str) -> None:
+    """Give the one file of a written folder a name of its own."""
+    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs
+    fs = hadoop.Path(folder).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    part = next(f.getPath() for f in fs.listStatus(hadoop.Path(folder)) if f.getPath().getName().startswith("part-"))
+    fs.mkdirs(hadoop.Path(target).getParent())
+    fs.rename(part, hadoop.Path(target))
+
+
 @query(
     "scan_grid",
     """SELECT c_custkey || '|' || c_name || ', "x"|~|' || c_nationkey AS cells FROM customer""",
@@ -465,7 +515,7 @@ def _(spark, sf):
         F.col("c_nationkey").alias("Region"),
     )
     rows.write.options(header=True, escape='"').csv(path)
-    found = scans.scan_grid(spark, path, width=8).filter(F.col("file").endswith(".csv"))
+    found = scans.scan_grid(spark, path).filter(F.col("file").endswith(".csv"))
     return found.filter("row_idx > 0").select(joined_cells().alias("cells"))
 
 
@@ -483,12 +533,14 @@ def _(spark, sf):
 
 @query(
     "append_new_keys",
-    "SELECT c_custkey, c_name FROM customer",
+    "SELECT CASE WHEN c_custkey % 4 <> 0 THEN c_custkey END AS c_custkey, c_name FROM customer",
 )
 def _(spark, sf):
     path = scratch_path(spark, "append")
-    customers = table(spark, sf, "customer").select("c_custkey", "c_name")
-    sinks.append_new(customers.filter("c_custkey % 3 = 0"), path, ["c_custkey"])
+    key = F.when(F.col("c_custkey") % 4 != 0, F.col("c_custkey")).alias("c_custkey")
+    customers = table(spark, sf, "customer").select(key, "c_name")
+    sinks.append_new(customers.filter("c_custkey % 3 = 0 OR c_custkey IS NULL"), path, ["c_custkey"])
+    sinks.append_new(customers, path, ["c_custkey"])
     sinks.append_new(customers, path, ["c_custkey"])
     return spark.read.parquet(path)
 

@@ -16,7 +16,7 @@ from lexiframe.operators import keyphrases as K
 from lexiframe.operators import linguistics as O
 from lexiframe.plans import sqltext as S
 from lexiframe.plans import toys
-from lexiframe.plans.registry import query, spread, table
+from lexiframe.plans.registry import query, table
 
 
 def toks() -> Column:
@@ -24,7 +24,7 @@ def toks() -> Column:
 
 
 def documents(spark, sf) -> DataFrame:
-    return spread(table(spark, sf, "documents"))
+    return table(spark, sf, "documents")
 
 
 def noisy(spark, sf) -> DataFrame:
@@ -136,13 +136,32 @@ def _(spark, sf):
 @query(
     "sql_functions",
     f"""WITH {S.NOISY} SELECT doc_id, {S.normalized('text')} AS clean,
-      regexp_replace(text, '<.*?>', '', 'g') AS stripped FROM noisy""",
+      regexp_replace(text, '<.*?>', '', 'g') AS stripped, {S.without_urls('text')} AS unlinked,
+      {S.contractions('text')} AS expanded, {S.chat_words('text')} AS spelled, {S.demojized('text')} AS named,
+      {S.collapsed('text')} AS squeezed FROM noisy""",
 )
 def _(spark, sf):
     register_functions(spark)
     noisy(spark, sf).createOrReplaceTempView("noisy_documents")
     return spark.sql(
-        "SELECT doc_id, normalize_text(text) AS clean, strip_html(text) AS stripped FROM noisy_documents"
+        """SELECT doc_id, normalize_text(text) AS clean, strip_html(text) AS stripped, strip_urls(text) AS unlinked,
+          expand_contractions(text) AS expanded, expand_chat_words(text) AS spelled, demojize(text) AS named,
+          collapse_ws(text) AS squeezed FROM noisy_documents"""
+    )
+
+
+@query(
+    "sql_cosine",
+    """SELECT a.vec_id, round(list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[]), 9) AS score,
+      0.0::DOUBLE AS nothing FROM embeddings a JOIN embeddings b ON b.vec_id = a.vec_id + 1""",
+)
+def _(spark, sf):
+    register_functions(spark)
+    table(spark, sf, "embeddings").createOrReplaceTempView("vectors")
+    return spark.sql(
+        """SELECT a.vec_id, round(cosine(a.embedding, b.embedding), 9) AS score,
+          cosine(a.embedding, transform(a.embedding, x -> 0F)) AS nothing
+        FROM vectors a JOIN vectors b ON b.vec_id = a.vec_id + 1"""
     )
 
 

@@ -58,22 +58,39 @@ def scan_csv(
     path: str | Sequence[str],
     encoding: str = "utf-8",
     schema: StructType | str | None = None,
-    multi_line: bool = False,
+    multi_line: bool = True,
+    header_row: int = 0,
 ) -> DataFrame:
     """Delimited files with a header; the usual texts for missing values become null.
 
     Without a schema every column is text, the same in every part of the file.
-    Plain files are split into parts; ``multi_line`` reads quoted line breaks and
-    then a file is one part.
+    Quoted line breaks are read, for which a file is one part; files known to hold
+    none can be split with ``multi_line=False``. ``header_row`` is the number of the
+    row that names the columns, as found in the grid: rows above it are left out,
+    in every file, and columns with a blank name too.
     """
+    if header_row:
+        return _under_header(scan_grid(spark, path, encoding), header_row)
     reader = spark.read.options(
         header=True, encoding=CHARSETS[encoding], multiLine=multi_line, escape='"', mode="PERMISSIVE"
     )
     table = reader.schema(schema).csv(path) if schema else reader.csv(path)
     texts = [f.name for f in table.schema if f.dataType.simpleString() == "string"]
-    return table.withColumns(
-        {name: F.when(~is_one_of(F.col(f"`{name}`"), NA_STRINGS), F.col(f"`{name}`")) for name in texts}
-    )
+    return table.withColumns({name: _known(F.col(f"`{name}`")) for name in texts})
+
+
+def _known(c: Column) -> Column:
+    return F.when(~is_one_of(c, NA_STRINGS), c)
+
+
+def _under_header(grid: DataFrame, header_row: int) -> DataFrame:
+    """The rows below the header row as a table; all files must have the same header."""
+    headers = grid.filter(F.col("row_idx") == header_row).select("cells").distinct().limit(2).collect()
+    if len(headers) != 1:
+        raise ValueError("the files have different headers" if headers else "no file has that header row")
+    names = [(i, name.strip()) for i, name in enumerate(headers[0].cells) if name and name.strip()]
+    rows = grid.filter(F.col("row_idx") > header_row)
+    return rows.select(*(_known(F.get("cells", F.lit(i))).alias(name) for i, name in names))
 
 
 def scan_parquet(spark: SparkSession, path: str | Sequence[str]) -> DataFrame:
@@ -88,21 +105,32 @@ def decoded(content: Column, encoding: Column) -> Column:
     return text
 
 
-def grid_from_files(files: DataFrame, width: int = 64) -> DataFrame:
+# a quoted cell with doubled quotes inside, or anything up to the next comma or line end
+CELL = r'(?:"[^"]*+(?:""[^"]*+)*+"[^,\r\n]*+|[^,\r\n]*+)'
+RECORD = f"{CELL}(?:,{CELL})*+"
+
+
+def grid_from_files(files: DataFrame, encoding: str | None = None) -> DataFrame:
     """``(file, row_idx, cells)`` from whole small files ``(path, content)``.
 
-    For files within the catalog's size limit. Empty lines do not count as rows.
-    ``width`` is the widest row expected; surplus cells of narrower rows are cut.
+    For files within the catalog's size limit. Rows have as many cells as they hold;
+    a quoted cell may hold commas, doubled quotes and line breaks. Empty lines do not
+    count as rows, empty unquoted cells are null. Without an ``encoding`` each file's
+    own is detected.
     """
-    fields = ", ".join(f"c{i} string" for i in range(width))
-    text = decoded(F.col("content"), encoding_of(F.col("content")))
-    lines = F.filter(F.split(text, r"\r?\n"), lambda s: F.trim(s) != "")
-    rows = files.select(file_name().alias("file"), F.posexplode(lines).alias("row_idx", "line"))
-    parsed = rows.withColumn("r", F.from_csv("line", fields, {"escape": '"'}))
-    commas = F.size(F.split(F.regexp_replace("line", '"[^"]*"', ""), ","))
-    cells = F.slice(F.array(*(F.col(f"r.c{i}") for i in range(width))), F.lit(1), F.least(commas, F.lit(width)))
-    return parsed.select("file", F.col("row_idx").cast("long").alias("row_idx"), cells.alias("cells"))
-
-
-def scan_grid(spark: SparkSession, path: str | Sequence[str], width: int = 64) -> DataFrame:
-    return grid_from_files(binary_files(spark, path), width)
+    chosen = F.lit(encoding) if encoding else encoding_of(F.col("content"))
+    text = decoded(F.col("content"), chosen)
+    records = F.filter(F.regexp_extract_all(text, F.lit(RECORD), F.lit(0)), lambda r: F.trim(r) != "")
+    rows = files.select(file_name().alias("file"), F.posexplode(records).alias("row_idx", "record"))
+
+    def cell(c: Column) -> Column:
+        inner = F.regexp_replace(F.regexp_replace(c, '^"|"$', ""), '""', '"')
+        return F.when(c.startswith('"'), inner).when(c != "", c)
+
+    # a comma in front makes every cell begin with one
+    cells = F.regexp_extract_all(F.concat(F.lit(","), F.col("record")), F.lit(f",({CELL})"), F.lit(1))
+    return rows.select("file", F.col("row_idx").cast("long").alias("row_idx"), F.transform(cells, cell).alias("cells"))
+
+
+def scan_grid(spark: SparkSession, path: str | Sequence[str], encoding: str | None = None) -> DataFrame:
+    return grid_from_files(binary_files(spark, path), encoding)

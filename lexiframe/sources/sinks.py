@@ -6,6 +6,7 @@ from collections.abc import Sequence
 from functools import reduce
 
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 
 def write_parquet(df: DataFrame, path: str, mode: str = "errorifexists") -> None:
@@ -43,17 +44,27 @@ def write_once(df: DataFrame, path: str) -> None:
 
 
 def new_rows(batch: DataFrame, written: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """Rows of a batch whose key has not been written."""
-    return batch.join(written.select(*keys), list(keys), "left_anti")
+    """Rows of a batch whose key has not been written. A null in a key equals a null."""
+    theirs = written.select(*(F.col(key).alias(f"__key{i}") for i, key in enumerate(keys)))
+    same = reduce(lambda a, b: a & b, (F.col(key).eqNullSafe(F.col(f"__key{i}")) for i, key in enumerate(keys)))
+    return batch.join(theirs, same, "left_anti")
 
 
 def append_new(batch: DataFrame, path: str, keys: Sequence[str]) -> None:
-    """Append the rows whose key the target does not hold yet; a replayed batch adds nothing."""
+    """Append the rows whose key the target does not hold yet; a repeated batch adds nothing.
+
+    A row with a null in its key cannot be told by the key, so its whole content is
+    its key: rows with null keys are all written, each content once.
+    """
     spark = batch.sparkSession
-    fresh = batch.dropDuplicates(list(keys))
+    partial = reduce(lambda a, b: a | b, (F.col(key).isNull() for key in keys))
+    content = F.when(partial, F.sha2(F.to_json(F.struct(*batch.columns), {"ignoreNullFields": "false"}), 256))
+    keyed = [*keys, "__content"]
+    fresh = batch.withColumn("__content", content).dropDuplicates(keyed)
     if path_exists(spark, path):
-        fresh = new_rows(fresh, spark.read.schema(batch.schema).parquet(path), keys)
-    fresh.write.mode("append").parquet(path)
+        written = spark.read.schema(batch.schema).parquet(path).withColumn("__content", content)
+        fresh = new_rows(fresh, written, keyed)
+    fresh.drop("__content").write.mode("append").parquet(path)
 
 
 def path_exists(spark, path: str) -> bool:

@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from lexiframe.functions import cells as C
 from lexiframe.operators import grid as G
-from lexiframe.sources import scans
+from lexiframe.sources import scans, sinks
 
 SHEET = [
     [None, "Report 2024"],
@@ -88,10 +88,13 @@ def test_reports(spark):
 
 def test_text_columns_judge_values(spark):
     rows = spark.createDataFrame(
-        [(1, "1", "true", "x", None), (2, "2.5", "False", "2", None), (3, "NA", "true", None, None)],
-        "i int, n string, b string, t string, e string",
+        [
+            (1, "1", "true", "x", None, "12d"), (2, "2.5", "False", "2", None, "3f"), (3, "NA", "true", None, None, "4"),
+            (4, " -1e3 ", None, None, None, "5"),
+        ],
+        "i int, n string, b string, t string, e string, code string",
     )
-    assert [r.column for r in G.text_columns(rows, ["i"]).collect()] == ["t"]
+    assert [r.column for r in G.text_columns(rows, ["i"]).collect()] == ["t", "code"]
 
 
 def test_encodings(spark):
@@ -104,10 +107,33 @@ def test_encodings(spark):
 
 
 def test_grid_from_bytes(spark):
-    content = 'Id,Name\r\n\r\n1,"a, ""b"""\r\n2,\r\n'.encode()
+    wide = ",".join(f"c{i}" for i in range(70))
+    content = f'Id,Name\r\n\r\n1,"a, ""b"""\r\n2,\r\n,"two\nlines",""\n   \n{wide}\n5" pipe,x\nlast'.encode()
     files = spark.createDataFrame([("/x/f.csv", content)], "path string, content binary")
-    rows = scans.grid_from_files(files, width=4).orderBy("row_idx").collect()
-    assert [r.cells for r in rows] == [["Id", "Name"], ["1", 'a, "b"'], ["2", None]]
+    rows = scans.grid_from_files(files).orderBy("row_idx").collect()
+    assert [r.cells for r in rows] == [
+        ["Id", "Name"], ["1", 'a, "b"'], ["2", None], [None, "two\nlines", ""], wide.split(","), ['5" pipe', "x"], ["last"],
+    ]
+
+
+def test_header_row_and_quoted_breaks(spark, tmp_path):
+    (tmp_path / "a.csv").write_text('Report,,\nId,,Name \n1,x,"two\nlines"\n2,,NA\n')
+    rows = scans.scan_csv(spark, str(tmp_path), header_row=1)
+    assert [tuple(r) for r in rows.orderBy("Id").collect()] == [("1", "two\nlines"), ("2", None)]
+    with pytest.raises(ValueError):
+        scans.scan_csv(spark, str(tmp_path), header_row=9)
+    (tmp_path / "b").mkdir()
+    (tmp_path / "b" / "c.csv").write_text('Id,Name\n1,"two\nlines"\n2,x\n')
+    assert scans.scan_csv(spark, str(tmp_path / "b")).count() == 2
+
+
+def test_append_new_with_null_keys(spark, tmp_path):
+    path = str(tmp_path / "out")
+    batch = spark.createDataFrame([(1, "a"), (None, "b"), (None, "c"), (1, "d")], "k int, v string")
+    for _ in range(3):
+        sinks.append_new(batch, path, ["k"])
+    got = [(r.k, r.v) for r in spark.read.parquet(path).collect()]
+    assert len(got) == 3 and {(None, "b"), (None, "c")} <= set(got)
 
 
 def test_catalog_takes_each_name_once(spark, tmp_path):

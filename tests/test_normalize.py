@@ -53,9 +53,11 @@ def test_contractions_need_whole_words(spark):
 
 
 def test_emoji_names_come_from_unicode(spark):
-    texts = ["\U0001f44d\U0001f3fd ok", "a❤️b", "plain ☃ ✓"]
+    texts = ["\U0001f44d\U0001f3fd ok", "a❤️b", "plain ☃ ✓", "⭐⌚⏰‼", "\U0001f1eb\U0001f1f7 \U0001f7e0", "„a“ – €"]
     assert apply(spark, N.demojize, texts) == [
         ":thumbs_up::medium_skin_tone: ok", "a:red_heart:b", "plain :snowman: ✓",
+        ":white_medium_star::watch::alarm_clock::double_exclamation_mark:",
+        ":regional_indicator_symbol_letter_f::regional_indicator_symbol_letter_r: :large_orange_circle:", "„a“ – €",
     ]
 
 
