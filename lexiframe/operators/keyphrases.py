@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from lexiframe.functions import linguistics as L
 from lexiframe.functions import phrases as P
-from lexiframe.functions.columns import unnest
+from lexiframe.functions.columns import let, unnest
 from lexiframe.functions.vectors import cosine
 from lexiframe.operators.linguistics import TOKENS
 
@@ -177,17 +177,43 @@ def similarity_join(
 
 
 def embed(docs: DataFrame, dims: int = 1 << 10, out: str = "embedding") -> DataFrame:
-    """Unit vectors of hashed, idf-weighted content words.
+    """Unit vectors of hashed, idf-weighted content words; all zeros without such words.
 
-    One pass learns ``dims`` document frequencies; the rest is per row.
+    One pass counts in how many documents each of the ``dims`` slots occurs, a table of
+    that many numbers; the rest is per row.
     """
-    from pyspark.ml.feature import IDF, HashingTF, Normalizer
-    from pyspark.ml.functions import vector_to_array
-
-    words = docs.withColumn("__w", L.content(F.col(TOKENS))["lower"])
-    counted = HashingTF(numFeatures=dims, inputCol="__w", outputCol="__tf").transform(words)
-    weighted = IDF(inputCol="__tf", outputCol="__idf").fit(counted).transform(counted)
-    unit = Normalizer(inputCol="__idf", outputCol="__unit").transform(weighted)
-    return unit.withColumn(out, vector_to_array("__unit", "float32")).drop(
-        "__w", "__tf", "__idf", "__unit"
-    )
+
+    def counted(words: Column) -> Column:
+        """``array<struct<slot, n>>`` in slot order."""
+        slot = F.transform(words, lambda w: F.pmod(F.conv(F.substring(F.md5(w), 1, 8), 16, 10).cast("long"), F.lit(dims)))
+
+        def runs(s: Column) -> Column:
+            at = F.filter(F.sequence(F.lit(0), F.size(s) - 1), lambda i: (i == 0) | (F.get(s, i) != F.get(s, i - 1)))
+            ends = lambda a, k: F.coalesce(F.get(a, k + 1), F.size(s))
+            found = let(at, lambda a: F.transform(a, lambda x, k: F.struct(F.get(s, x).alias("slot"), (ends(a, k) - x).alias("n"))))
+            return F.when(F.size(s) > 0, found).otherwise(F.array().cast("array<struct<slot:bigint,n:int>>"))
+
+        return let(F.sort_array(slot), runs)
+
+    entries = docs.withColumn("__e", counted(L.content(F.col(TOKENS))["lower"]))
+    seen = entries.select(F.explode("__e.slot").alias("slot")).groupBy("slot").agg(F.count("*").alias("df"))
+    slots = docs.sparkSession.range(dims).withColumnRenamed("id", "slot").join(seen, "slot", "left")
+    listed = slots.agg(F.sort_array(F.collect_list(F.struct("slot", F.coalesce("df", F.lit(0)).alias("df")))).alias("__df"))
+    total = docs.agg(F.count("*").alias("__n"))
+    # one row of dims numbers
+    joined = entries.join(F.broadcast(listed.join(total)))
+    zeros = F.transform(F.sequence(F.lit(0).cast("long"), F.lit(dims - 1).cast("long")), lambda d: F.struct(d.alias("slot"), F.lit(0.0).alias("x")))
+    weigh = lambda e: e["n"] * F.log((F.col("__n") + 1) / (F.get(F.col("__df"), e["slot"].cast("int"))["df"] + 1))
+    weighted = F.transform("__e", lambda e: F.struct(e["slot"].alias("slot"), weigh(e).alias("x")))
+
+    def dense(all_: Column) -> Column:
+        """Of each slot the largest weight: the word's, or zero."""
+        last = lambda v, i: F.coalesce(F.get(all_, i + 1)["slot"] != v["slot"], F.lit(True))
+        return F.filter(all_, last)["x"]
+
+    def unit(v: Column) -> Column:
+        norm = F.sqrt(F.aggregate(v, F.lit(0.0), lambda t, x: t + x * x))
+        return let(norm, lambda n: F.transform(v, lambda x: F.when(n > 0, x / n).otherwise(0.0).cast("float")))
+
+    vector = let(let(F.sort_array(F.concat(zeros, weighted)), dense), unit)
+    return joined.withColumn(out, vector).drop("__e", "__df", "__n")

@@ -9,6 +9,7 @@ from lexiframe.operators import enrich as E
 from lexiframe.plans import sqltext as S
 from lexiframe.plans.ledgers import LEDGER, LIMITED, PERIOD
 from lexiframe.plans.registry import query
+from lexiframe.plans.text import enriched_sql
 from lexiframe.session import scratch_path
 from lexiframe.streaming import streams as T
 
@@ -40,7 +41,11 @@ def _(spark, sf):
     return spark.read.schema(docs.schema).parquet(out)
 
 
-@query("stream_annotate")
+TURNS = f"""clean AS (SELECT conv_id || '-' || turn AS doc_id, 'en' AS lang, {S.normalized("coalesce(text, '')")} AS text
+  FROM conversations)"""
+
+
+@query("stream_annotate", enriched_sql(TURNS, "c.doc_id AS id,", False))
 def _(spark, sf):
     turns = source(spark, sf, "conversations").select(
         F.concat_ws("-", F.col("conv_id").cast("string"), F.col("turn").cast("string")).alias("id"), "text"

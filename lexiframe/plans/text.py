@@ -599,7 +599,17 @@ def _(spark, sf):
     return K.rank_phrases(scored, "doc_id", "column", k=3)
 
 
-@query("embedding")
+@query(
+    "embedding",
+    f"""WITH {S.content_words()},
+    slotted AS (SELECT doc_id, ('0x' || substr(md5(word), 1, 8))::BIGINT % 64 AS slot, sum(n) AS n FROM freq GROUP BY 1, 2),
+    seen AS (SELECT slot, count(*) AS df FROM slotted GROUP BY 1),
+    weighted AS (SELECT doc_id, slot, n * ln(((SELECT count(*) FROM documents) + 1) / (df + 1)) AS x FROM slotted JOIN seen USING (slot)),
+    norms AS (SELECT doc_id, sqrt(sum(x * x)) AS norm FROM weighted GROUP BY 1),
+    cells AS (SELECT doc_id, slot, round((coalesce(CASE WHEN norm > 0 THEN x / norm END, 0)::FLOAT)::DOUBLE, 4) AS x
+      FROM documents CROSS JOIN (SELECT unnest(range(64)) AS slot) LEFT JOIN weighted USING (doc_id, slot) LEFT JOIN norms USING (doc_id))
+    SELECT doc_id, list(x ORDER BY slot) AS embedding FROM cells GROUP BY 1""",
+)
 def _(spark, sf):
     docs = K.embed(tokened(spark, sf), dims=64)
     return docs.select("doc_id", F.transform("embedding", lambda x: F.round(x.cast("double"), 4)).alias("embedding"))
@@ -627,35 +637,63 @@ def _(spark, sf):
 # --- enrichment ----------------------------------------------------------
 
 
+def _after(ctes: str) -> str:
+    """CTEs without the token steps, for use behind others that have them already."""
+    name = f"unused_{len(ctes)}"
+    return ctes.replace(S.tokens(), f"{name} AS (SELECT 1)", 1)
+
+
+CLEAN = f"{S.NOISY}, clean AS (SELECT doc_id, lang, {S.normalized('text')} AS text FROM noisy)"
+LINKED = """linked AS (SELECT a.*, h.text AS head FROM dep a JOIN dep h ON a.doc_id = h.doc_id AND a.head_tok_id = h.tok_id)"""
+
+
 @query(
     "analyze_text",
-    f"""WITH {S.NOISY}, clean AS (SELECT doc_id, lang, {S.normalized('text')} AS text FROM noisy),
-    {S.parsed('clean')},
-    linked AS (SELECT a.*, h.text AS head FROM dep a JOIN dep h ON a.doc_id = h.doc_id AND a.head_tok_id = h.tok_id),
+    f"""WITH RECURSIVE {CLEAN}, {S.parsed('clean')}, {LINKED},
     agg AS (
       SELECT doc_id,
         string_agg(lemma, ' ' ORDER BY tok_id) FILTER (is_alpha AND NOT is_stop) AS lemmatized,
         string_agg(text || ' -> ' || pos, ' , ' ORDER BY tok_id) FILTER (is_alpha) AS pos,
         string_agg(text || ' ->' || dep || ' -> ' || head, ' , ' ORDER BY tok_id) FILTER (is_alpha) AS dependency,
         string_agg(text || ' -> ' || morph, ' , ' ORDER BY tok_id) FILTER (is_alpha) AS morphology,
-        count(*) FILTER (dep = 'neg') AS negations,
+        string_agg(text || ' -> ' || head, ' | ' ORDER BY tok_id) FILTER (dep = 'neg') AS negation,
+        count(*) FILTER (is_alpha) AS words, sum(length(text)) FILTER (is_alpha) AS letters,
+        count(*) FILTER (pos = 'NOUN') AS noun, count(*) FILTER (pos = 'VERB') AS verb,
         count(*) FILTER (is_alpha AND NOT is_stop) AS k, count(*) FILTER (is_alpha AND is_stop) AS s
-      FROM linked GROUP BY 1)
+      FROM linked GROUP BY 1),
+    lengths AS (SELECT c.doc_id, coalesce(words, 0) AS words, coalesce(letters, 0) AS letters,
+        len(list_filter(regexp_extract_all(c.text, {S.quoted(S.SENTENCE)}), lambda x: regexp_matches(x, '\\p{{L}}'))) AS sents
+      FROM clean c LEFT JOIN agg USING (doc_id)),
+    read AS (SELECT doc_id, CASE WHEN sents > 0 THEN words / sents ELSE 0.0 END AS a,
+        CASE WHEN words > 0 THEN letters / words ELSE 0.0 END AS l FROM lengths),
+    {_after(ENTITIES)},
+    names AS (SELECT doc_id, string_agg(text || ' -> ' || label, ' , ' ORDER BY ent_id) AS v FROM ents GROUP BY 1),
+    {_after(TEXT_SCORES)},
+    ranked_phrases AS (
+      SELECT doc_id, string_agg(phrase, ' , ' ORDER BY round(score, 9) DESC, phrase_idx) AS v FROM scored GROUP BY 1)
     SELECT c.doc_id, c.text AS clean, coalesce(lemmatized, 'None') AS lemmatized,
       coalesce(pos, 'No POS tags found') AS pos, coalesce(dependency, 'No dependnecy parsing found') AS dependency,
-      coalesce(morphology, 'None') AS morphology, coalesce(negations, 0)::BIGINT AS negations,
+      coalesce(morphology, 'None') AS morphology, coalesce(negation, '') AS negation,
+      CASE WHEN words > 0 THEN CAST(trunc(noun / words * 100) AS INTEGER) END AS nouns,
+      CASE WHEN words > 0 THEN CAST(trunc(verb / words * 100) AS INTEGER) END AS verbs,
       'keywords -> ' || coalesce(k, 0) || ' , stopwords -> ' || coalesce(s, 0) || ' , ratio -> '
         || CAST({S.rounded('coalesce(k, 0) / (coalesce(s, 0) + 1)')} AS VARCHAR) AS keyword_stopword_ratio,
-      'No entity relation found for given input' AS entities
-    FROM clean c LEFT JOIN agg USING (doc_id)""",
+      'avg_sentence_length -> ' || CAST({S.rounded('a::DOUBLE')} AS VARCHAR) || ' , avg_word_length -> '
+        || CAST({S.rounded('l::DOUBLE')} AS VARCHAR) || ' , complexity_score -> '
+        || CAST({S.rounded('a * 0.6::DOUBLE + l * 0.4::DOUBLE')} AS VARCHAR) AS readability,
+      coalesce(names.v, 'No entity relation found for given input') AS entities, coalesce(r.v, 'None') AS keyphrases
+    FROM clean c LEFT JOIN agg USING (doc_id) LEFT JOIN read USING (doc_id) LEFT JOIN names USING (doc_id)
+    LEFT JOIN ranked_phrases r USING (doc_id)""",
 )
 def _(spark, sf):
-    found = E.analyze_text(noisy(spark, sf), "doc_id", "text", "lang")
+    found = E.analyze_text(noisy(spark, sf), "doc_id", "text", "lang", gazetteer(spark))
+    weights = F.col("result.linguistics.POS_weightage")
     return found.select(
         "doc_id", "result.text.clean", "result.text.lemmatized", "result.linguistics.pos",
         "result.linguistics.dependency", "result.linguistics.morphology",
-        F.size("result.linguistics.negation").cast("long").alias("negations"),
-        "result.metrics.keyword_stopword_ratio", "result.entities",
+        F.array_join("result.linguistics.negation", " | ").alias("negation"),
+        F.element_at(weights, F.lit("Noun")).alias("nouns"), F.element_at(weights, F.lit("Verb")).alias("verbs"),
+        "result.metrics.keyword_stopword_ratio", "result.metrics.readability", "result.entities", "result.keyphrases",
     )
 
 
@@ -665,31 +703,33 @@ def _(spark, sf):
     return found.select("doc_id", F.to_json("result").alias("result"))
 
 
-@query(
-    "enrich_columns",
-    f"""WITH RECURSIVE {S.NOISY}, clean AS (SELECT doc_id, lang, {S.normalized('text')} AS text FROM noisy),
-    {S.parsed('clean')},
-    linked AS (SELECT a.*, h.text AS head FROM dep a JOIN dep h ON a.doc_id = h.doc_id AND a.head_tok_id = h.tok_id),
+def enriched_sql(clean: str, more: str, entities: bool) -> str:
+    """The column mode's four results for a CTE ``clean`` of (doc_id, lang, text)."""
+    names = f"""{_after(ENTITIES)},
+    names AS (SELECT doc_id, string_agg(text || ' -> ' || label, ' | ' ORDER BY ent_id) AS v FROM ents GROUP BY 1),"""
+    return f"""WITH RECURSIVE {clean}, {S.parsed('clean')}, {LINKED},
     agg AS (
       SELECT doc_id,
         string_agg(text || ' -> ' || pos, ' | ' ORDER BY tok_id) FILTER (is_alpha) AS pos,
         string_agg(text || ' ->' || pos || '->' || dep || ' -> ' || head, ' | ' ORDER BY tok_id) FILTER (is_alpha) AS dependency
       FROM linked GROUP BY 1),
-    {COLUMN_SCORES.replace(S.tokens(), "unused AS (SELECT 1)", 1)},
+    {names if entities else "names AS (SELECT doc_id, NULL::VARCHAR AS v FROM clean),"}
+    {_after(COLUMN_SCORES)},
     ranked_phrases AS (
       SELECT doc_id, string_agg(phrase, ' | ' ORDER BY round(score, 9) DESC, phrase_idx) AS v FROM scored GROUP BY 1)
-    SELECT c.doc_id, c.lang, c.text, coalesce(pos, 'No pos found') AS text__pos,
+    SELECT {more} c.text, coalesce(pos, 'No pos found') AS text__pos,
       coalesce(dependency, 'No dependency parsing found for given row') AS text__dependency,
-      'No entity relation found for given row' AS text__ner,
-      coalesce(r.v, 'No key phrase found for given row') AS text__key_phrase,
-      'Processing failed' AS absent__error
-    FROM clean c LEFT JOIN agg USING (doc_id) LEFT JOIN ranked_phrases r USING (doc_id)""",
-)
+      coalesce(names.v, 'No entity relation found for given row') AS text__ner,
+      coalesce(r.v, 'No key phrase found for given row') AS text__key_phrase
+    FROM clean c LEFT JOIN agg USING (doc_id) LEFT JOIN names USING (doc_id) LEFT JOIN ranked_phrases r USING (doc_id)"""
+
+
+@query("enrich_columns", enriched_sql(CLEAN, "c.doc_id, c.lang, 'Processing failed' AS absent__error,", False))
 def _(spark, sf):
     return E.enrich(noisy(spark, sf), ["text", "absent"], "doc_id", lang="lang")
 
 
-@query("enrich_columns_with_entities")
+@query("enrich_columns_with_entities", enriched_sql(CLEAN, "c.doc_id, c.lang,", True))
 def _(spark, sf):
     rows = noisy(spark, sf)
     return E.enrich(rows, ["text"], "doc_id", lang="lang", gazetteer=gazetteer(spark))
