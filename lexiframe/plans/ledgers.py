@@ -176,13 +176,13 @@ def gapped(spark, sf) -> DataFrame:
 
 @query(
     "running_sum_with_nulls",
-    f"""WITH {GAPPED}, cuts(cut) AS (VALUES (1), (50), (1000000000))
+    f"""WITH {GAPPED}, cuts(cut) AS (VALUES (200), (2000), (1000000000))
     SELECT cut, event_id, sum(event_id) OVER w::BIGINT AS upto, count(*) OVER w AS row_no FROM gapped, cuts
     WINDOW w AS (PARTITION BY cut, job_id ORDER BY moment NULLS FIRST, event_id)""",
 )
 def _(spark, sf):
     parts = []
-    for cut in (1, 50, 1_000_000_000):
+    for cut in (200, 2000, 1_000_000_000):
         sums = {"upto": F.col("event_id"), "row_no": F.lit(1)}
         found = running_sum(gapped(spark, sf), ["job_id"], ["moment", "event_id"], sums, rows_per_block=cut)
         parts.append(found.select(F.lit(cut).alias("cut"), "event_id", "upto", F.col("row_no").cast("long")))
