@@ -9,10 +9,12 @@ from pyspark.sql import functions as F
 
 from lexiframe.functions import linguistics as L
 from lexiframe.functions import tokens as T
-from lexiframe.functions.columns import let, unnest
+from lexiframe.functions.columns import is_one_of, let, unnest
 from lexiframe.functions.stopwords import WORDS, stopwords
 
 TOKENS = "tokens"
+# first words of a gazetteer that are tested in the row, as one literal set
+MAX_OPENERS = 20_000
 
 
 def stop_lists(languages: Sequence[str] = ("en",)) -> dict[str, list[str]]:
@@ -96,16 +98,18 @@ def match_entities(
 
     Reading from the left, the longest phrase at a token wins and its tokens are
     used up. Rows: document, entity number, text, label, first and last token.
+
+    Only token runs that open like a listed phrase travel on. Up to ``MAX_OPENERS``
+    first words are tested inside the document's row; more are joined.
     """
     listed = gazetteer.select(F.lower("phrase").alias("key"), "label").dropDuplicates(["key"])
-    # only token runs that open like a listed phrase travel on
     openers = listed.select(F.substring_index("key", " ", 1).alias("opener")).distinct()
-    grams = (
-        unnest(docs, [doc_id], _starts(F.col(TOKENS), max_n), "first")
-        .join(openers, "opener", "left_semi")
-        .select(doc_id, "first", F.explode(_grams()).alias("g"))
-        .select(doc_id, "first", "g.*")
-    )
+    known = [r.opener for r in openers.filter("opener IS NOT NULL").limit(MAX_OPENERS + 1).collect()]
+    few = len(known) <= MAX_OPENERS
+    starts = unnest(docs, [doc_id], _starts(F.col(TOKENS), max_n, known if few else None), "first")
+    if not few:
+        starts = starts.join(openers, "opener", "left_semi")
+    grams = starts.select(doc_id, "first", F.explode(_grams()).alias("g")).select(doc_id, "first", "g.*")
     hits = (
         grams.join(listed, "key")
         .groupBy(doc_id, "first")
@@ -122,15 +126,21 @@ def match_entities(
     )
 
 
-def _starts(tokens: Column, max_n: int) -> Column:
-    """Each token with the next ones, as ``(opener, first, lowers, texts)``."""
+def _starts(tokens: Column, max_n: int, openers: Sequence[str] | None = None) -> Column:
+    """Tokens, those among the openers if given, with the next ones, as ``(opener, first, lowers, texts)``."""
 
     def starts(lowers: Column, texts: Column) -> Column:
-        return F.arrays_zip(
-            lowers.alias("opener"),
-            F.transform(lowers, lambda w, i: i).alias("first"),
-            F.transform(lowers, lambda w, i: F.slice(lowers, i + 1, max_n)).alias("lowers"),
-            F.transform(texts, lambda w, i: F.slice(texts, i + 1, max_n)).alias("texts"),
+        places = F.transform(lowers, lambda w, i: i)
+        if openers is not None:
+            places = F.filter(places, lambda i: is_one_of(F.get(lowers, i), openers))
+        return let(
+            places,
+            lambda at: F.arrays_zip(
+                F.transform(at, lambda i: F.get(lowers, i)).alias("opener"),
+                at.alias("first"),
+                F.transform(at, lambda i: F.slice(lowers, i + 1, max_n)).alias("lowers"),
+                F.transform(at, lambda i: F.slice(texts, i + 1, max_n)).alias("texts"),
+            ),
         )
 
     return let(tokens["lower"], lambda lw: let(tokens["text"], lambda tx: starts(lw, tx)))

@@ -1,62 +1,124 @@
-"""The request limiter as a table operator."""
+"""The request limiter as a table operator.
+
+A counter that starts afresh at some request decides alone when the next fresh start
+is: after the limit-th accepted request, or the last one before a pause, plus one
+period. So fresh starts are pointers that do not depend on what came before. A
+client's requests are cut into blocks of time; a block's pointers need its own and
+the next block's requests. Which pointers are really followed is found by doubling:
+paths over 1, 2, 4 and so on blocks. A client without any pause is thus many small
+groups and a logarithm of rounds.
+"""
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from collections.abc import Iterable, Iterator
+
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from lexiframe.functions.columns import let, unnest
-from lexiframe.operators.skew import order_number
+from lexiframe.operators.skew import null_safe_join, order_number
 from lexiframe.session import materialize
 
 # Accepted requests per period, and the period in seconds.
 LIMIT, TTL_SECONDS = 10, 60
-# clients with more requests are worked on in slices of time
-HOT_REQUESTS = 10_000
-SLICE_PERIODS = 8
-STATE = "struct<n:int,until:bigint,taken:array<int>>"
 
 
-def fold_requests(reqs: Column, n: Column, until: Column, limit: int, ttl: int) -> Column:
-    """Run the counter over sorted ``array<struct<at, id>>`` from a given start.
+def pointers(at: np.ndarray, own: int, limit: int, ttl: int) -> tuple[np.ndarray, np.ndarray]:
+    """For a fresh start at each of the first ``own`` requests: its last accepted request, the next fresh start.
 
-    A request is refused while the counter lives and has reached the limit;
-    otherwise it counts and moves the expiry. Returns counter, expiry and the
-    indexes of accepted requests.
+    ``at`` holds the times of a block and the next one, in order.
     """
-    start = F.struct(
-        n.cast("int").alias("n"),
-        until.cast("long").alias("until"),
-        F.array().cast("array<int>").alias("taken"),
-    ).cast(STATE)
-
-    def step(acc: Column, x: Column) -> Column:
-        used = F.when(x["r"]["at"] < acc["until"], acc["n"]).otherwise(0)
-        taken = F.struct(
-            (used + 1).alias("n"),
-            (x["r"]["at"] + ttl).alias("until"),
-            F.concat(acc["taken"], F.array(x["i"])).alias("taken"),
-        )
-        return F.when(used >= limit, acc).otherwise(taken.cast(STATE))
+    index = np.arange(own)
+    pauses = np.append(np.flatnonzero(np.diff(at) >= ttl), len(at) - 1)
+    last = np.minimum(index + limit - 1, pauses[np.searchsorted(pauses, index)])
+    return last, np.searchsorted(at, at[last] + ttl, "left")
+
+
+def _leaving(at: np.ndarray, own: int, limit: int, ttl: int) -> tuple[np.ndarray, np.ndarray]:
+    """For a fresh start at each own request: the first fresh start in the next block, and
+    how many of the next block's requests are accepted before it."""
+    last, after = pointers(at, own, limit, ttl)
+    here, to = np.arange(own), after.copy()
+    while (inside := np.flatnonzero(to < own)).size:
+        here[inside] = to[inside]
+        to[inside] = after[here[inside]]
+    return to - own, np.maximum(last[here] + 1 - own, 0)
+
+
+def _blocks(slim: DataFrame, client: str, id_col: str, limit: int, ttl: int) -> DataFrame:
+    """One row per client and block: own and next block's requests, and whether a pause comes before it."""
+    width = (limit + 1) * ttl
+    placed = slim.withColumn("__block", F.floor(F.col("__at") / F.lit(width)))
+    # a request stands in its own block and ahead of the one before
+    both = placed.withColumn("__b", F.explode(F.array(F.col("__block"), F.col("__block") - 1)))
+    mine = F.col("__b") == F.col("__block")
+    rows = F.sort_array(F.collect_list(F.struct(F.col("__at").alias("at"), F.col(id_col).alias("id"))))
+    groups = both.groupBy(client, F.col("__b").alias("block")).agg(
+        rows.alias("reqs"), F.count(F.when(mine, 1)).cast("int").alias("own"), F.max(F.when(mine, F.col("__at"))).alias("latest")
+    )
+    groups = materialize(groups.filter("own > 0"))
+    before = F.lag("latest").over(Window.partitionBy(client).orderBy("block"))
+    ends = groups.select(client, "block", before.alias("before"))
+    fresh = F.col("before").isNull() | (F.get("reqs", F.lit(0))["at"] - F.col("before") >= ttl)
+    joined = null_safe_join(groups, ends, [client, "block"])
+    return joined.select(client, "block", "own", "reqs", fresh.alias("fresh"))
+
 
-    indexed = F.transform(reqs, lambda r, i: F.struct(r.alias("r"), i.alias("i")))
-    return F.aggregate(indexed, start, step)
+def _ways(blocks: DataFrame, client: str, limit: int, ttl: int) -> DataFrame:
+    """(client, block, entry, exit, carried): per block and fresh start where its path leaves the block.
 
+    Only for starts that a path from the block before can reach.
+    """
+    kind = blocks.schema[client]
+    schema = T.StructType(
+        [kind, T.StructField("block", T.LongType()), T.StructField("exits", T.ArrayType(T.IntegerType())),
+         T.StructField("carried", T.ArrayType(T.IntegerType()))]
+    )
 
-def _decided(groups: DataFrame, client: str, id_col: str, limit: int, ttl: int) -> DataFrame:
-    """One row per request with ``accepted``, from sorted groups and their start state."""
-    flags = let(
-        fold_requests(F.col("reqs"), F.col("n"), F.col("until"), limit, ttl)["taken"],
-        lambda taken: F.transform(
-            F.col("reqs"),
-            lambda r, i: F.struct(r["id"].alias(id_col), F.array_contains(taken, i).alias("accepted")),
-        ),
+    def leave(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            left = [
+                _leaving(at.values.to_numpy(), own, limit, ttl)
+                for at, own in zip(batch.column(2), batch.column(3).to_pylist())
+            ]
+            lists = [pa.array([x[k].astype(np.int32) for x in left], pa.list_(pa.int32())) for k in (0, 1)]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:2], *lists], schema.names)
+
+    slim = blocks.select(client, "block", F.col("reqs.at").alias("at"), "own")
+    exits = materialize(slim.mapInArrow(leave, schema))
+    reached = exits.select(client, (F.col("block") + 1).alias("block"), F.explode(F.array_distinct("exits")).alias("entry"))
+    roots = blocks.filter("fresh").select(client, "block", F.lit(0).alias("entry"))
+    starts = reached.unionByName(roots).distinct()
+    ways = null_safe_join(starts, exits, [client, "block"]).filter(F.col("entry") < F.size("exits"))
+    return materialize(
+        ways.select(
+            client, "block", "entry", F.get("exits", F.col("entry")).alias("exit"), F.get("carried", F.col("entry")).alias("carried")
+        )
     )
-    return unnest(groups, [client], flags, id_col)
 
 
-def _sorted_requests(id_col: str, at: Column) -> Column:
-    return F.sort_array(F.collect_list(F.struct(at.alias("at"), F.col(id_col).alias("id"))))
+def _entries(blocks: DataFrame, ways: DataFrame, client: str) -> DataFrame:
+    """(client, block, entry, carried): the fresh start with which each block really begins."""
+    zero = F.lit(0)
+    found = blocks.filter("fresh").select(client, "block", zero.alias("entry"), zero.alias("carried"))
+    jump, step = ways, 1
+    while not jump.isEmpty():
+        key = [client, "block", "entry"]
+        onward = null_safe_join(found.drop("carried"), jump, key).select(
+            client, (F.col("block") + step).alias("block"), F.col("exit").alias("entry"), "carried"
+        )
+        found = materialize(found.unionByName(onward).distinct())
+        far = jump.select(client, F.col("block").alias("from"), F.col("entry").alias("start"), (F.col("block") + step).alias("block"), F.col("exit").alias("entry"))
+        jump = materialize(
+            null_safe_join(far, jump, key).select(
+                client, F.col("from").alias("block"), F.col("start").alias("entry"), "exit", "carried"
+            )
+        )
+        step *= 2
+    return found
 
 
 def rate_limit(
@@ -66,77 +128,45 @@ def rate_limit(
     id_col: str = "id",
     limit: int = LIMIT,
     ttl_seconds: int = TTL_SECONDS,
-    hot: int = HOT_REQUESTS,
 ) -> DataFrame:
     """``(client, id, accepted)`` for every request, in the order of ``ts`` and ``id``.
 
-    Clients with up to ``hot`` requests are one small array each. A busier one is
-    cut into slices of time that are worked on side by side, see ``_hot_clients``.
+    A group is a client's requests of twice ``limit + 1`` periods. Requests without a
+    client are one client's; requests without a time are neither accepted nor refused.
     """
     at = order_number(F.col(ts), requests.schema[ts].dataType.simpleString())
     ttl = ttl_seconds * 1_000_000
     slim = requests.select(client, id_col, at.alias("__at"))
-    busy = slim.groupBy(client).count().filter(F.col("count") > hot).select(client)
-    has_busy = not busy.isEmpty()
-    calm = slim.join(busy, client, "left_anti") if has_busy else slim
-    groups = calm.groupBy(client).agg(_sorted_requests(id_col, F.col("__at")).alias("reqs"))
-    start = groups.withColumns({"n": F.lit(0), "until": F.lit(0)})
-    decided = _decided(start, client, id_col, limit, ttl)
-    if has_busy:
-        rows = slim.join(busy, client, "left_semi")
-        decided = decided.unionByName(_hot_clients(rows, client, id_col, limit, ttl))
-    return decided
-
-
-def _hot_clients(rows: DataFrame, client: str, id_col: str, limit: int, ttl: int) -> DataFrame:
-    """Exact result for busy clients without one task per client.
-
-    Every slice is first run as if no counter were alive at its start. Then the
-    state each slice leaves is handed to the next one, and slices that start
-    differently than assumed run again, until nothing changes. A pause of one
-    period anywhere in a slice makes its end independent of its start, so this
-    settles after few rounds; without pauses it is still exact, one slice further
-    each round.
-    """
-    sliced = rows.withColumn("__slice", F.floor(F.col("__at") / F.lit(ttl * SLICE_PERIODS)))
-    slices = materialize(
-        sliced.groupBy(client, "__slice").agg(_sorted_requests(id_col, F.col("__at")).alias("reqs"))
+    blocks = materialize(_blocks(slim.filter("__at IS NOT NULL"), client, id_col, limit, ttl))
+    entries = _entries(blocks, _ways(blocks, client, limit, ttl), client)
+    started = null_safe_join(blocks, entries, [client, "block"])
+    schema = T.StructType(
+        [requests.schema[client], requests.schema[id_col], T.StructField("accepted", T.BooleanType())]
     )
 
-    def run(df: DataFrame) -> DataFrame:
-        end = fold_requests(F.col("reqs"), F.col("n"), F.col("until"), limit, ttl)
-        return df.withColumn("end", F.struct(end["n"].alias("n"), end["until"].alias("until")))
-
-    fresh = slices.withColumns({"n": F.lit(0), "until": F.lit(0).cast("long")})
-    state = materialize(
-        run(fresh).select(
-            client, "__slice", "n", "until", "end", F.col("reqs")[0]["at"].alias("first_at")
-        )
-    )
-    in_order = Window.partitionBy(client).orderBy("__slice")
-    while True:
-        before = F.lag("end").over(in_order)
-        alive = before["until"] > F.col("first_at")
-        handed = state.select(
-            "*",
-            F.when(alive, before["n"]).otherwise(0).alias("new_n"),
-            F.when(alive, before["until"]).otherwise(0).alias("new_until"),
-        )
-        differ = handed.filter("new_n <> n or new_until <> until").select(
-            client, "__slice", F.col("new_n").alias("n"), F.col("new_until").alias("until")
-        )
-        if differ.isEmpty():
-            break
-        again = run(slices.join(differ, [client, "__slice"])).select(
-            client, "__slice", F.struct("n", "until", "end").alias("redone")
-        )
-        state = materialize(
-            state.join(again, [client, "__slice"], "left").select(
-                client,
-                "__slice",
-                *(F.coalesce(F.col(f"redone.{f}"), F.col(f)).alias(f) for f in ("n", "until", "end")),
-                "first_at",
-            )
-        )
-    starts = state.select(client, "__slice", "n", "until")
-    return _decided(slices.join(starts, [client, "__slice"]), client, id_col, limit, ttl)
+    def decide(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            owned = batch.column(3).to_pylist()
+            flags = [
+                _accepted(times.values.to_numpy(), own, entry, carried, limit, ttl)
+                for times, own, entry, carried in zip(batch.column(1), owned, batch.column(4).to_pylist(), batch.column(5).to_pylist())
+            ]
+            if flags:
+                ids = pa.concat_arrays([x.values.slice(0, own) for x, own in zip(batch.column(2), owned)])
+                clients = batch.column(0).take(pa.array(np.repeat(np.arange(len(owned)), owned)))
+                yield pa.RecordBatch.from_arrays([clients, ids, pa.array(np.concatenate(flags))], schema.names)
+
+    rows = started.select(client, F.col("reqs.at").alias("at"), F.col("reqs.id").alias("ids"), "own", "entry", "carried")
+    decided = rows.mapInArrow(decide, schema)
+    timeless = slim.filter("__at IS NULL").select(client, id_col, F.lit(None).cast("boolean").alias("accepted"))
+    return decided.unionByName(timeless)
+
+
+def _accepted(at: np.ndarray, own: int, entry: int, carried: int, limit: int, ttl: int) -> np.ndarray:
+    flags = np.zeros(own, bool)
+    flags[:carried] = True
+    last, after = pointers(at, own, limit, ttl)
+    while entry < own:
+        flags[entry : last[entry] + 1] = True
+        entry = int(after[entry])
+    return flags

@@ -110,16 +110,15 @@ def slow_limit(rows, limit, ttl):
     return accepted
 
 
-@pytest.mark.parametrize("hot", [10**6, 10])
-@pytest.mark.parametrize("gap", [1, 12, 400])
-def test_rate_limit_against_brute_force(spark, hot, gap):
-    """A client without any pause, one with some, one with many; whole and in slices."""
+@pytest.mark.parametrize("gap", [1, 12, 25, 70, 400])
+def test_rate_limit_against_brute_force(spark, gap):
+    """Clients without any pause, with some, with many."""
     rng = random.Random(gap)
     at, rows = 0, []
     for _ in range(400):
         at += rng.randrange(1, 2 * gap + 1)
         rows.append((rng.choice(["busy", "busy", "calm"]), at))
-    got = {r.id: r.accepted for r in R.rate_limit(requests(spark, rows), limit=4, ttl_seconds=60, hot=hot).collect()}
+    got = {r.id: r.accepted for r in R.rate_limit(requests(spark, rows), limit=4, ttl_seconds=60).collect()}
     assert got == slow_limit(rows, 4, 60)
 
 

@@ -149,10 +149,12 @@ def test_column_keyphrases_against_brute_force(spark):
         assert got[i] == (" | ".join(" ".join(r) for r in ranked) or "No key phrase found for given row")
 
 
-def test_entities_prefer_the_longest_from_the_left(spark):
+@pytest.mark.parametrize("most", [0, O.MAX_OPENERS])
+def test_entities_prefer_the_longest_from_the_left(spark, monkeypatch, most):
+    monkeypatch.setattr(O, "MAX_OPENERS", most)
     docs = worded(spark, ["New York City Hall", "york city"])
     names = spark.createDataFrame(
-        [("new york", "A"), ("York City Hall", "B"), ("New York City", "C"), ("city", "D")], "phrase string, label string"
+        [("new york", "A"), ("York City Hall", "B"), ("New York City", "C"), ("city", "D"), (None, "E"), ("", "F")], "phrase string, label string"
     )
     got = [(r.id, r.text, r.label) for r in O.match_entities(docs, "id", names).orderBy("id", "ent_id").collect()]
     assert got == [(0, "New York City", "C"), (1, "city", "D")]
