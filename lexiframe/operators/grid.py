@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from lexiframe.functions import cells as C
 from lexiframe.functions.columns import is_blank, is_one_of, let
 from lexiframe.functions.lexicons import NA_STRINGS
-from lexiframe.operators.skew import facts_join
+from lexiframe.operators.skew import hot_join
 
 # Rows and shares of the structure checks.
 FIRST_SCAN, UNIQUE_SCAN = 10, 20
@@ -87,7 +87,7 @@ def split_headers(grid: DataFrame, headers: DataFrame, scan: int = UNIQUE_SCAN)
 def data_rows(grid: DataFrame, headers: DataFrame) -> DataFrame:
     """The rows under each file's header, cut to start at the header's first column."""
     found = headers.filter("header_row is not null").select("file", "header_row", "start_idx")
-    joined = facts_join(grid, found, ["file"], ["row_idx"], "inner")
+    joined = hot_join(grid, found, ["file"], ["row_idx"], "inner")
     return joined.filter("row_idx > header_row").select(
         "file", "row_idx", C.from_index(F.col("cells"), F.col("start_idx")).alias("cells")
     )
@@ -100,7 +100,7 @@ def cut_footer(rows: DataFrame) -> DataFrame:
         .groupBy("file")
         .agg(F.min("row_idx").alias("footer_row"))
     )
-    joined = facts_join(rows, footers, ["file"], ["row_idx"])
+    joined = hot_join(rows, footers, ["file"], ["row_idx"])
     return joined.filter("footer_row is null or row_idx < footer_row").drop("footer_row")
 
 
@@ -133,7 +133,7 @@ def table_cells(rows: DataFrame, headers: DataFrame) -> DataFrame:
     slots = headers.filter("header is not null").select(
         "file", C.header_slots(F.col("header")).alias("slots")
     )
-    joined = facts_join(rows, slots, ["file"], ["row_idx"], "inner")
+    joined = hot_join(rows, slots, ["file"], ["row_idx"], "inner")
     return joined.select("file", "row_idx", "cells", F.explode("slots").alias("s")).select(
         "file", "row_idx", F.col("s.name").alias("column"), F.get("cells", F.col("s.at")).alias("value")
     )

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lexiframe.functions.columns import round_binary
-from lexiframe.operators.skew import facts_join, previous_value, running_index, running_sum
+from lexiframe.operators.skew import hot_join, previous_value, running_index, running_sum
 
 # Gates and reporting step.
 MAX_FAILED_SHARE = 0.5
@@ -77,7 +77,7 @@ def failure_gate(
 def passing_rows(df: DataFrame, gate: DataFrame, order: str, job: str = "job_id") -> DataFrame:
     """The rows of jobs that passed the gate."""
     passed = gate.filter("error is null").select(job)
-    return facts_join(df, passed, [job], [order], "inner")
+    return hot_join(df, passed, [job], [order], "inner")
 
 
 def running_error_gate(
@@ -114,10 +114,10 @@ def file_error_gate(
     """
     counted = running_sum(log, [file], [order], {"errors": F.col("failed").cast("int")}, **blocks)
     totals = log.groupBy(file).agg(F.count("*").alias("groups"))
-    joined = facts_join(counted, totals, [file], [order], "inner")
+    joined = hot_join(counted, totals, [file], [order], "inner")
     stop = ~F.col("failed") & (F.col("errors") / F.col("groups") > limit)
     stops = joined.groupBy(file, "groups").agg(F.min(F.when(stop, F.col(order))).alias("stopped_at"))
-    marked = facts_join(log, stops, [file], [order], "inner")
+    marked = hot_join(log, stops, [file], [order], "inner")
     written = ~F.col("failed") & (F.col("stopped_at").isNull() | (F.col(order) <= F.col("stopped_at")))
     return marked.groupBy(file, "groups", "stopped_at").agg(
         F.sum(written.cast("int")).alias("written")

@@ -10,7 +10,6 @@ from pyspark.sql import functions as F
 
 from lexiframe.session import materialize
 
-SALTS = 16
 # rows a block of one key should hold on average
 BLOCK_ROWS = 1_000_000
 # a block this many times as full calls for another way to cut
@@ -30,25 +29,6 @@ def null_safe_join(left: DataFrame, right: DataFrame, keys: Sequence[str], how:
     return left.join(renamed, same, how).drop(*theirs.values())
 
 
-def facts_join(
-    rows: DataFrame,
-    facts: DataFrame,
-    keys: Sequence[str],
-    spread_by: Sequence[str],
-    how: str = "left",
-    salts: int = SALTS,
-) -> DataFrame:
-    """Join one row of ``facts`` per key to many ``rows``.
-
-    The rows of a key are spread over ``salts`` partitions and the facts are
-    repeated for each, so a hot key is never one task. Where the facts prove
-    small at run time, adaptive execution broadcasts them instead.
-    """
-    salted = rows.withColumn("__salt", F.pmod(F.xxhash64(*spread_by), F.lit(salts)).cast("int"))
-    repeated = facts.withColumn("__salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-    return null_safe_join(salted, repeated, [*keys, "__salt"], how).drop("__salt")
-
-
 def hot_join(
     rows: DataFrame,
     facts: DataFrame,
@@ -57,9 +37,9 @@ def hot_join(
     how: str = "left",
     hot_rows: int = HOT_ROWS,
 ) -> DataFrame:
-    """``facts_join`` for facts that are large themselves: only hot keys are repeated.
+    """Join one row of ``facts`` per key to many ``rows``; the facts of hot keys are repeated.
 
-    The most frequent keys, at most ``HOT_KEYS`` of them by construction, are
+    A null key equals a null key. The most frequent keys, at most ``HOT_KEYS`` of them by construction, are
     broadcast as hash and number of parts. Rows of such a key are dealt over its
     parts and its facts repeated once per part; all other keys join as they are.
     Keys that share a hash share their parts, which changes nothing in the result.

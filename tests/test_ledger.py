@@ -139,7 +139,7 @@ def test_status_changes(spark):
 def test_facts_reach_every_row_of_a_hot_key(spark):
     rows = spark.range(1000).select("id", F.when(F.col("id") < 900, "hot").otherwise("cold").alias("k"))
     facts = spark.createDataFrame([("hot", 1), ("cold", 2)], "k string, f int")
-    for joined in (S.facts_join(rows, facts, ["k"], ["id"]), S.hot_join(rows, facts, ["k"], ["id"], hot_rows=100)):
+    for joined in (S.hot_join(rows, facts, ["k"], ["id"]), S.hot_join(rows, facts, ["k"], ["id"], hot_rows=100)):
         assert {(r.k, r.f, r["count"]) for r in joined.groupBy("k", "f").count().collect()} == {
             ("hot", 1, 900), ("cold", 2, 100),
         }
