@@ -14,17 +14,15 @@ bucket of thousands of near copies is therefore a star, not all its pairs.
 
 from __future__ import annotations
 
-import hashlib
 from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from lexiframe.llm.classlm import words
+from lexiframe.llm.bytewords import mix, portions, words_of
 from lexiframe.llm.common import stored
 
 SHINGLE, SIMILARITY = 5, 0.8
@@ -35,88 +33,79 @@ REGISTERS = BANDS * BAND_ROWS
 ROUNDS = ((0, 3), (3, 12), (12, 36))
 #: Sets smaller than this have no other set that similar.
 FEWEST = 4
-#: Bits of two sketches that may differ. At similarity 0.8 that is four standard deviations.
-MOST_BITS = 46
+#: A sketch keeps four bits of each register, so unequal registers differ in two of them on average.
+SKETCH_BITS, SKETCH_LONGS = 4, 16
+#: Bits of two sketches that may differ. At similarity 0.8 they differ in 101, with a standard deviation of 15.
+MOST_BITS = 158
 _KEY_BITS = 54
 
-_ODD = np.uint64(0x9E3779B97F4A7C15)
+_STEP = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD1342543DE82EF95))
 
 
-def _mix(x: np.ndarray) -> np.ndarray:
-    """The splitmix64 finaliser."""
-    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
-    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
-    return x ^ (x >> np.uint64(31))
-
-
-def shingle_sets(texts: list[bytes | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray, list[list[bytes]]]:
-    """(document, shingle hash, count) of the distinct shingles of each text, and its words.
+def shingle_sets(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(document, shingle hash, count) of the distinct shingles of each text, and two hashes of its word sequence.
 
     A text of fewer words than a shingle is one shingle; one without words has none.
     """
-    split = [words(t) for t in texts]
-    lengths = np.array([len(w) for w in split], np.int64)
-    coded = pa.array([w for ws in split for w in ws], pa.binary()).dictionary_encode()
-    hashes = np.array([xxhash.xxh64_intdigest(w) for w in coded.dictionary.to_pylist()], np.uint64)
-    each = hashes[coded.indices.to_numpy()] if len(hashes) else hashes
-    docs, keys = [np.zeros(0, np.int64)], [np.zeros(0, np.uint64)]
+    each, begins, _ = words_of(b" ".join(texts))
+    ends = np.cumsum([len(t) + 1 for t in texts])
+    owner = np.searchsorted(ends, begins, "right")
+    lengths = np.bincount(owner, minlength=len(texts))
     starts = np.cumsum(lengths) - lengths
-    whole = lengths >= SHINGLE
-    if whole.any():
-        rolled = np.zeros(max(len(each) - SHINGLE + 1, 0), np.uint64)
-        for k in range(SHINGLE):
-            rolled = rolled * _ODD + each[k : len(each) - SHINGLE + 1 + k]
-        n = np.where(whole, lengths - SHINGLE + 1, 0)
-        doc = np.repeat(np.arange(len(texts)), n)
-        inner = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
-        docs.append(doc)
-        keys.append(_mix(rolled[np.repeat(starts, n) + inner]))
-    for k in np.flatnonzero(~whole & (lengths > 0)):
-        one = np.array([lengths[k]], np.uint64)
-        for h in each[starts[k] : starts[k] + lengths[k]]:
-            one = one * _ODD + h
-        docs.append(np.array([k]))
-        keys.append(_mix(one))
-    doc, key = np.concatenate(docs), np.concatenate(keys) >> np.uint64(64 - _KEY_BITS)
+    place = (np.arange(len(each)) - starts[owner]).astype(np.uint64)
+
+    whole = np.zeros((len(texts), 2), np.uint64)
+    for k in range(2):
+        placed = mix(each + (place + np.uint64(1)) * _STEP[k])
+        some = lengths > 0
+        whole[some, k] = np.add.reduceat(placed, starts[some]) if some.any() else 0
+
+    n = np.where(lengths >= SHINGLE, lengths - SHINGLE + 1, np.minimum(lengths, 1))
+    doc = np.repeat(np.arange(len(texts)), n)
+    first = np.repeat(starts, n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+    size = np.minimum(lengths, SHINGLE)[doc]
+    key = size.astype(np.uint64)
+    for k in range(SHINGLE):
+        there = k < size
+        key[there] = key[there] * _STEP[0] + each[first[there] + k]
+    key = mix(key) >> np.uint64(64 - _KEY_BITS)
     # one sort for both: at most 2 ** 10 documents at a time
     both, counts = np.unique((doc.astype(np.uint64) << np.uint64(_KEY_BITS)) | key, return_counts=True)
-    return (both >> np.uint64(_KEY_BITS)).astype(np.int64), both & np.uint64((1 << _KEY_BITS) - 1), counts, split
+    return (both >> np.uint64(_KEY_BITS)).astype(np.int64), both & np.uint64((1 << _KEY_BITS) - 1), counts, whole
 
 
 def signatures(doc: np.ndarray, key: np.ndarray, weight: np.ndarray, documents: int, registers: int = REGISTERS) -> np.ndarray:
     """documents x registers: the shingle that arrived first in each register.
 
-    All shingles take their next step together; those that cannot change their
-    document's registers any more drop out. A document without shingles keeps zeros.
+    All shingles take their next arrivals together; those that cannot change their
+    document's registers any more drop out. Who goes on for long is from a small
+    document, so the number of arrivals taken at once doubles. A document without
+    shingles keeps zeros.
     """
     first = np.full(documents * registers, np.inf)
     owner = np.zeros(documents * registers, np.uint64)
     time = np.zeros(len(key))
     rate = weight.astype(np.float64)
-    with np.errstate(over="ignore"):
-        step = np.uint64(0)
-        while len(key):
-            step += np.uint64(1)
-            drawn = _mix(key * _ODD + step * np.uint64(0xD1342543DE82EF95))
-            time = time - np.log((np.float64(1) + (drawn >> np.uint64(12)).astype(np.float64)) * 2.0**-52) / rate
-            slot = doc * registers + (_mix(drawn) % np.uint64(registers)).astype(np.int64)
-            earlier = np.flatnonzero(time < first[slot])
-            # of several arrivals in a register the earliest is written last, so it stays
-            earlier = earlier[np.lexsort((key[earlier], -time[earlier]))]
-            first[slot[earlier]] = time[earlier]
-            owner[slot[earlier]] = key[earlier]
-            last = first.reshape(documents, registers).max(axis=1)
-            going = time < last[doc]
-            if not going.all():
-                doc, key, time, rate = doc[going], key[going], time[going], rate[going]
+    step, width = 0, 1
+    while len(key):
+        steps = np.arange(step + 1, step + width + 1, dtype=np.uint64) * _STEP[1]
+        drawn = mix((key * _STEP[0])[:, None] + steps)
+        waits = -np.log((1.0 + (drawn >> np.uint64(12))) * 2.0**-52) / rate[:, None]
+        times = time[:, None] + np.cumsum(waits, axis=1)
+        slots = doc[:, None] * registers + (mix(drawn) % np.uint64(registers)).astype(np.int64)
+        earlier = times < first[slots]
+        when, where = times[earlier], slots[earlier]
+        np.minimum.at(first, where, when)
+        won = when == first[where]
+        owner[where[won]] = np.broadcast_to(key[:, None], times.shape)[earlier][won]
+        time = times[:, -1]
+        last = first.reshape(documents, registers).max(axis=1)
+        going = time < last[doc]
+        doc, key, time, rate = doc[going], key[going], time[going], rate[going]
+        step, width = step + width, min(64, max(1, step + width))
     return owner.reshape(documents, registers)
 
 
-def _parts(batch: pa.RecordBatch, most: int = 1 << 9) -> Iterator[pa.RecordBatch]:
-    for at in range(0, batch.num_rows, most):
-        yield batch.slice(at, most)
-
-
 def signed(rows: DataFrame) -> DataFrame:
     """Add digest, n (distinct shingles), bands and sketch to (id, text, ...); the text stays for verification."""
     fields = [
@@ -126,28 +115,30 @@ def signed(rows: DataFrame) -> DataFrame:
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in _parts(batch):
-                doc, key, count, split = shingle_sets(part.column(1).to_pylist())
-                n = np.bincount(doc, minlength=part.num_rows)
+            texts = batch.column(1).to_pylist()
+            for at, to in portions(texts):
+                size = to - at
+                doc, key, count, whole = shingle_sets(texts[at:to])
+                n = np.bincount(doc, minlength=size)
                 large = n[doc] >= FEWEST
                 # a repeated shingle weighs a little more than one that occurs once
-                table = signatures(doc[large], key[large], 1 + np.log(count[large]), part.num_rows)
-                with np.errstate(over="ignore"):
-                    band = np.zeros((part.num_rows, BANDS), np.uint64) + np.arange(1, BANDS + 1, dtype=np.uint64)
-                    for k in range(BAND_ROWS):
-                        band = _mix(band * _ODD + table[:, k::BAND_ROWS])
-                    bits = np.packbits((_mix(table) & np.uint64(1)).astype(np.uint8), axis=1)
-                sketch = np.zeros((part.num_rows, 32), np.uint8)
+                table = signatures(doc[large], key[large], 1 + np.log(count[large]), size)
+                band = np.zeros((size, BANDS), np.uint64) + np.arange(1, BANDS + 1, dtype=np.uint64)
+                for k in range(BAND_ROWS):
+                    band = mix(band * _STEP[0] + table[:, k::BAND_ROWS])
+                few = (mix(table)[:, :, None] >> np.arange(SKETCH_BITS, dtype=np.uint64)) & np.uint64(1)
+                bits = np.packbits(few.astype(np.uint8).reshape(size, -1), axis=1)
+                sketch = np.zeros((size, 8 * SKETCH_LONGS), np.uint8)
                 sketch[:, : bits.shape[1]] = bits
                 some = n >= FEWEST
-                ends = lambda size: pa.array(np.concatenate(([0], np.cumsum(some * size))).astype(np.int32))
+                ends = lambda width: pa.array(np.concatenate(([0], np.cumsum(some * width))).astype(np.int32))
                 yield pa.RecordBatch.from_arrays(
                     [
-                        *part.columns,
-                        pa.array([hashlib.blake2b(b" ".join(w), digest_size=16).hexdigest() for w in split]),
+                        *batch.slice(at, size).columns,
+                        pa.array([f"{x:016x}{y:016x}" for x, y in whole.tolist()]),
                         pa.array(n.astype(np.int32)),
                         pa.ListArray.from_arrays(ends(BANDS), pa.array(band[some].reshape(-1).view(np.int64))),
-                        pa.ListArray.from_arrays(ends(4), pa.array(sketch[some].view(np.int64).reshape(-1))),
+                        pa.ListArray.from_arrays(ends(SKETCH_LONGS), pa.array(sketch[some].view(np.int64).reshape(-1))),
                     ],
                     schema.names,
                 )
@@ -160,11 +151,12 @@ def _sets(rows: DataFrame) -> DataFrame:
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in _parts(batch):
-                doc, key, _, _ = shingle_sets(part.column(1).to_pylist())
-                ends = np.concatenate(([0], np.cumsum(np.bincount(doc, minlength=part.num_rows)))).astype(np.int32)
+            texts = batch.column(1).to_pylist()
+            for at, to in portions(texts):
+                doc, key, _, _ = shingle_sets(texts[at:to])
+                ends = np.concatenate(([0], np.cumsum(np.bincount(doc, minlength=to - at)))).astype(np.int32)
                 lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(key.astype(np.int64)))
-                yield pa.RecordBatch.from_arrays([part.column(0), lists], ["rep", "shingles"])
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, to - at), lists], ["rep", "shingles"])
 
     return rows.mapInArrow(run, "rep long, shingles array<long>")
 
@@ -175,11 +167,20 @@ def _sets(rows: DataFrame) -> DataFrame:
 def _alike(a: str, b: str) -> Column:
     """Sizes and sketches that leave a similarity of 0.8 possible; both are structs of n and sketch."""
     n, m = F.col(f"{a}.n"), F.col(f"{b}.n")
-    sized = (F.least(n, m) >= F.greatest(n, m) * F.lit(SIMILARITY))
-    differ = sum((F.bit_count(F.get(F.col(f"{a}.sketch"), F.lit(k)).bitwiseXOR(F.get(F.col(f"{b}.sketch"), F.lit(k)))) for k in range(4)), F.lit(0))
+    sized = F.least(n, m) >= F.greatest(n, m) * F.lit(SIMILARITY)
+    differ = F.lit(0)
+    for k in range(SKETCH_LONGS):
+        part = F.get(F.col(f"{a}.sketch"), F.lit(k)).bitwiseXOR(F.get(F.col(f"{b}.sketch"), F.lit(k)))
+        differ = differ + F.bit_count(part)
     return sized & (differ <= MOST_BITS)
 
 
+def _first_shared(a: str, b: str) -> Column:
+    """That no band before this one is shared as well: a pair meets in one bucket only."""
+    before = (F.slice(F.col(f"{x}.bands"), 1, F.col("band")) for x in (a, b))
+    return ~F.exists(F.zip_with(*before, lambda x, y: x == y), lambda same: same)
+
+
 def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     """The pairs (a, b) whose shingle sets are similar enough."""
     left = sets.select(F.col("rep").alias("a"), F.col("shingles").alias("x"))
@@ -218,16 +219,13 @@ def near_classes(reps: DataFrame) -> DataFrame:
 
     ``reps`` has rep, text, n, bands and sketch.
     """
-    exploded = reps.filter(F.col("n") >= FEWEST).select(
-        "rep", F.struct("n", "sketch").alias("mine"), F.posexplode("bands").alias("band", "key")
-    )
-    buckets = exploded.groupBy("band", "key").agg(
-        F.min(F.struct("rep", "mine")).alias("hub"), F.count("*").alias("members")
-    )
+    exploded = reps.filter(F.col("n") >= FEWEST).select("rep", F.posexplode("bands").alias("band", "key"))
+    buckets = exploded.groupBy("band", "key").agg(F.min("rep").alias("hub"), F.count("*").alias("members"))
     buckets = stored(buckets.filter("members > 1"), "band-buckets")
-    entries = stored(exploded.join(buckets.select("band", "key", F.col("hub.rep").alias("hub"), F.col("hub.mine").alias("hers"), "members"), ["band", "key"]), "band-entries")
+    entries = stored(exploded.join(buckets, ["band", "key"]), "band-entries")
     members = stored(entries.select("rep").distinct(), "near-members")
     sets = stored(_sets(reps.join(members, "rep").select("rep", "text")), "shingle-sets")
+    facts = stored(reps.join(members, "rep").select("rep", F.struct("n", "sketch", "bands").alias("facts")), "near-facts")
     classes = members.select("rep", F.col("rep").alias("class"))
 
     def link(pairs, classes):
@@ -236,20 +234,25 @@ def near_classes(reps: DataFrame) -> DataFrame:
         return merged(classes, stored(_class_pairs(found, classes), "class-links"))
 
     for low, high in ROUNDS:
-        a = classes.select(F.col("rep").alias("hub"), F.col("class").alias("u"))
-        b = classes.select("rep", F.col("class").alias("v"))
-        here = entries.filter(F.col("band").between(low, high - 1) & (F.col("rep") != F.col("hub")) & _alike("mine", "hers"))
-        stars = here.select("hub", "rep").distinct().join(a, "hub").join(b, "rep").filter("u <> v")
-        classes = link(stars.select(F.col("hub").alias("a"), F.col("rep").alias("b")), classes)
-
-    # buckets that still hold several classes: each pair of members of different classes, hubs excepted
-    held = entries.filter((F.col("members") > 2) & (F.col("rep") != F.col("hub"))).select("band", "key", "rep", "mine").join(classes, "rep")
+        a = classes.select(F.col("rep").alias("a"), F.col("class").alias("u"))
+        b = classes.select(F.col("rep").alias("b"), F.col("class").alias("v"))
+        here = entries.filter(F.col("band").between(low, high - 1) & (F.col("rep") != F.col("hub")))
+        stars = here.select(F.col("hub").alias("a"), F.col("rep").alias("b")).distinct()
+        stars = stars.join(a, "a").join(b, "b").filter("u <> v").select("a", "b")
+        ours = facts.select(F.col("rep").alias("a"), F.col("facts").alias("ours"))
+        theirs = facts.select(F.col("rep").alias("b"), F.col("facts").alias("theirs"))
+        classes = link(stars.join(ours, "a").join(theirs, "b").filter(_alike("ours", "theirs")).select("a", "b"), classes)
+
+    # buckets that still hold several classes: the pairs of members of different classes, hubs excepted
+    held = entries.filter((F.col("members") > 2) & (F.col("rep") != F.col("hub"))).select("band", "key", "rep").join(classes, "rep")
     mixed = held.groupBy("band", "key").agg(F.min("class").alias("low"), F.max("class").alias("high"))
-    held = stored(held.join(stored(mixed.filter("low < high").select("band", "key"), "mixed-buckets"), ["band", "key"]), "mixed-entries")
-    one = held.select("band", "key", F.col("rep").alias("a"), F.col("mine").alias("ours"), F.col("class").alias("u"))
-    two = held.select("band", "key", F.col("rep").alias("b"), F.col("mine").alias("theirs"), F.col("class").alias("v"))
-    rest = one.join(two, ["band", "key"]).filter("a < b AND u <> v").filter(_alike("ours", "theirs"))
-    return link(rest.select("a", "b").distinct(), classes)
+    mixed = stored(mixed.filter("low < high").select("band", "key"), "mixed-buckets")
+    held = stored(held.join(mixed, ["band", "key"]).join(facts, "rep"), "mixed-entries")
+    one = held.select("band", "key", F.col("rep").alias("a"), F.col("facts").alias("ours"), F.col("class").alias("u"))
+    two = held.select(F.col("band").alias("band2"), F.col("key").alias("key2"), F.col("rep").alias("b"), F.col("facts").alias("theirs"), F.col("class").alias("v"))
+    meet = (F.col("band") == F.col("band2")) & (F.col("key") == F.col("key2")) & (F.col("a") < F.col("b")) & (F.col("u") != F.col("v"))
+    rest = one.join(two, meet & _alike("ours", "theirs") & _first_shared("ours", "theirs"))
+    return link(rest.select("a", "b"), classes)
 
 
 def _classified(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
