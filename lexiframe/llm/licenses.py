@@ -8,6 +8,7 @@ their lines, since short notices stand on a line of their own.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Mapping
 from functools import reduce
 
@@ -49,9 +50,33 @@ def digest(text: Column) -> Column:
     return F.when(form != "", F.sha2(form, 256))
 
 
-def known_digests(spark: SparkSession, texts: Mapping[str, list[str]] | None = None) -> DataFrame:
+def _stable(word: str) -> str | None:
+    """What every spelling of a canonical word holds, or nothing if that is not known."""
+    if "licens" in word:
+        return "licen"
+    touched = ("ment", "or", "iz", "sub", "non", "while", "percent", "copyright", "holder", "http", "version")
+    return None if len(word) < 6 or any(t in word for t in touched) else word
+
+
+def anchors(texts: Mapping[str, list[str]]) -> list[str]:
+    """A few pieces of words such that every known text holds one of them, however it is spelled.
+
+    A text without any of them is no known text and needs no canonical form.
+    """
+    marks = [{a for w in re.findall(r"[^\W_]+", t.lower()) if (a := _stable(w))} for each in texts.values() for t in each]
+    if not all(marks):
+        return [""]  # some text has no such word: every text is a candidate
+    chosen, left = [], marks
+    while left:
+        best = max(sorted({m for each in left for m in each}), key=lambda m: sum(m in each for each in left))
+        chosen.append(best)
+        left = [each for each in left if best not in each]
+    return chosen
+
+
+def known_digests(spark: SparkSession, texts: Mapping[str, list[str]]) -> DataFrame:
     """(licence, digest): one row per known text. Its size is that of the list given."""
-    pairs = [(name, t) for name, each in (texts or known_texts()).items() for t in each]
+    pairs = [(name, t) for name, each in texts.items() for t in each]
     rows = F.array(*(F.struct(F.lit(n).alias("licence"), F.lit(t).alias("text")) for n, t in pairs))
     listed = spark.range(1).select(F.explode(rows).alias("x"))
     digests = listed.select("x.licence", digest(F.col("x.text")).alias("digest"))
@@ -66,31 +91,36 @@ def scan(
 ) -> DataFrame:
     """One row per document: the licence that its whole text is, and the notices among its lines.
 
-    Null, empty and wordless texts have no digest and no licence. A line counts as a
-    notice when the whole line is a known text. Repeated rows are judged alike. If
-    texts of several licences have one canonical form, the first name counts. Only
-    the two named columns are read. An empty table gives an empty result.
+    Null, empty and wordless texts have no licence. A line counts as a notice when the
+    whole line is a known text. Repeated rows are judged alike. If texts of several
+    licences have one canonical form, the first name counts; known texts without words
+    match nothing. Only the two named columns are read. An empty table gives an empty
+    result.
 
-    Columns: doc_id, text_digest, licence, n_notices, notices (names, comma-joined).
+    Columns: doc_id, licence, n_notices, notices (names, comma-joined).
     """
+    texts = {name: [t for t in each if re.search(r"[^\W_]", t)] for name, each in (texts or known_texts()).items()}
+    marks = anchors(texts)
+
+    def candidate(text: Column) -> Column:
+        low = lower_az(text)
+        return reduce(lambda a, b: a | b, (F.contains(low, F.lit(m)) for m in marks), F.lit(False))
+
     text = F.coalesce(docs[text_col], F.lit(""))
-    table = docs.select(docs[id_col].alias("doc_id"), digest(text).alias("text_digest"), _short_lines(text).alias("lines"))
-    table = stored(table.withColumn("row", F.monotonically_increasing_id()), "canonical-digests")
+    lines = F.transform(F.filter(F.split(text, "\n"), candidate), digest)
+    some = docs.select(
+        docs[id_col].alias("doc_id"),
+        F.when(candidate(text), F.struct(digest(text).alias("digest"), lines.alias("lines"))).alias("found"),
+    )
+    table = stored(some.withColumn("row", F.monotonically_increasing_id()), "canonical-digests")
     known = stored(known_digests(docs.sparkSession, texts), "known-licences")
 
     # the known list is bounded: joined where the lines are, only hits go on
-    lines = table.select("row", F.explode("lines").alias("digest"))
-    hits = lines.join(F.broadcast(known), "digest").groupBy("row").agg(
+    hits = table.select("row", F.explode("found.lines").alias("digest")).join(F.broadcast(known), "digest").groupBy("row").agg(
         F.count("*").alias("n_notices"), F.array_join(F.array_sort(F.collect_set("licence")), ",").alias("notices")
     )
-    whole = table.join(F.broadcast(known.withColumnRenamed("digest", "text_digest")), "text_digest", "left")
+    whole = table.select("row", "doc_id", F.col("found.digest").alias("digest")).join(F.broadcast(known), "digest", "left")
     return whole.join(hits, "row", "left").select(
-        "doc_id", "text_digest", "licence",
+        "doc_id", "licence",
         F.coalesce("n_notices", F.lit(0)).cast("long").alias("n_notices"), F.coalesce("notices", F.lit("")).alias("notices"),
     )
-
-
-def _short_lines(text: Column) -> Column:
-    """The digests of the lines; a text of one line is its own digest already."""
-    digests = F.transform(F.split(text, "\n"), digest)
-    return F.filter(digests, lambda d: d.isNotNull())

@@ -144,8 +144,7 @@ def licence_sql() -> str:
     parts AS (SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS part FROM documents),
     hits AS (SELECT doc_id, count(*) AS n_notices, string_agg(DISTINCT licence, ',' ORDER BY licence) AS notices
       FROM (SELECT doc_id, {canonical('part')} AS form FROM parts) JOIN k ON digest = sha256(form) WHERE form <> '' GROUP BY 1)
-    SELECT doc_id, CASE WHEN form <> '' THEN sha256(form) END AS text_digest, licence, coalesce(n_notices, 0)::BIGINT AS n_notices,
-      coalesce(notices, '') AS notices
+    SELECT doc_id, licence, coalesce(n_notices, 0)::BIGINT AS n_notices, coalesce(notices, '') AS notices
     FROM whole LEFT JOIN k ON form <> '' AND digest = sha256(form) LEFT JOIN hits USING (doc_id)"""
 
 
