@@ -24,6 +24,8 @@ from lexiframe.session import materialize
 
 # Accepted requests per period, and the period in seconds.
 LIMIT, TTL_SECONDS = 10, 60
+# a block spans this many times the longest reach of a pointer
+REACHES = 4
 
 
 def pointers(at: np.ndarray, own: int, limit: int, ttl: int) -> tuple[np.ndarray, np.ndarray]:
@@ -50,7 +52,7 @@ def _leaving(at: np.ndarray, own: int, limit: int, ttl: int) -> tuple[np.ndarray
 
 def _blocks(slim: DataFrame, client: str, id_col: str, limit: int, ttl: int) -> DataFrame:
     """One row per client and block: own and next block's requests, and whether a pause comes before it."""
-    width = (limit + 1) * ttl
+    width = REACHES * (limit + 1) * ttl
     placed = slim.withColumn("__block", F.floor(F.col("__at") / F.lit(width)))
     # a request stands in its own block and ahead of the one before
     both = placed.withColumn("__b", F.explode(F.array(F.col("__block"), F.col("__block") - 1)))
@@ -131,7 +133,7 @@ def rate_limit(
 ) -> DataFrame:
     """``(client, id, accepted)`` for every request, in the order of ``ts`` and ``id``.
 
-    A group is a client's requests of twice ``limit + 1`` periods. Requests without a
+    A group is a client's requests of ``2 * REACHES * (limit + 1)`` periods. Requests without a
     client are one client's; requests without a time are neither accepted nor refused.
     """
     at = order_number(F.col(ts), requests.schema[ts].dataType.simpleString())
