@@ -17,12 +17,13 @@ from collections.abc import Iterable, Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from lexiframe.llm.classlm import _LOWER
+from lexiframe.llm.bytewords import mix, portions, words_of
 from lexiframe.llm.common import stored
+from lexiframe.llm.exactdedup import bloom_filter, filter_blocks, maybe_repeated
 
 #: The Jaccard similarity from which lines match, 4/5, in whole numbers.
 OVER, UNDER = 4, 5
@@ -30,19 +31,10 @@ OVER, UNDER = 4, 5
 #: a little more frequent; the order stays the same for all lines, so the join stays exact.
 COUNTERS, ROW_COUNTERS = 1 << 20, 1 << 12
 _PLACE = 1 << 24
-
-
-def _tokens(texts: list[bytes | None]) -> tuple[list[list[bytes]], np.ndarray]:
-    """The tokens of every line of every text, and the number of lines of each text."""
-    lines = [line.split() for text in texts for line in (text or b"").translate(_LOWER).split(b"\n")]
-    return lines, np.array([(text or b"").count(b"\n") + 1 for text in texts], np.int64)
-
-
-def _hashes(tokens: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    """Codes of all tokens and the hash of each code."""
-    coded = pa.array(tokens, pa.binary()).dictionary_encode()
-    hashes = np.array([xxhash.xxh64_intdigest(w) for w in coded.dictionary.to_pylist()], np.uint64)
-    return coded.indices.to_numpy(), hashes
+#: Longs of the bitmap that every line's tokens are hashed into.
+BITMAP = 2
+#: Bits of a line number inside a portion, of a frequency class, and of a token's hash behind them.
+_LINE, _CLASS, _HASH = 12, 8, 44
 
 
 def token_counts(texts: DataFrame, counters: int = COUNTERS) -> np.ndarray:
@@ -55,126 +47,169 @@ def token_counts(texts: DataFrame, counters: int = COUNTERS) -> np.ndarray:
 
     def sliced(total):
         rows = [k for k in range(counters // width) if total[k * width : (k + 1) * width].any()]
-        cells = [total[k * width : (k + 1) * width].tobytes() for k in rows]
+        cells = [np.minimum(total[k * width : (k + 1) * width], 2**31 - 1).astype(np.int32).tobytes() for k in rows]
         return pa.RecordBatch.from_arrays([pa.array(rows, pa.int32()), pa.array(cells, pa.binary())], ["slice", "counts"])
 
     def count(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(counters, np.int64)
         for batch in batches:
-            tokens = [w for text in batch.column(0).to_pylist() for w in (text or b"").translate(_LOWER).split()]
-            if tokens:
-                codes, hashes = _hashes(tokens)
-                amounts = np.bincount(codes, minlength=len(hashes))
-                total += np.bincount((hashes % np.uint64(counters)).astype(np.int64), amounts, counters).astype(np.int64)
+            texts = [t or b"" for t in batch.column(0).to_pylist()]
+            for a, b in portions(texts):
+                hashes, _, _ = words_of(b" ".join(texts[a:b]))
+                np.add.at(total, _counter(hashes, counters), 1)
         yield sliced(total)
 
     def add(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(counters, np.int64)
         for batch in batches:
             for k, cells in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                total[k * width : (k + 1) * width] += np.frombuffer(cells, np.int64)
+                total[k * width : (k + 1) * width] += np.frombuffer(cells, np.int32)
         yield sliced(total)
 
     slices = texts.mapInArrow(count, "slice int, counts binary").repartition("slice")
     total = np.zeros(counters, np.int64)
     found = slices.mapInArrow(add, "slice int, counts binary").toArrow()  # at most ``counters`` numbers
     for k, cells in zip(found["slice"].to_pylist(), found["counts"].to_pylist()):
-        total[k * width : (k + 1) * width] += np.frombuffer(cells, np.int64)
+        total[k * width : (k + 1) * width] += np.frombuffer(cells, np.int32)
     return total
 
 
-def _line_sets(lines: list[list[bytes]], classes: np.ndarray):
-    """Distinct tokens of each line, rare ones first: (line of each, hash of each, tokens per line)."""
-    lengths = np.array([len(x) for x in lines], np.int64)
-    codes, hashes = _hashes([w for x in lines for w in x])
-    if not len(codes):
-        return np.zeros(0, np.int64), hashes, np.zeros(len(lines), np.int64)
-    line = np.repeat(np.arange(len(lines), dtype=np.uint64), lengths)
-    each = hashes[codes]
-    # line, frequency class and the upper bits of the hash in one number: one sort orders and finds doubles
-    upper = np.uint64(64 - max(1, int(len(lines)).bit_length()) - 8)
-    kind = classes[(hashes % np.uint64(len(classes))).astype(np.int64)].astype(np.uint64)[codes]
-    key = (((line << np.uint64(8)) | kind) << upper) | (each >> (np.uint64(64) - upper))
-    _, at = np.unique(key, return_index=True)
-    owner = line[at].astype(np.int64)
-    return owner, each[at], np.bincount(owner, minlength=len(lines))
+def _counter(hashes: np.ndarray, counters: int) -> np.ndarray:
+    return (hashes & np.uint64(counters - 1)).astype(np.int64)
+
+
+def _classes(counts: np.ndarray) -> np.ndarray:
+    """Frequency classes: 0 for one occurrence, then eighths of a power of two."""
+    return np.minimum(255, np.where(counts <= 1, 0, 1 + 8 * np.log2(np.maximum(counts, 2)))).astype(np.uint8)
+
+
+def _portions(texts: list[bytes]) -> Iterator[tuple[int, int]]:
+    """Runs of texts with at most 2 ** _LINE lines; a text with more is a run of its own."""
+    for a, b in portions(texts):
+        at, lines = a, 0
+        for k in range(a, b):
+            more = texts[k].count(b"\n") + 1
+            if k > at and lines + more > 1 << _LINE:
+                yield at, k
+                at, lines = k, 0
+            lines += more
+        yield at, b
+
+
+def _line_tokens(joined: bytes) -> tuple[np.ndarray, np.ndarray, int]:
+    """(hash, line) of every token of texts joined by line feeds, and the number of lines."""
+    hashes, begins, _ = words_of(joined)
+    feeds = np.flatnonzero(np.frombuffer(joined, np.uint8) == 0x0A)
+    return hashes, np.searchsorted(feeds, begins), len(feeds) + 1
 
 
-def _mix(x: np.ndarray, odd: int) -> np.ndarray:
-    x = (x ^ (x >> np.uint64(32))) * np.uint64(odd)
-    return x ^ (x >> np.uint64(29))
+def _line_sets(joined: bytes, classes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The distinct tokens of each line, rare ones first: (line, token) and the tokens per line.
+
+    A token is its frequency class before the upper bits of its hash, so one sort of
+    line and token orders lines and tokens and brings doubles together.
+    """
+    hashes, line, lines = _line_tokens(joined)
+    kind = classes[_counter(hashes, len(classes))].astype(np.uint64)
+    token = (kind << np.uint64(_HASH)) | (hashes >> np.uint64(64 - _HASH))
+    out, owners = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)]
+    width, mask = np.uint64(_CLASS + _HASH), np.uint64((1 << (_CLASS + _HASH)) - 1)
+    # a portion has one run of lines, but for a text of very many
+    for low in range(0, lines, 1 << _LINE):
+        a, b = np.searchsorted(line, [low, low + (1 << _LINE)])
+        key = np.sort(((line[a:b] - low).astype(np.uint64) << width) | token[a:b])
+        key = key[np.diff(key, prepend=~key[:1]) != 0] if len(key) else key
+        out.append(key & mask)
+        owners.append((key >> width).astype(np.int64) + low)
+    owner = np.concatenate(owners)
+    return owner, np.concatenate(out), np.bincount(owner, minlength=lines)
+
+
+def _summed(owner: np.ndarray, values: np.ndarray, lines: int, how=np.add) -> np.ndarray:
+    sums = np.zeros(lines, np.uint64)
+    if len(owner):
+        begins = np.flatnonzero(np.diff(owner, prepend=-1))
+        sums[owner[begins]] = how.reduceat(values, begins)
+    return sums
 
 
 def _set_keys(owner: np.ndarray, tokens: np.ndarray, lines: int) -> list[pa.Array]:
     """Two 64-bit sums over the tokens of a line: equal sets have equal keys."""
-    out = []
-    begins = np.flatnonzero(np.diff(owner, prepend=-1))
-    for odd in (0xD6E8FEB86659FD93, 0xA0761D6478BD642F):
-        sums = np.zeros(lines, np.uint64)
-        if len(owner):
-            mixed = _mix(_mix(tokens, odd), 0xE7037ED1A0B428DB)
-            sums[owner[begins]] = np.add.reduceat(mixed, begins)
-        out.append(pa.array(sums.view(np.int64)))
-    return out
-
-
-def _prefixes(owner, tokens, n, classes) -> tuple[np.ndarray, np.ndarray]:
+    both = (mix(tokens + np.uint64(seed)) for seed in (0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93))
+    return [pa.array(_summed(owner, m, lines).view(np.int64)) for m in both]
+
+
+def _bitmaps(owner: np.ndarray, tokens: np.ndarray, lines: int) -> np.ndarray:
+    """lines x BITMAP longs with a bit for each token."""
+    where = mix(tokens ^ np.uint64(0xA0761D6478BD642F))
+    out = np.zeros((lines, BITMAP), np.uint64)
+    for k in range(BITMAP):
+        here = (where >> np.uint64(6)) % np.uint64(BITMAP) == k
+        out[:, k] = _summed(owner[here], np.uint64(1) << (where[here] & np.uint64(63)), lines, np.bitwise_or)
+    return out.view(np.int64)
+
+
+def _prefixes(owner, tokens, n) -> tuple[np.ndarray, np.ndarray]:
     """The prefix of every line that can have a partner other than itself, as 32-bit tokens.
 
-    A token counted once in the corpus shares with nobody; it keeps its place as a 0.
+    A token counted once in the corpus (class 0) shares with nobody; it keeps its
+    place as a 0.
     """
     size = np.where(n >= OVER, n - (OVER * n + UNDER - 1) // UNDER + 1, 0)
     inner = np.arange(len(owner)) - np.repeat(np.cumsum(n) - n, n)
     kept = tokens[inner < size[owner]]
-    short = (kept >> np.uint64(32)).astype(np.uint32).view(np.int32)
-    alone = classes[(kept % np.uint64(len(classes))).astype(np.int64)] == 0
-    return size, np.where(alone, 0, short).astype(np.int32)
+    short = (mix(kept) >> np.uint64(32)).astype(np.uint32).view(np.int32)
+    return size, np.where(kept >> np.uint64(_HASH) == 0, 0, short).astype(np.int32)
 
 
 def lines_of(rows: DataFrame, counts: np.ndarray) -> DataFrame:
-    """One row per line of (doc_id, text): digest of the text, line, key of its token set, n, prefix."""
+    """One row per line of (doc_id, text): digest of the text, line, key of its token set, n, bitmap, prefix."""
     id_field = rows.schema.fields[0]
     fields = [
         ("digest", T.LongType()), ("line", T.IntegerType()), ("high", T.LongType()), ("low", T.LongType()),
-        ("n", T.LongType()), ("prefix", T.ArrayType(T.IntegerType())),
+        ("n", T.IntegerType()), *((f"bits{k}", T.LongType()) for k in range(BITMAP)), ("prefix", T.ArrayType(T.IntegerType())),
     ]
     schema = T.StructType([id_field, *(T.StructField(*f) for f in fields)])
-    # frequency classes: 0 for one occurrence, then eighths of a power of two
-    classes = np.minimum(255, np.where(counts <= 1, 0, 1 + 8 * np.log2(np.maximum(counts, 2)))).astype(np.uint8)
-    shared = rows.sparkSession.sparkContext.broadcast(classes)  # COUNTERS bytes
+    shared = rows.sparkSession.sparkContext.broadcast(_classes(counts))  # COUNTERS bytes
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = batch.column(1).to_pylist()
-            lines, per = _tokens(texts)
-            owner, tokens, n = _line_sets(lines, shared.value)
-            size, prefix = _prefixes(owner, tokens, n, shared.value)
-            doc = np.repeat(np.arange(len(texts)), per)
-            number = np.arange(len(doc)) - np.repeat(np.cumsum(per) - per, per)
-            digests = np.array([xxhash.xxh64_intdigest(t or b"") for t in texts], np.uint64).view(np.int64)
-            ends = np.concatenate(([0], np.cumsum(size))).astype(np.int32)
-            yield pa.RecordBatch.from_arrays(
-                [
-                    batch.column(0).take(pa.array(doc)), pa.array(digests[doc]), pa.array(number.astype(np.int32)),
-                    *_set_keys(owner, tokens, len(lines)), pa.array(n), pa.ListArray.from_arrays(pa.array(ends), pa.array(prefix)),
-                ],
-                schema.names,
-            )
+            texts = [t or b"" for t in batch.column(1).to_pylist()]
+            for a, b in _portions(texts):
+                per = np.array([t.count(b"\n") + 1 for t in texts[a:b]], np.int64)
+                owner, tokens, n = _line_sets(b"\n".join(texts[a:b]), shared.value)
+                size, prefix = _prefixes(owner, tokens, n)
+                doc = np.repeat(np.arange(b - a), per)
+                number = np.arange(len(doc)) - np.repeat(np.cumsum(per) - per, per)
+                digests = np.array([xxhash.xxh64_intdigest(t) for t in texts[a:b]], np.uint64).view(np.int64)
+                ends = np.concatenate(([0], np.cumsum(size))).astype(np.int32)
+                maps = _bitmaps(owner, tokens, len(n))
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        batch.column(0).slice(a, b - a).take(pa.array(doc)), pa.array(digests[doc]), pa.array(number.astype(np.int32)),
+                        *_set_keys(owner, tokens, len(n)), pa.array(n.astype(np.int32)), *(pa.array(maps[:, k].copy()) for k in range(BITMAP)),
+                        pa.ListArray.from_arrays(pa.array(ends), pa.array(prefix)),
+                    ],
+                    schema.names,
+                )
 
     return rows.mapInArrow(run, schema)
 
 
-def _whole_sets(rows: DataFrame) -> DataFrame:
-    """(high, low, tokens) of every line of (doc_id, text) that has tokens."""
-    none = np.zeros(1, np.uint8)
+def _whole_sets(rows: DataFrame, counts: np.ndarray) -> DataFrame:
+    """(high, low, tokens) of every line of (doc_id, text) that has tokens: their full hashes."""
+    shared = rows.sparkSession.sparkContext.broadcast(_classes(counts))  # COUNTERS bytes
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            lines, _ = _tokens(batch.column(1).to_pylist())
-            owner, tokens, n = _line_sets(lines, none)
-            ends = np.concatenate(([0], np.cumsum(n))).astype(np.int32)
-            lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(tokens.view(np.int64)))
-            yield pa.RecordBatch.from_arrays([*_set_keys(owner, tokens, len(lines)), lists], ["high", "low", "tokens"])
+            texts = [t or b"" for t in batch.column(1).to_pylist()]
+            for a, b in _portions(texts):
+                joined = b"\n".join(texts[a:b])
+                owner, tokens, n = _line_sets(joined, shared.value)
+                hashes, line, lines = _line_tokens(joined)
+                ends = np.searchsorted(line, np.arange(lines + 1)).astype(np.int32)
+                lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(hashes.view(np.int64)))
+                yield pa.RecordBatch.from_arrays([*_set_keys(owner, tokens, lines), lists], ["high", "low", "tokens"])
 
     return rows.mapInArrow(run, "high long, low long, tokens array<long>").filter(F.size("tokens") > 0)
 
@@ -182,21 +217,37 @@ def _whole_sets(rows: DataFrame) -> DataFrame:
 def candidates(reps: DataFrame) -> DataFrame:
     """Pairs (a, b) of lines, a not longer than b, that pass the prefix, length and position filters."""
     placed = reps.select("rep", "n", F.posexplode("prefix").alias("place", "token")).filter("token <> 0")
-    rows = placed.select("token", "rep", (F.col("n") * _PLACE + F.col("place")).alias("size"))
-    one = rows.select("token", F.col("rep").alias("a"), F.col("size").alias("x"))
-    two = rows.select("token", F.col("rep").alias("b"), F.col("size").alias("y"))
-    n = {c: F.shiftright(F.col(c), 24) for c in "xy"}
-    left = {c: n[c] - F.col(c).bitwiseAND(_PLACE - 1) for c in "xy"}  # tokens from the shared one on
-    total = n["x"] + n["y"]
-    pairs = one.join(
-        two,
-        (one["token"] == two["token"])
-        & ((n["x"] < n["y"]) | ((n["x"] == n["y"]) & (F.col("a") < F.col("b"))))
+    rows = placed.select("token", "rep", (F.col("n").cast("long") * _PLACE + F.col("place")).alias("size"))
+    # the same rows on both sides: they are shuffled once and read twice
+    sizes = {c: F.col(f"{c}.size") for c in "xy"}
+    n = {c: F.shiftright(size, 24) for c, size in sizes.items()}
+    left = {c: n[c] - size.bitwiseAND(_PLACE - 1) for c, size in sizes.items()}  # tokens from the shared one on
+    pairs = rows.alias("x").join(
+        rows.alias("y"),
+        (F.col("x.token") == F.col("y.token"))
+        & ((n["x"] < n["y"]) | ((n["x"] == n["y"]) & (F.col("x.rep") < F.col("y.rep"))))
         & (n["x"] * UNDER >= n["y"] * OVER)
         # |x & y| / |x | y| >= OVER / UNDER  means  |x & y| * (OVER + UNDER) >= (|x| + |y|) * OVER
-        & (F.least(left["x"], left["y"]) * (OVER + UNDER) >= total * OVER),
+        & (F.least(left["x"], left["y"]) * (OVER + UNDER) >= (n["x"] + n["y"]) * OVER),
     )
-    return pairs.select("a", "b").distinct()
+    return pairs.select(F.col("x.rep").alias("a"), F.col("y.rep").alias("b")).distinct()
+
+
+def _overlapping(pairs: DataFrame, reps: DataFrame) -> DataFrame:
+    """The pairs whose bitmaps leave enough tokens in common.
+
+    Every bit that only one line has stands for a token that only one line has, so
+    no similar pair is lost.
+    """
+    bits = [f"bits{k}" for k in range(BITMAP)]
+    one = reps.select(F.col("rep").alias("a"), F.struct("n", *bits).alias("x"))
+    two = reps.select(F.col("rep").alias("b"), F.struct("n", *bits).alias("y"))
+    differ: Column = F.lit(0)
+    for name in bits:
+        differ = differ + F.bit_count(F.col(f"x.{name}").bitwiseXOR(F.col(f"y.{name}")))
+    joined = pairs.join(one, "a").join(two, "b")
+    # |x ^ y| = |x| + |y| - 2 |x & y|
+    return joined.filter(differ * (OVER + UNDER) <= (F.col("x.n") + F.col("y.n")) * (UNDER - OVER)).select("a", "b")
 
 
 def similar(pairs: DataFrame, sets: DataFrame) -> DataFrame:
@@ -223,20 +274,26 @@ def repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     Columns: doc_id, n_lines, n_removed, removed, digest (of the text).
     """
     rows = docs.select(docs[id_col].alias("doc_id"), F.coalesce(docs[text_col], F.lit("")).cast("binary").alias("text"))
-    lines = stored(lines_of(rows, token_counts(rows.select("text"), counters)), "lines")
+    counts = token_counts(rows.select("text"), counters)
+    lines = stored(lines_of(rows, counts), "lines")
     here = F.struct(F.col("doc_id").isNull().alias("missing"), "doc_id", "digest", "line")
     distinct = lines.filter("n > 0").groupBy("high", "low").agg(
-        F.min(here).alias("first"), F.first("n").alias("n"), F.first("prefix").alias("prefix")
+        F.min(here).alias("first"), F.count("*").alias("times"), F.first("n").alias("n"),
+        *(F.first(f"bits{k}").alias(f"bits{k}") for k in range(BITMAP)), F.first("prefix").alias("prefix"),
     )
     reps = stored(distinct.withColumn("rep", F.monotonically_increasing_id()), "line-sets")
 
-    pairs = stored(candidates(reps), "line-candidates")
+    pairs = stored(_overlapping(candidates(reps), reps), "line-candidates")
     asked = pairs.select(F.col("a").alias("rep")).unionByName(pairs.select(F.col("b").alias("rep"))).distinct()
     asked = stored(reps.join(asked, "rep").select("rep", "high", "low", F.col("first.doc_id").alias("wanted")), "asked-lines")
     homes = asked.select("wanted").distinct()
     texts = rows.join(homes, F.col("doc_id").eqNullSafe(F.col("wanted")), "left_semi")
-    sets = _whole_sets(texts).join(asked.select("rep", "high", "low"), ["high", "low"]).select("rep", "tokens")
-    sets = stored(sets.dropDuplicates(["rep"]), "asked-sets")
+    # only lines whose key may be among those asked for go on
+    blocks = filter_blocks(asked.count())
+    bloom = stored(bloom_filter(asked.select(F.col("low").alias("cell")), blocks), "asked-filter")
+    some = maybe_repeated(_whole_sets(texts, counts).withColumn("cell", F.col("low")), bloom, blocks).filter("maybe")
+    sets = some.join(asked.select("rep", "high", "low"), ["high", "low"]).groupBy("rep").agg(F.first("tokens").alias("tokens"))
+    sets = stored(sets.withColumn("tokens", F.array_distinct("tokens")), "asked-sets")
     links = stored(similar(pairs, sets), "similar-lines")
 
     order = reps.select("rep", "first")
@@ -244,15 +301,21 @@ def repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         order.withColumnsRenamed({"rep": "b", "first": "fb"}), "b"
     )
     late = both.select(F.when(F.col("fa") < F.col("fb"), F.col("b")).otherwise(F.col("a")).alias("rep")).distinct()
-    status = reps.select("rep", "high", "low", "first").join(late.withColumn("late", F.lit(True)), "rep", "left")
-    status = stored(status.drop("rep"), "line-status")
-
-    judged = lines.join(status, ["high", "low"], "left")
-    gone = (F.col("n") > 0) & (F.coalesce("late", F.lit(False)) | (here > F.col("first")))
-    found = judged.groupBy("doc_id", "digest").agg(
-        (F.max("line") + 1).cast("long").alias("n_lines"),
-        F.sort_array(F.collect_set(F.when(gone, F.col("line")))).alias("removed"),
-        F.count(F.when(F.col("line") == 0, 1)).alias("copies"),
+    status = reps.select("rep", "high", "low", "first", "times").join(late.withColumn("late", F.lit(True)), "rep", "left")
+    status = stored(status.filter("times > 1 OR late").select("high", "low", "first", "late"), "line-status")
+
+    # only lines whose key may be there more than once, or late, look their key up
+    blocks = filter_blocks(status.count())
+    bloom = stored(bloom_filter(status.select(F.col("low").alias("cell")), blocks), "status-filter")
+    some = lines.filter("n > 0").select("doc_id", "digest", "line", "high", "low").withColumn("cell", F.col("low"))
+    judged = maybe_repeated(some, bloom, blocks).filter("maybe").join(status, ["high", "low"])
+    gone = judged.filter(F.coalesce("late", F.lit(False)) | (here > F.col("first")))
+    gone = gone.groupBy("doc_id", "digest").agg(F.sort_array(F.collect_set("line")).alias("removed"))
+    texts = lines.groupBy("doc_id", "digest").agg(
+        (F.max("line") + 1).cast("long").alias("n_lines"), F.count(F.when(F.col("line") == 0, 1)).alias("copies")
     )
+    gone = gone.select(F.col("doc_id").alias("id"), F.col("digest").alias("d"), "removed")
+    found = texts.join(gone, F.col("doc_id").eqNullSafe(F.col("id")) & (F.col("digest") == F.col("d")), "left")
     each = found.withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int"))))
-    return each.select("doc_id", "n_lines", F.size("removed").cast("long").alias("n_removed"), "removed", "digest")
+    removed = F.coalesce("removed", F.array().cast("array<int>"))
+    return each.select("doc_id", "n_lines", F.size(removed).cast("long").alias("n_removed"), removed.alias("removed"), "digest")
