@@ -1,9 +1,11 @@
 """Near-duplicate documents by ProbMinHash signatures, banding and verification.
 
-A document is the weighted set of its five-word shingles. Every shingle is a
-Poisson process whose arrivals hit random registers; a register keeps its first
-arrival. A shingle stops as soon as its next arrival is later than all registers.
-Two documents agree in a register with their probability Jaccard similarity.
+A document is the set of its five-word shingles, all of weight 1, however often they
+occur. Every shingle is a Poisson process whose arrivals hit random registers; a
+register keeps its first arrival. A shingle stops as soon as its next arrival is
+later than all registers. Two documents agree in a register with their probability
+Jaccard similarity, which for equal weights is the Jaccard similarity of the sets,
+the one that is verified.
 
 Texts of equal words are one representative from the start. Representatives that
 agree in a whole band are candidates. They are verified on their shingle sets
@@ -44,8 +46,8 @@ _KEY_BITS = 54
 _STEP = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD1342543DE82EF95))
 
 
-def shingle_sets(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(document, shingle hash, count) of the distinct shingles of each text, and two hashes of its word sequence.
+def shingle_sets(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(document, shingle hash) of the distinct shingles of each text, and two hashes of its word sequence.
 
     A text of fewer words than a shingle is one shingle; one without words has none.
     """
@@ -72,8 +74,8 @@ def shingle_sets(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray
         key[there] = key[there] * _STEP[0] + each[first[there] + k]
     key = mix(key) >> np.uint64(64 - _KEY_BITS)
     # one sort for both: at most 2 ** 10 documents at a time
-    both, counts = np.unique((doc.astype(np.uint64) << np.uint64(_KEY_BITS)) | key, return_counts=True)
-    return (both >> np.uint64(_KEY_BITS)).astype(np.int64), both & np.uint64((1 << _KEY_BITS) - 1), counts, whole
+    both = np.unique((doc.astype(np.uint64) << np.uint64(_KEY_BITS)) | key)
+    return (both >> np.uint64(_KEY_BITS)).astype(np.int64), both & np.uint64((1 << _KEY_BITS) - 1), whole
 
 
 def signatures(doc: np.ndarray, key: np.ndarray, weight: np.ndarray, documents: int, registers: int = REGISTERS) -> np.ndarray:
@@ -120,11 +122,11 @@ def signed(rows: DataFrame) -> DataFrame:
             texts = batch.column(1).to_pylist()
             for at, to in portions(texts):
                 size = to - at
-                doc, key, count, whole = shingle_sets(texts[at:to])
+                doc, key, whole = shingle_sets(texts[at:to])
                 n = np.bincount(doc, minlength=size)
                 large = n[doc] >= FEWEST
-                # a repeated shingle weighs a little more than one that occurs once
-                table = signatures(doc[large], key[large], 1 + np.log(count[large]), size)
+                # one weight for all: what is estimated is what is verified
+                table = signatures(doc[large], key[large], np.ones(large.sum()), size)
                 band = np.zeros((size, BANDS), np.uint64) + np.arange(1, BANDS + 1, dtype=np.uint64)
                 for k in range(BAND_ROWS):
                     band = mix(band * _STEP[0] + table[:, k::BAND_ROWS])
@@ -155,7 +157,7 @@ def _sets(rows: DataFrame) -> DataFrame:
         for batch in batches:
             texts = batch.column(1).to_pylist()
             for at, to in portions(texts):
-                doc, key, _, _ = shingle_sets(texts[at:to])
+                doc, key, _ = shingle_sets(texts[at:to])
                 ends = np.concatenate(([0], np.cumsum(np.bincount(doc, minlength=to - at)))).astype(np.int32)
                 lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(key.astype(np.int64)))
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, to - at), lists], ["rep", "shingles"])

@@ -47,6 +47,20 @@ def test_as_plain(spark):
     assert out.filter("kept").count() == out.select("class_id").distinct().count()
 
 
+def test_repeated_lines(spark):
+    """A text and the same with a line appended many times, or with some words repeated."""
+    rng = random.Random(3)
+    rows = []
+    for k in range(12):
+        base = [f"t{k}w{rng.randrange(10**6)}" for _ in range(104)]
+        line = [f"t{k}l{rng.randrange(10**6)}" for _ in range(16)]
+        rows += [(10 * k, " ".join(base)), (10 * k + 1, " ".join(base + 20 * line))]
+        rows += [(10 * k + 2, " ".join(line + base[:80])), (10 * k + 3, " ".join(30 * line + base[:80]))]
+    want = plain.near_classes(rows)
+    assert sum(n > 1 for *_, n in want) >= 24
+    assert as_rows(N.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"))) == sorted(want, key=str)
+
+
 def test_one_large_group(spark):
     rng = random.Random(1)
     base = [f"v{rng.randrange(900)}" for _ in range(120)]
