@@ -36,11 +36,9 @@ REGISTERS = BANDS * BAND_ROWS
 ROUNDS = ((0, 3), (3, 12), (12, 36))
 #: Sets smaller than this have no other set that similar.
 FEWEST = 4
-#: A sketch keeps four bits of each register, so unequal registers differ in two of them on average.
-SKETCH_BITS, SKETCH_LONGS = 4, 16
-#: Bits of two sketches that may differ. At similarity 0.8 they differ in 101, with a standard deviation of
-#: 14.5, so one pair in a thousand right at the threshold is passed over, and hardly any above it.
-MOST_BITS = 146
+#: A sketch has one bit per cell of shingle hashes: whether the cell holds an odd number of the set's shingles.
+#: Every bit in which two sketches differ stands for a shingle that only one of the sets has.
+SKETCH_LONGS = 16
 _KEY_BITS = 54
 
 _STEP = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD1342543DE82EF95))
@@ -130,10 +128,9 @@ def signed(rows: DataFrame) -> DataFrame:
                 band = np.zeros((size, BANDS), np.uint64) + np.arange(1, BANDS + 1, dtype=np.uint64)
                 for k in range(BAND_ROWS):
                     band = mix(band * _STEP[0] + table[:, k::BAND_ROWS])
-                few = (mix(table)[:, :, None] >> np.arange(SKETCH_BITS, dtype=np.uint64)) & np.uint64(1)
-                bits = np.packbits(few.astype(np.uint8).reshape(size, -1), axis=1)
-                sketch = np.zeros((size, 8 * SKETCH_LONGS), np.uint8)
-                sketch[:, : bits.shape[1]] = bits
+                cells = 64 * SKETCH_LONGS
+                odd = np.bincount(doc * cells + (key % np.uint64(cells)).astype(np.int64), minlength=size * cells) & 1
+                sketch = np.packbits(odd.astype(np.uint8).reshape(size, cells), axis=1)
                 some = n >= FEWEST
                 ends = lambda width: pa.array(np.concatenate(([0], np.cumsum(some * width))).astype(np.int32))
                 yield pa.RecordBatch.from_arrays(
@@ -169,14 +166,18 @@ def _sets(rows: DataFrame) -> DataFrame:
 
 
 def _alike(a: str, b: str) -> Column:
-    """Sizes and sketches that leave a similarity of 0.8 possible; both are structs of n and sketch."""
+    """Sizes and sketches that leave a similarity of 0.8 possible; both are structs of n and sketch.
+
+    No similar pair is lost: sets of n and m shingles with a Jaccard similarity s differ in
+    (n + m) * (1 - s) / (1 + s) shingles, and their sketches in at most as many bits.
+    """
     n, m = F.col(f"{a}.n"), F.col(f"{b}.n")
     sized = F.least(n, m) >= F.greatest(n, m) * F.lit(SIMILARITY)
     differ = F.lit(0)
     for k in range(SKETCH_LONGS):
         part = F.get(F.col(f"{a}.sketch"), F.lit(k)).bitwiseXOR(F.get(F.col(f"{b}.sketch"), F.lit(k)))
         differ = differ + F.bit_count(part)
-    return sized & (differ <= MOST_BITS)
+    return sized & (differ * (1 + SIMILARITY) <= (n + m) * (1 - SIMILARITY) + 1e-6)
 
 
 def _first_shared(a: str, b: str) -> Column:

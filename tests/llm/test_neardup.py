@@ -61,6 +61,23 @@ def test_repeated_lines(spark):
     assert as_rows(N.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"))) == sorted(want, key=str)
 
 
+def test_sketch_loses_no_similar_pair(spark):
+    """Sets right at the threshold, of 4 against 5 shingles and more, pass the test before verification."""
+    rng = random.Random(5)
+    texts = []
+    for size in (4, 8, 12, 40, 200, 2000):
+        for _ in range(600 if size < 40 else 40):
+            base = [f"w{rng.randrange(10**9)}" for _ in range(size + 4)]
+            texts += [" ".join(base), " ".join(base + [f"w{rng.randrange(10**9)}" for _ in range(size // 4)])]
+    rows = spark.createDataFrame([(k, t.encode()) for k, t in enumerate(texts)], "id long, text binary")
+    facts = N.signed(rows).selectExpr("id", "struct(n, sketch, bands) AS facts").localCheckpoint()
+    ours = facts.filter("id % 2 = 0").selectExpr("id", "facts AS ours")
+    both = ours.join(facts.selectExpr("id - 1 AS id", "facts AS theirs"), "id")
+    assert both.count() == len(texts) // 2
+    assert both.filter("abs(ours.n / theirs.n - 0.8) > 1e-9").count() == 0
+    assert both.filter(~N._alike("ours", "theirs")).count() == 0
+
+
 def test_one_large_group(spark):
     rng = random.Random(1)
     base = [f"v{rng.randrange(900)}" for _ in range(120)]
