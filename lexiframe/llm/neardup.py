@@ -7,7 +7,7 @@ later than all registers. Two documents agree in a register with their probabili
 Jaccard similarity, which for equal weights is the Jaccard similarity of the sets,
 the one that is verified.
 
-Texts of equal words are one representative from the start. Representatives that
+Texts of equal shingle sets are one representative from the start. Representatives that
 agree in a whole band are candidates. They are verified on their shingle sets
 against few hubs per band bucket, linked ones form classes, and what is in
 different classes but in the same bucket is verified until nothing is left. A
@@ -34,7 +34,7 @@ BANDS, BAND_ROWS = 36, 7
 REGISTERS = BANDS * BAND_ROWS
 #: Bands whose hubs are verified in each of the first rounds.
 ROUNDS = ((0, 3), (3, 12), (12, 36))
-#: Sets smaller than this have no other set that similar.
+#: Sets smaller than this have no other set that similar than an equal one, and equal sets are one from the start.
 FEWEST = 4
 #: A sketch has one bit per cell of shingle hashes: whether the cell holds an odd number of the set's shingles.
 #: Every bit in which two sketches differ stands for a shingle that only one of the sets has.
@@ -45,7 +45,7 @@ _STEP = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD1342543DE82EF95))
 
 
 def shingle_sets(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(document, shingle hash) of the distinct shingles of each text, and two hashes of its word sequence.
+    """(document, shingle hash) of the distinct shingles of each text, and two hashes of its whole set.
 
     A text of fewer words than a shingle is one shingle; one without words has none.
     """
@@ -54,13 +54,6 @@ def shingle_sets(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray
     owner = np.searchsorted(ends, begins, "right")
     lengths = np.bincount(owner, minlength=len(texts))
     starts = np.cumsum(lengths) - lengths
-    place = (np.arange(len(each)) - starts[owner]).astype(np.uint64)
-
-    whole = np.zeros((len(texts), 2), np.uint64)
-    for k in range(2):
-        placed = mix(each + (place + np.uint64(1)) * _STEP[k])
-        some = lengths > 0
-        whole[some, k] = np.add.reduceat(placed, starts[some]) if some.any() else 0
 
     n = np.where(lengths >= SHINGLE, lengths - SHINGLE + 1, np.minimum(lengths, 1))
     doc = np.repeat(np.arange(len(texts)), n)
@@ -73,7 +66,13 @@ def shingle_sets(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray
     key = mix(key) >> np.uint64(64 - _KEY_BITS)
     # one sort for both: at most 2 ** 10 documents at a time
     both = np.unique((doc.astype(np.uint64) << np.uint64(_KEY_BITS)) | key)
-    return (both >> np.uint64(_KEY_BITS)).astype(np.int64), both & np.uint64((1 << _KEY_BITS) - 1), whole
+    doc, key = (both >> np.uint64(_KEY_BITS)).astype(np.int64), both & np.uint64((1 << _KEY_BITS) - 1)
+
+    whole = np.zeros((len(texts), 2), np.uint64)
+    begins = np.flatnonzero(np.diff(doc, prepend=-1))
+    for k in range(2):
+        whole[doc[begins], k] = np.add.reduceat(mix(key + _STEP[k]), begins) if len(begins) else 0
+    return doc, key, whole
 
 
 def signatures(doc: np.ndarray, key: np.ndarray, weight: np.ndarray, documents: int, registers: int = REGISTERS) -> np.ndarray:
@@ -284,7 +283,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     Texts are near copies when their sets of five-word shingles (lower-cased A-Z,
     split at ASCII blanks) have a Jaccard similarity of 0.8 or more; classes are
-    the connected texts. Texts of equal words are always of one class, so are all
+    the connected texts. Texts of equal shingle sets are always of one class, so are all
     texts without words, null ones among them. A class is named by its smallest id
     and keeps the row of that id, a null id counting as largest; of rows that also
     share the id exactly one is kept. Only the two named columns are read. An empty

@@ -78,6 +78,15 @@ def test_sketch_loses_no_similar_pair(spark):
     assert both.filter(~N._alike("ours", "theirs")).count() == 0
 
 
+def test_equal_sets_of_few_shingles(spark):
+    """Phrases of one to six words, repeated a different number of times."""
+    phrases = ("word", "buy now", "one two three", "a b c d", "v w x y z", "p q r s t u")
+    rows = list(enumerate(" ".join([phrase] * n) for phrase in phrases for n in (1, 2, 5, 50, 60, 300)))
+    got = as_rows(N.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")))
+    assert got == sorted(plain.near_classes(rows), key=str)
+    assert (1, 1, 1) in got and (2, 2, 4) in got
+
+
 def test_one_large_group(spark):
     rng = random.Random(1)
     base = [f"v{rng.randrange(900)}" for _ in range(120)]
