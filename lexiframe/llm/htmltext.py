@@ -61,7 +61,8 @@ _HOLDS = {"li": {"ul", "ol"}, "dt": {"dl"}, "dd": {"dl"}, "tr": {"table"}, "td":
 @dataclass
 class Page:
     texts: list[str] = field(default_factory=list)
-    paths: list[tuple[int, ...]] = field(default_factory=list)
+    nodes: list[tuple[int, int, tuple[int, ...]]] = field(default_factory=list)  # elements: the one around, depth, hashed names
+    places: list[int] = field(default_factory=list)  # innermost open element of each block
     linked: list[float] = field(default_factory=list)
     labels: list[int] = field(default_factory=list)
 
@@ -76,7 +77,7 @@ def blocks(source: str) -> Page:
     References are decoded, white space becomes one space, blocks without text are
     left out. Tags that were never closed end with their surroundings.
     """
-    page, stack = Page(), [("#", (), -1)]  # (tag, hashed names, label)
+    page, stack = Page(nodes=[(-1, 0, ())]), [("#", 0, -1)]  # (tag, element, label)
     parts: list[str] = []
     linked, links = 0, 0
 
@@ -85,9 +86,8 @@ def blocks(source: str) -> Page:
         if parts:
             text = " ".join(html.unescape("".join(parts)).split())
             if text:
-                path = tuple(x for entry in stack[-8:] for x in entry[1])
                 page.texts.append(text)
-                page.paths.append(path)
+                page.places.append(stack[-1][1])
                 page.linked.append(min(1.0, linked / len(text)))
                 page.labels.append(stack[-1][2])
             parts.clear()
@@ -155,7 +155,8 @@ def blocks(source: str) -> Page:
                     names += [_hash(x.lower(), TAGS) for x in _PIECES.findall(value)]
         if tag == "a":
             links = 1
-        stack.append((tag, tuple(names), label))
+        page.nodes.append((stack[-1][1], len(stack), tuple(names)))
+        stack.append((tag, len(page.nodes) - 1, label))
     flush()
     return page
 
@@ -194,8 +195,20 @@ class Model:
         return [self.tags, self.words, *self.gates, self.out]
 
 
+def _tree(pages: list[Page]) -> tuple[list[np.ndarray], np.ndarray, np.ndarray]:
+    """Elements of all pages by depth, outermost ones left out; the element around each; the innermost one of each block."""
+    begins = np.cumsum([0, *(len(page.nodes) for page in pages)])
+    around = np.array([k + at for page, at in zip(pages, begins) for k, _, _ in page.nodes])
+    depth = np.array([d for page in pages for _, d, _ in page.nodes])
+    order = np.argsort(depth, kind="stable")
+    levels = np.split(order, np.flatnonzero(np.diff(depth[order])) + 1)[1:]
+    return levels, around, np.array([k + at for page, at in zip(pages, begins) for k in page.places])
+
+
 def _inputs(model: Model, pages: list[Page]):
-    tags = _bags([p for page in pages for p in page.paths])
+    """Inputs of all blocks. The path of a block is the sum over all elements that are open around it."""
+    tags = _bags([names for page in pages for _, _, names in page.nodes])
+    tree = levels, around, places = _tree(pages)
     words = _bags([[_hash(w.lower(), WORDS) for w in _WORDS.findall(t)] for page in pages for t in page.texts])
     columns = []
     for table, (flat, owner, weight) in ((model.tags, tags), (model.words, words)):
@@ -203,9 +216,14 @@ def _inputs(model: Model, pages: list[Page]):
         if len(flat):
             begins = np.flatnonzero(np.diff(owner, prepend=-1))
             summed[owner[begins]] = np.add.reduceat(table[flat], begins, axis=0)
-        columns.append(summed * (1 if table is model.tags else weight[:, None]))
+        if table is model.tags:
+            for level in levels:
+                summed[level] += summed[around[level]]
+            columns.append(summed[places])
+        else:
+            columns.append(summed * weight[:, None])
     measures = np.concatenate([_measures(page) for page in pages])
-    return np.concatenate([*columns, measures], axis=1), tags, words
+    return np.concatenate([*columns, measures], axis=1), tags, words, tree
 
 
 def _padded(rows: np.ndarray, lengths: list[int], back: bool) -> np.ndarray:
@@ -282,7 +300,7 @@ def label_blocks(model: Model, pages: list[Page]) -> list[np.ndarray]:
     for at in range(0, len(order), STRIDE):
         group = order[at : at + STRIDE]
         lengths = [len(pages[k].texts) for k in group]
-        rows, _, _ = _inputs(model, [pages[k] for k in group])
+        rows, *_ = _inputs(model, [pages[k] for k in group])
         states = np.concatenate(
             [_flat(_read(g, _padded(rows, lengths, back))[0], lengths, back) for g, back in zip(model.gates, (False, True))], axis=1
         )
@@ -328,6 +346,10 @@ _ASIDES = (  # other parts of a page: marks, how many pieces, of which kind
 )
 
 
+#: Marks around parts of a page that say nothing about them.
+_WRAPS = ("<div>", "<div>", "<div>", "<section>", "<span>", "<b>", '<div class="row">', '<div class="col">')
+
+
 def _closing(opening: str) -> str:
     return "".join(f"</{t}>" for t in reversed(re.findall(r"<([a-z0-9]+)", opening)))
 
@@ -338,6 +360,9 @@ def invented(rng: np.random.Generator, texts: list[str]) -> str:
     short = lambda: " ".join(pick().split()[: rng.integers(1, 8)])
     wild = "".join(chr(97 + x) for x in rng.integers(0, 26, 5))
 
+    def wraps(most):
+        return "".join(_WRAPS[k] for k in rng.integers(0, len(_WRAPS), rng.integers(1, most + 1))) if rng.random() < 0.4 else ""
+
     def other():
         opening, kind, most = _ASIDES[rng.integers(len(_ASIDES))]
         close = _closing(opening)
@@ -347,7 +372,8 @@ def invented(rng: np.random.Generator, texts: list[str]) -> str:
             "s": lambda: short() + " " + short(), "p": lambda: f"<p>{html.escape(pick()[:300])}</p>",
             "f": lambda: f"<label>{short()}</label><input><button>{short()}</button>",
         }[kind]
-        return opening + "".join(made() for _ in range(rng.integers(1, most + 2))) + close
+        inside = wraps(12)
+        return opening + inside + "".join(made() for _ in range(rng.integers(1, most + 2))) + _closing(inside) + close
 
     def main():
         out = [f"<h1>{short()}</h1>"] if rng.random() < 0.7 else []
@@ -374,7 +400,9 @@ def invented(rng: np.random.Generator, texts: list[str]) -> str:
     opening = re.sub(r"<(\w+)", r'<\1 data-y="1"', shell, count=1)
     before = "".join(other() for _ in range(rng.integers(0, 4)))
     after = "".join(other() for _ in range(rng.integers(0, 4)))
-    return f'<html><head><title>{short()}</title></head><body data-y="0">{before}{opening}{main()}{_closing(shell)}{after}</body></html>'
+    around, inside = wraps(8), wraps(12)
+    body = f"{around}{before}{opening}{inside}{main()}{_closing(inside)}{_closing(shell)}{after}{_closing(around)}"
+    return f'<html><head><title>{short()}</title></head><body data-y="0">{body}</body></html>'
 
 
 def train(pages: list[str], seed: int = 5) -> Model:
@@ -401,7 +429,7 @@ def train(pages: list[str], seed: int = 5) -> Model:
         for at in range(0, len(order), BATCH):
             group = [examples[k] for k in order[at : at + BATCH]]
             lengths = [len(p.texts) for p in group]
-            rows, tags, words = _inputs(model, group)
+            rows, tags, words, (levels, around, places) = _inputs(model, group)
             rows[:, WIDTH : 2 * WIDTH] *= rng.random((len(rows), 1)) < 0.5  # do not lean on words
             rows[:, :WIDTH] *= rng.random((len(rows), 1)) < 0.9
             padded = [_padded(rows, lengths, back) for back in (False, True)]
@@ -418,11 +446,16 @@ def train(pages: list[str], seed: int = 5) -> Model:
                 grad_gates.append(gg)
                 grad_rows += _flat(gx, lengths, back)
             grad_rows *= rows != 0
+            elements = np.zeros((len(around), WIDTH), np.float32)
+            np.add.at(elements, places, grad_rows[:, :WIDTH])
+            for level in reversed(levels):
+                np.add.at(elements, around[level], elements[level])
             tables = []
-            for table, (names, owner, weight), a in ((model.tags, tags, 0), (model.words, words, WIDTH)):
+            for table, (names, owner, _), rise in (
+                (model.tags, tags, elements), (model.words, words, grad_rows[:, WIDTH : 2 * WIDTH] * words[2][:, None])
+            ):
                 grad = np.zeros_like(table)
-                scale = 1 if table is model.tags else weight[:, None]
-                np.add.at(grad, names, (grad_rows[:, a : a + WIDTH] * scale)[owner])
+                np.add.at(grad, names, rise[owner])
                 tables.append(grad)
             step += 1
             rate = RATE * (0.3 if epoch >= EPOCHS - 2 else 1)

@@ -62,6 +62,23 @@ def test_context_and_layouts(model):
     assert ((np.concatenate(H.label_blocks(model, pages)) >= 0.5) == (labels == 1)).mean() > 0.97
 
 
+def test_container_of_deep_blocks(model):
+    """What a block is shows only in the outermost elements, however deep it lies."""
+    prose = "Some words of prose, with a comma and an end. Another sentence follows it here."
+    for depth in (0, 9, 12, 16):
+        wrapped = lambda mark, y: f"<{mark} data-y={y}>{'<div>' * depth}" + f"<p>{prose}</p>" * 3 + f"{'</div>' * depth}</{mark}>"
+        for order in ((("aside", 0), ("article", 1), ("footer", 0)), (("nav", 0), ("main", 1)), (("article", 1), ("aside", 0))):
+            page = H.blocks("<html><body>" + "".join(wrapped(*x) for x in order) + "</body></html>")
+            assert ((H.label_blocks(model, [page])[0] >= 0.5) == np.array(page.labels)).all(), (depth, order)
+
+
+def test_many_unclosed_elements(model):
+    """A page whose elements are never closed takes no more than its own size."""
+    page = H.blocks("<article>" + "<div>word" * 3_000)
+    assert len(page.nodes) == 3_002 and page.places == list(range(2, 3_002))
+    assert len(H.label_blocks(model, [page])[0]) == 3_000
+
+
 def test_gradients():
     """The way back of the recurrent layer against differences."""
     rng = np.random.default_rng(0)
