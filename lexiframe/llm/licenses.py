@@ -11,6 +11,7 @@ from __future__ import annotations
 import re
 from collections.abc import Mapping
 from functools import reduce
+from string import ascii_lowercase, ascii_uppercase
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -20,6 +21,7 @@ from lexiframe.llm.licensetexts import known_texts
 
 #: Lines that name who holds a copyright and since when say nothing about the licence.
 COPYRIGHT_LINE = r"^[^a-z0-9\n]*(?:copyright\s*(?:\(c\)|©|&copy;|[0-9]{4}|by )|\(c\) ?[0-9]{4}|© ?[0-9a-z]|all rights reserved)[^\n]*"
+_LOWER = str.maketrans(ascii_uppercase, ascii_lowercase)
 MARKS = r"[^\p{L}\p{N}]+"
 #: Spellings that count as the same, applied to lower-case words between single spaces, in this order.
 SPELLINGS = (
@@ -51,11 +53,12 @@ def digest(text: Column) -> Column:
 
 
 def _stable(word: str) -> str | None:
-    """What every spelling of a canonical word holds, or nothing if that is not known."""
-    if "licens" in word:
+    """What every spelling of a word holds, or nothing if that is not known: no rule may change or produce the word."""
+    if "licens" in word or "licenc" in word:
         return "licen"
-    touched = ("ment", "or", "iz", "sub", "non", "while", "percent", "copyright", "holder", "http", "version")
-    return None if len(word) < 6 or any(t in word for t in touched) else word
+    touched = ("ment", "or", "iz", "sub", "non", "while", "percent", "copyright", "holder", "owner", "http", "version")
+    changed = any(re.search(pattern, word) for pattern, _ in SPELLINGS)
+    return None if len(word) < 6 or changed or any(t in word for t in touched) else word
 
 
 def anchors(texts: Mapping[str, list[str]]) -> list[str]:
@@ -63,7 +66,9 @@ def anchors(texts: Mapping[str, list[str]]) -> list[str]:
 
     A text without any of them is no known text and needs no canonical form.
     """
-    marks = [{a for w in re.findall(r"[^\W_]+", t.lower()) if (a := _stable(w))} for each in texts.values() for t in each]
+    low = (t.translate(_LOWER) for each in texts.values() for t in each)
+    bare = (re.sub(COPYRIGHT_LINE, "", t, flags=re.M | re.A) for t in low)
+    marks = [{a for w in re.findall(r"[^\W_]+", t) if (a := _stable(w))} for t in bare]
     if not all(marks):
         return [""]  # some text has no such word: every text is a candidate
     chosen, left = [], marks

@@ -36,3 +36,16 @@ def test_anchors_cover_all_known_texts(spark):
     assert len(marks) < 10 and "" not in marks
     assert all(any(m in t.lower() for m in marks) for each in X.known_texts().values() for t in each)
     assert L.anchors({"x": ["a b c"]}) == [""]
+
+
+def test_own_texts_in_other_spellings(spark):
+    pairs = [
+        ("one licence", "one license"), ("a favour", "a favor"), ("go whilst on", "go while on"), ("to utilise", "to utilize"),
+        ("copyright owners", "copyright holders"), ("as is, ÜBUNGEN", "AS IS ÜBUNGEN"), ("Copyright 2020 Someone\nuse it", "use it"),
+    ]
+    for known, text in pairs:
+        assert any(m in text.translate(L._LOWER) for m in L.anchors({"mine": [known]})), known
+    docs = spark.createDataFrame([(k, t) for k, (_, t) in enumerate(pairs)], "doc_id long, text string")
+    for k in (0, 1, 4):
+        found = L.scan(docs, texts={"mine": [pairs[k][0]]}).collect()
+        assert [r.doc_id for r in found if r.licence] == [k]
