@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 import corpus_pipeline
-from lexiframe.llm import classlm, decontaminate, exactdedup, htmltext, licenses, linededup, mixing, neardup, quality, sharding
+from lexiframe.llm import classlm, decontaminate, exactdedup, fillmiddle, htmltext, licenses, linededup, mixing, neardup, quality
+from lexiframe.llm import pieces, resample, sharding
 from lexiframe.session import apply_settings, scratch_path
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -168,4 +169,71 @@ def _(spark, sf):
     return classlm.score_texts(table(spark, sf, "documents"))
 
 
+def resample_sql() -> str:
+    """The same weights and ranks; the crc32 of each distinct word is folded byte by byte."""
+    bits = "4294967295"
+    step = "CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END"
+    sizes = f"{resample.BUCKETS}"
+    ratio = f"((t + 1.0::DOUBLE) * (all_s + {sizes}.0::DOUBLE)) / ((s + 1.0::DOUBLE) * (all_t + {sizes}.0::DOUBLE))"
+    hash_of = f"('0x' || substr(sha256('{resample.SEED}:' || coalesce(doc_id::VARCHAR, '')), 1, 8))::BIGINT"
+    return f"""WITH RECURSIVE fold(i, k, c) AS (
+      SELECT i, 0, i FROM (SELECT unnest(range(256))::BIGINT AS i) UNION ALL SELECT i, k + 1, {step} FROM fold WHERE k < 8),
+    crc AS (SELECT list(c ORDER BY i) AS cells FROM fold WHERE k = 8),
+    d AS (SELECT doc_id, regexp_extract_all({LOWERED}, '{WORD}') AS w FROM documents),
+    b AS (SELECT regexp_extract_all({LOWERED}, '{WORD}') AS w FROM benchmark),
+    dw AS (SELECT doc_id, unnest(w) AS word FROM d),
+    bw AS (SELECT unnest(w) AS word FROM b),
+    distinct_words AS (SELECT word, hex(encode(word)) AS x FROM (SELECT word FROM dw UNION SELECT word FROM bw)),
+    hashed AS (SELECT word, xor(list_reduce(
+        list_prepend({bits}::BIGINT, list_transform(range(length(x) // 2), lambda i: ('0x' || substr(x, 2 * i + 1, 2))::BIGINT)),
+        lambda c, y: xor(c >> 8, cells[(xor(c, y) & 255) + 1])), {bits}::BIGINT) % {sizes} AS bucket FROM distinct_words, crc),
+    ns AS (SELECT bucket, count(*) AS s FROM dw JOIN hashed USING (word) GROUP BY 1),
+    nt AS (SELECT bucket, count(*) AS t FROM bw JOIN hashed USING (word) GROUP BY 1),
+    g AS (SELECT bucket, floor(1000 * ln({ratio}))::BIGINT AS gain FROM (
+      SELECT bucket, coalesce(s, 0)::DOUBLE AS s, coalesce(t, 0)::DOUBLE AS t, (SELECT coalesce(sum(s), 0) FROM ns)::DOUBLE AS all_s,
+        (SELECT coalesce(sum(t), 0) FROM nt)::DOUBLE AS all_t FROM ns FULL JOIN nt USING (bucket))),
+    w AS (SELECT doc_id, count(*) AS n_features, floor(sum(gain) / count(*))::BIGINT AS weight
+      FROM dw JOIN hashed USING (word) JOIN g USING (bucket) GROUP BY 1),
+    z AS (SELECT doc_id, coalesce(n_features, 0)::BIGINT AS n_features, coalesce(weight, 0)::BIGINT AS weight,
+      coalesce(weight, 0)::BIGINT + floor(-1000 * ln(-ln(({hash_of} + 0.5::DOUBLE) / 4294967296.0::DOUBLE)))::BIGINT AS score
+      FROM d LEFT JOIN w USING (doc_id)),
+    r AS (SELECT *, row_number() OVER (PARTITION BY n_features >= {resample.FEWEST_WORDS} ORDER BY score DESC, doc_id NULLS LAST) AS place,
+      count(*) FILTER (n_features >= {resample.FEWEST_WORDS}) OVER () * {resample.SHARE} // 100 AS need FROM z)
+    SELECT doc_id, n_features, weight, score,
+      CASE WHEN n_features >= {resample.FEWEST_WORDS} AND place <= need THEN place END AS rank FROM r"""
+
+
+@query("op11_importance_resampling", resample_sql())
+def _(spark, sf):
+    return resample.resample(table(spark, sf, "documents"), table(spark, sf, "benchmark"))
+
+
+@query("op12_sentence_pieces")
+def _(spark, sf):
+    return pieces.piece_digests(table(spark, sf, "documents"), pieces.public_model())
+
+
+def fill_middle_sql() -> str:
+    """The same cuts by lists of tokens."""
+    p, s, m = fillmiddle.PREFIX, fillmiddle.SUFFIX, fillmiddle.MIDDLE
+    number = lambda k: f"('0x' || substr(x, {1 + 8 * k}, 8))::BIGINT"
+    plain = f"n = 0 OR contains(t, '{p}') OR contains(t, '{s}') OR contains(t, '{m}')"
+    return f"""WITH d AS (SELECT doc_id, coalesce(text, '') AS t, sha256('{fillmiddle.SEED}:' || coalesce(doc_id::VARCHAR, '')) AS x,
+      regexp_extract_all(coalesce(text, ''), '[A-Za-z]+|[^A-Za-z]') AS w, len(w)::BIGINT AS n FROM documents),
+    c AS (SELECT *, least({number(0)} % (n + 1), {number(1)} % (n + 1)) AS a, greatest({number(0)} % (n + 1), {number(1)} % (n + 1)) AS b,
+      CASE WHEN {plain} OR {number(2)} % 100 >= {100 - fillmiddle.PLAIN_SHARE} THEN 'plain'
+        WHEN {number(3)} % 100 < {fillmiddle.SUFFIX_FIRST_SHARE} THEN 'spm' ELSE 'psm' END AS form FROM d),
+    e AS (SELECT doc_id, n, form, t, array_to_string(w[1:a], '') AS pre, array_to_string(w[a + 1:b], '') AS mid,
+      array_to_string(w[b + 1:n], '') AS post FROM c)
+    SELECT doc_id, n, form, CASE WHEN form <> 'plain' THEN length(pre) END AS prefix_chars,
+      CASE WHEN form <> 'plain' THEN length(mid) END AS middle_chars,
+      sha256(CASE form WHEN 'plain' THEN t WHEN 'psm' THEN '{p}' || pre || '{s}' || post || '{m}' || mid
+        ELSE '{s}' || post || '{p}' || pre || '{m}' || mid END) AS output_sha256, sha256(t) AS restored_sha256 FROM e"""
+
+
+@query("op13_fill_in_middle", fill_middle_sql())
+def _(spark, sf):
+    return fillmiddle.fill_in_middle(table(spark, sf, "documents"))
+
+
 query("pipeline", corpus_pipeline.ORACLE_SQL)(corpus_pipeline.run)
