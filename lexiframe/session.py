@@ -16,6 +16,7 @@ SETTINGS = {
     "spark.sql.adaptive.skewJoin.enabled": "true",
     # documents can be long: small batches bound memory and overlap with Python
     "spark.sql.execution.arrow.maxRecordsPerBatch": "512",
+    "spark.sql.execution.arrow.maxBytesPerBatch": "4m",
     # lets decode() accept windows-1252
     "spark.sql.legacy.javaCharsets": "true",
 }
