@@ -23,15 +23,19 @@ def lower_az(text: Column) -> Column:
     return F.when(plain, F.lower(text)).otherwise(F.translate(text, ascii_uppercase, ascii_lowercase))
 
 
-def stored(df: DataFrame, name: str) -> DataFrame:
+def stored(df: DataFrame, name: str, group_rows: int | None = None) -> DataFrame:
     """Write a table to the shared scratch folder and read it back.
 
     Later steps read the files: lineage is short, nothing is computed twice, and
-    a lost executor costs only the tasks that were running on it.
+    a lost executor costs only the tasks that were running on it. Readers hold a
+    whole row group where its rows are few and large; ``group_rows`` bounds them.
     """
     spark = df.sparkSession
     path = scratch_path(spark, name)
-    df.write.parquet(path)
+    writer = df.write
+    if group_rows:
+        writer = writer.option("parquet.block.row.count.limit", group_rows)
+    writer.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 

@@ -29,6 +29,8 @@ WINDOW = 13
 RATIO = 20
 #: Tokens after which a block of the index is closed. A document is never split.
 BLOCK_TOKENS = 250_000
+#: Index rows of a row group, which a reader holds at once.
+GROUP_ROWS = 2
 #: Bytes of test texts that one broadcast holds about; more texts are searched in several rounds.
 ROUND_BYTES = 1_000_000
 #: Candidate starts that are looked at together.
@@ -104,7 +106,7 @@ def build_index(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
     texts = docs.select(docs[id_col].alias("id"), docs[text_col].cast("binary").alias("text"))
     blocks = texts.mapInArrow(build, schema).withColumn("block", F.monotonically_increasing_id())
-    return stored(blocks, "positional-index")
+    return stored(blocks, "positional-index", GROUP_ROWS)
 
 
 # -- search ----------------------------------------------------------------
