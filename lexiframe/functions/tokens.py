@@ -180,6 +180,37 @@ def annotate_tokens(tokens: Column) -> Column:
     )
 
 
+def link_label(t: Column, head: Column) -> Column:
+    """Label of a token's link by its class and on which side of its head it stands."""
+    noun = t["pos"].isin("NOUN", "PRON", "X")
+    return (
+        F.when(t["tok_id"] == head, "ROOT")
+        .when(t["lower"].isin(list(lexicons.NEGATION_CUES)), "neg")
+        .when(t["pos"].isin("PUNCT", "SYM"), "punct")
+        .when(noun & (t["tok_id"] < head), "nsubj")
+        .when(noun, "dobj")
+        .when(t["pos"] == "ADJ", "amod")
+        .when(t["pos"] == "DET", "det")
+        .when(t["pos"] == "ADP", "prep")
+        .when(t["pos"] == "ADV", "advmod")
+        .otherwise("dep")
+    )
+
+
+def with_links(tokens: Column, heads: Column) -> Column:
+    """Add ``dep`` and ``head_tok_id`` from an array of each token's head."""
+
+    def linked(toks: Column, h: Column) -> Column:
+        return extended(
+            toks,
+            **{name: toks[name] for name in ("pos", "lemma", "morph")},
+            dep=F.zip_with(toks, h, link_label),
+            head_tok_id=h,
+        )
+
+    return let(tokens, lambda toks: let(heads, lambda h: linked(toks, h)))
+
+
 def attach_heads(tokens: Column) -> Column:
     """Add ``dep`` and ``head_tok_id`` by position, for texts that come without a parse.
 
@@ -193,34 +224,11 @@ def attach_heads(tokens: Column) -> Column:
         first = F.coalesce(F.get(verbs, F.lit(0)), F.get(words, F.lit(0)), F.get(toks, F.lit(0)))
         return first["tok_id"]
 
-    def label(t: Column, head: Column) -> Column:
-        noun = t["pos"].isin("NOUN", "PRON", "X")
-        return (
-            F.when(t["tok_id"] == head, "ROOT")
-            .when(t["lower"].isin(list(lexicons.NEGATION_CUES)), "neg")
-            .when(t["pos"].isin("PUNCT", "SYM"), "punct")
-            .when(noun & (t["tok_id"] < head), "nsubj")
-            .when(noun, "dobj")
-            .when(t["pos"] == "ADJ", "amod")
-            .when(t["pos"] == "DET", "det")
-            .when(t["pos"] == "ADP", "prep")
-            .when(t["pos"] == "ADV", "advmod")
-            .otherwise("dep")
-        )
-
     def parsed(toks: Column) -> Column:
         heads = F.flatten(
             F.transform(by_sentence(toks), lambda part: F.array_repeat(root(part), F.size(part)))
         )
-        return let(
-            heads,
-            lambda h: extended(
-                toks,
-                **{name: toks[name] for name in ("pos", "lemma", "morph")},
-                dep=F.zip_with(toks, h, label),
-                head_tok_id=h,
-            ),
-        )
+        return with_links(toks, heads)
 
     return let(tokens, parsed)
 

@@ -3,6 +3,6 @@
 
 def all_queries():
     """``(queries, checks)`` by name."""
-    from lexiframe.plans import grids, ledgers, registry, streams, text  # noqa: F401
+    from lexiframe.plans import grids, ledgers, models, registry, streams, text  # noqa: F401
 
     return registry.QUERIES, registry.CHECKS

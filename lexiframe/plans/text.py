@@ -397,8 +397,9 @@ def _(spark, sf):
 @query(
     "negations",
     f"""WITH {S.parsed()}
-    SELECT a.doc_id, a.text || ' -> ' || h.text AS pair FROM dep a JOIN dep h
-      ON a.doc_id = h.doc_id AND a.head_tok_id = h.tok_id WHERE a.dep = 'neg'""",
+    SELECT doc_id, text || ' -> ' || head AS pair FROM (
+      SELECT doc_id, text, dep, max(CASE WHEN tok_id = head_tok_id THEN text END) OVER (PARTITION BY doc_id, sent_id) AS head
+      FROM dep) WHERE dep = 'neg'""",
 )
 def _(spark, sf):
     docs = tokened(spark, sf, heads=True)
