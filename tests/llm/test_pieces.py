@@ -55,7 +55,7 @@ def test_words_that_need_pieces_taken_back(model, library):
             greedy.append(at)
             at += max(len(p) for p in model.pieces if p and (P.BLANK + word).startswith(p, at))
         failed.append(greedy != places.tolist())
-    assert 5 < sum(failed) < 55
+    assert sum(failed) > 5
     same(model, library, words)
 
 
