@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lexiframe.functions import cells as C
@@ -11,7 +11,7 @@ from lexiframe.operators import grid as G
 from lexiframe.plans import sqltext as S
 from lexiframe.plans.registry import query, table
 from lexiframe.session import scratch_path
-from lexiframe.sources import scans, sinks
+from lexiframe.sources import ranges, scans, sinks
 
 # Customers as sheets of fifty: title, header, rows, a footer and one row after it.
 # Every fifth sheet has no header, every fifth another has it split over two rows,
@@ -439,18 +439,26 @@ def _(spark, sf):
 
 
 def _encoded_files(spark, sf) -> str:
-    """The documents as files in three encodings, one folder each, one file per task."""
+    """The documents as files in three encodings, one folder each, as many files as the table has parts."""
     path = scratch_path(spark, "encodings")
     rows = table(spark, sf, "documents").select(
         F.col("doc_id").cast("string").alias("Id"), F.concat(F.lit("é "), "text").alias("Text"), F.col("source").alias("Source")
     )
     for name, charset in scans.CHARSETS.items():
         tail = "\x81" if name == "latin1" else ""
-        out = rows.withColumn("Text", F.concat("Text", F.lit(tail))).coalesce(1)
+        out = rows.withColumn("Text", F.concat("Text", F.lit(tail)))
         out.write.options(header=True, quoteAll=True, escape='"', encoding=charset).csv(f"{path}/{name}")
     return path
 
 
+#: Orders that a catalog file holds, so that none outgrows the catalog's limit.
+ORDERS_A_FILE = 250_000
+
+
+def folder() -> Column:
+    return F.element_at(F.split("path", "/"), -2)
+
+
 ENCODED = """stored AS (SELECT unnest(['utf-8', 'cp1252', 'latin1']) AS stored),
   bytes AS (SELECT stored, bool_or(stored <> 'utf-8' AND text <> '') AS broken, bool_or(stored = 'latin1') AS gaps
     FROM documents, stored GROUP BY 1),
@@ -459,10 +467,8 @@ ENCODED = """stored AS (SELECT unnest(['utf-8', 'cp1252', 'latin1']) AS stored),
 
 @query("detect_encoding", f"WITH {ENCODED} SELECT stored, encoding FROM found")
 def _(spark, sf):
-    files = scans.binary_files(spark, _encoded_files(spark, sf))
-    found = scans.detect_encoding(files.filter(F.col("path").endswith(".csv")))
-    stored = F.element_at(F.split("path", "/"), -2)
-    return found.select(stored.alias("stored"), "encoding")
+    lines = ranges.lines(spark, f"{_encoded_files(spark, sf)}/*/*.csv")
+    return ranges.encodings(lines, folder()).select(F.col("key").alias("stored"), "encoding")
 
 
 @query(
@@ -470,25 +476,57 @@ def _(spark, sf):
     f"WITH {ENCODED} SELECT 'columns_extracted' AS status, 'Text|Source' AS columns, encoding FROM found WHERE EXISTS (FROM documents)",
 )
 def _(spark, sf):
-    files = scans.binary_files(spark, _encoded_files(spark, sf)).filter(F.col("path").endswith(".csv"))
-    encodings = scans.detect_encoding(files).select(scans.file_name().alias("file"), "encoding")
-    report = G.validate_files(scans.grid_from_files(files), encodings=encodings)
-    return report.select("status", F.array_join("columns", "|").alias("columns"), "encoding")
+    """A folder's files are one table: its encoding goes for each of them."""
+    path = f"{_encoded_files(spark, sf)}/*/*.csv"
+    lines = ranges.lines(spark, path)
+    named = F.concat_ws("/", folder(), scans.file_name())
+    rows = ranges.records(lines).join(ranges.encodings(lines, folder()), folder() == F.col("key"))
+    cells = scans.cells_of(scans.decoded(F.col("record"), F.col("encoding")))
+    grid = rows.select(named.alias("file"), "row_idx", cells.alias("cells"))
+    encodings = rows.select(named.alias("file"), "encoding").distinct()
+    report = G.validate_files(grid, encodings=encodings)
+    return report.select("status", F.array_join("columns", "|").alias("columns"), "encoding").distinct()
+
+
+@query(
+    "scan_grid_by_ranges",
+    """SELECT doc_id || '|' || coalesce(text, '~') || ' "q", x' || chr(10) || 'y|' || coalesce(source, '~') AS cells FROM documents""",
+)
+def _(spark, sf):
+    path = scratch_path(spark, "grid-ranges")
+    text = F.concat(F.coalesce("text", F.lit("~")), F.lit(' "q", x\ny'))
+    rows = table(spark, sf, "documents").select(F.col("doc_id").alias("Id"), text.alias("Text"), F.coalesce("source", F.lit("~")).alias("Source"))
+    rows.write.options(header=True, escape='"').csv(path)
+    found = ranges.grid(spark, f"{path}/*.csv", "utf-8").filter("row_idx > 0")
+    return found.select(F.array_join("cells", "|").alias("cells"))
+
+
+@query(
+    "scan_csv_by_ranges",
+    "SELECT CAST(doc_id AS VARCHAR) AS doc_id, text || chr(10) || source AS value FROM documents",
+)
+def _(spark, sf):
+    path = scratch_path(spark, "csv-ranges")
+    docs = table(spark, sf, "documents").select("doc_id", F.concat("text", F.lit("\n"), "source").alias("value"))
+    docs.write.options(header=True, quoteAll=True, escape='"', encoding="windows-1252").csv(path)
+    return ranges.table(spark, f"{path}/*.csv", "cp1252")
 
 
 @query(
     "file_catalog",
-    "SELECT 'orders_' || o_orderpriority[1] || '.csv' AS name, true AS filled FROM orders GROUP BY 1",
+    f"""SELECT DISTINCT 'orders_' || o_orderpriority[1] || '_' || (o_orderkey // {ORDERS_A_FILE}) || '.csv' AS name, true AS filled
+      FROM orders""",
 )
 def _(spark, sf):
-    """Named files, each twice under other folders, beside files that the catalog does not accept."""
+    """Named files of bounded size, each twice under other folders, beside files that the catalog does not accept."""
     path = scratch_path(spark, "catalog")
-    rows = table(spark, sf, "orders").select("o_orderkey", F.substring("o_orderpriority", 1, 1).alias("p"))
-    for folder, ending in (("a", "csv"), ("b", "csv"), ("c", "txt")):
-        for p in "12345":
-            part = scratch_path(spark, "catalog-part")
-            rows.filter(F.col("p") == p).coalesce(1).write.csv(part)
-            _moved(spark, part, f"{path}/{folder}/orders_{p}.{ending}")
+    part = F.floor(F.col("o_orderkey") / ORDERS_A_FILE).cast("long")
+    rows = table(spark, sf, "orders").select("o_orderkey", F.substring("o_orderpriority", 1, 1).alias("p"), part.alias("part"))
+    for place, ending in (("a", "csv"), ("b", "csv"), ("c", "txt")):
+        written = scratch_path(spark, "catalog-part")
+        rows.repartition("p", "part").write.partitionBy("p", "part").csv(written)
+        for r in rows.select("p", "part").distinct().collect():  # one row per file
+            _moved(spark, f"{written}/p={r.p}/part={r.part}", f"{path}/{place}/orders_{r.p}_{r.part}.{ending}")
     found = scans.file_catalog(spark, path)
     return found.select("name", (F.col("length") > 0).alias("filled"))
 

@@ -70,7 +70,7 @@ def scan_csv(
     in every file, and columns with a blank name too.
     """
     if header_row:
-        return _under_header(scan_grid(spark, path, encoding), header_row)
+        return under_header(scan_grid(spark, path, encoding), header_row)
     reader = spark.read.options(
         header=True, encoding=CHARSETS[encoding], multiLine=multi_line, escape='"', mode="PERMISSIVE"
     )
@@ -83,7 +83,7 @@ def _known(c: Column) -> Column:
     return F.when(~is_one_of(c, NA_STRINGS), c)
 
 
-def _under_header(grid: DataFrame, header_row: int) -> DataFrame:
+def under_header(grid: DataFrame, header_row: int) -> DataFrame:
     """The rows below the header row as a table; all files must have the same header."""
     headers = grid.filter(F.col("row_idx") == header_row).select("cells").distinct().limit(2).collect()
     if len(headers) != 1:
@@ -122,14 +122,19 @@ def grid_from_files(files: DataFrame, encoding: str | None = None) -> DataFrame:
     text = decoded(F.col("content"), chosen)
     records = F.filter(F.regexp_extract_all(text, F.lit(RECORD), F.lit(0)), lambda r: F.trim(r) != "")
     rows = files.select(file_name().alias("file"), F.posexplode(records).alias("row_idx", "record"))
+    return rows.select("file", F.col("row_idx").cast("long").alias("row_idx"), cells_of(F.col("record")).alias("cells"))
+
+
+def cells_of(record: Column) -> Column:
+    """The cells of a record: quotes taken off, empty unquoted cells null."""
 
     def cell(c: Column) -> Column:
         inner = F.regexp_replace(F.regexp_replace(c, '^"|"$', ""), '""', '"')
         return F.when(c.startswith('"'), inner).when(c != "", c)
 
     # a comma in front makes every cell begin with one
-    cells = F.regexp_extract_all(F.concat(F.lit(","), F.col("record")), F.lit(f",({CELL})"), F.lit(1))
-    return rows.select("file", F.col("row_idx").cast("long").alias("row_idx"), F.transform(cells, cell).alias("cells"))
+    cells = F.regexp_extract_all(F.concat(F.lit(","), record), F.lit(f",({CELL})"), F.lit(1))
+    return F.transform(cells, cell)
 
 
 def scan_grid(spark: SparkSession, path: str | Sequence[str], encoding: str | None = None) -> DataFrame:
