@@ -16,6 +16,7 @@ import html
 import re
 import zlib
 from collections.abc import Iterable, Iterator
+from collections import defaultdict
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -32,6 +33,8 @@ TAGS, WORDS, WIDTH, HIDDEN, MEASURES = 512, 2048, 12, 16, 6
 EPOCHS, BATCH, RATE = 6, 16, 0.01
 #: Blocks of pages that are read side by side.
 STRIDE = 128
+#: Blocks times pages that are read side by side; a page with more blocks is read alone.
+MOST_CELLS = 16_384
 
 # -- pages to blocks -------------------------------------------------------
 
@@ -40,6 +43,8 @@ _MARK = re.compile(
     r"""|<(/?)([a-zA-Z][^\s/>]*)((?:"[^"<]*"|'[^'<]*'|[^>])*+)(?:>|\Z)""",
     re.S,
 )
+#: The attribute that carries a label on pages marked for training.
+LABEL = "data-y"
 _NAMES = re.compile(r"""\b(class|id|role|data-y)\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+)""", re.I)
 _PIECES = re.compile(r"[a-z]+|\d", re.I)
 _WORDS = re.compile(r"\w+|[^\w\s]")
@@ -71,13 +76,24 @@ def _hash(text: str, size: int) -> int:
     return zlib.crc32(text.encode("utf-8", "surrogatepass")) % size
 
 
-def blocks(source: str) -> Page:
+def blocks(source: str, marked: bool = False) -> Page:
     """The leaf blocks of a page: text between marks that begin or end a block.
 
     References are decoded, white space becomes one space, blocks without text are
-    left out. Tags that were never closed end with their surroundings.
+    left out. Tags that were never closed end with their surroundings. Pages ``marked``
+    for training carry labels in an attribute; on others it means nothing.
     """
     page, stack = Page(nodes=[(-1, 0, ())]), [("#", 0, -1)]  # (tag, element, label)
+    open_at: dict[str, list[int]] = defaultdict(list)  # places of a tag's open elements in the stack
+
+    def innermost(tags) -> int:
+        return max((open_at[t][-1] for t in tags if open_at[t]), default=0)
+
+    def close(k):
+        for tag, *_ in stack[k:]:
+            open_at[tag].pop()
+        del stack[k:]
+
     parts: list[str] = []
     linked, links = 0, 0
 
@@ -116,19 +132,18 @@ def blocks(source: str) -> Page:
         if mark[1]:
             if tag not in INLINE:
                 flush()
-            for k in range(len(stack) - 1, 0, -1):
-                if stack[k][0] == tag:
-                    if tag == "a" or any(s[0] == "a" for s in stack[k:]):
-                        links = 0
-                    del stack[k:]
-                    break
+            k = innermost([tag])
+            if k:
+                if innermost("a") >= k:
+                    links = 0
+                close(k)
             continue
         if tag in RAW:
             if not mark[3].endswith("/"):
-                close = re.compile(rf"</{re.escape(tag)}\b[^>]*>", re.I).search(source, at)
-                if tag == "head" and not close:
-                    close = re.compile(r"(?=<body\b)", re.I).search(source, at)
-                at = close.end() if close else at if tag in ("head", "svg", "math", "object", "select") else end
+                shut = re.compile(rf"</{re.escape(tag)}\b[^>]*>", re.I).search(source, at)
+                if tag == "head" and not shut:
+                    shut = re.compile(r"(?=<body\b)", re.I).search(source, at)
+                at = shut.end() if shut else at if tag in ("head", "svg", "math", "object", "select") else end
             if tag not in ("svg", "math"):
                 flush()
             continue
@@ -136,26 +151,22 @@ def blocks(source: str) -> Page:
             flush()
         if tag in VOID:
             continue
-        if tag in _PARAGRAPH_ENDS and any(s[0] == "p" for s in stack):
-            del stack[max(k for k, s in enumerate(stack) if s[0] == "p") :]
+        if tag in _PARAGRAPH_ENDS and open_at["p"]:
+            close(open_at["p"][-1])
             links = 0
-        elif tag in _CLOSES:
-            for k in range(len(stack) - 1, 0, -1):
-                if stack[k][0] in _HOLDS[tag]:
-                    break
-                if stack[k][0] in _CLOSES[tag]:
-                    del stack[k:]
-                    break
+        elif tag in _CLOSES and innermost(_CLOSES[tag]) > innermost(_HOLDS[tag]):
+            close(innermost(_CLOSES[tag]))
         names, label = [_hash("<" + tag, TAGS)], stack[-1][2]
         if "=" in mark[3]:
             for kind, value in _NAMES.findall(mark[3]):
-                if kind == "data-y":
-                    label = int(value.strip("\"'"))
+                if kind == LABEL:
+                    label = int(value.strip("\"'")) if marked else label
                 else:
                     names += [_hash(x.lower(), TAGS) for x in _PIECES.findall(value)]
         if tag == "a":
             links = 1
         page.nodes.append((stack[-1][1], len(stack), tuple(names)))
+        open_at[tag].append(len(stack))
         stack.append((tag, len(page.nodes) - 1, label))
     flush()
     return page
@@ -297,8 +308,11 @@ def label_blocks(model: Model, pages: list[Page]) -> list[np.ndarray]:
     """Probability of main text for every block. Pages of like length are read side by side."""
     out = [np.zeros(0, np.float32)] * len(pages)
     order = sorted((k for k in range(len(pages)) if pages[k].texts), key=lambda k: len(pages[k].texts))
-    for at in range(0, len(order), STRIDE):
-        group = order[at : at + STRIDE]
+    while order:
+        side = 1  # pages as long as the longest of them, in a table of bounded size
+        while side < min(STRIDE, len(order)) and (side + 1) * len(pages[order[side]].texts) <= MOST_CELLS:
+            side += 1
+        group, order = order[:side], order[side:]
         lengths = [len(pages[k].texts) for k in group]
         rows, *_ = _inputs(model, [pages[k] for k in group])
         states = np.concatenate(
@@ -321,6 +335,7 @@ def weakly_labelled(source: str) -> str | None:
     if not any(f"<{t}" in source for t in _MAIN_TAGS):
         return None
     mark = lambda tags, y, s: re.sub(rf"<({'|'.join(tags)})\b", rf'<\1 data-y="{y}"', s, flags=re.I)
+    source = re.sub(rf"\b{LABEL}\s*=", "data-other=", source, flags=re.I)
     return mark(_OTHER_TAGS, 0, mark(_MAIN_TAGS, 1, re.sub(r"<body\b", '<body data-y="0"', source, flags=re.I)))
 
 
@@ -421,7 +436,7 @@ def train(pages: list[str], seed: int = 5) -> Model:
     texts = texts or ["One two three four five.", "Six seven, eight nine ten eleven twelve.", "Menu", "Read more about this."]
     marked = [m for m in map(weakly_labelled, pages) if m]
     marked += [invented(rng, texts) for _ in range(LAYOUTS)]
-    examples = [p for p in map(blocks, marked) if p.texts and min(p.labels) >= 0]
+    examples = [p for p in (blocks(m, marked=True) for m in marked) if p.texts and min(p.labels) >= 0]
     moments = [(np.zeros_like(p), np.zeros_like(p)) for p in model.parts()]
     step = 0
     for epoch in range(EPOCHS):

@@ -2,6 +2,7 @@ from __future__ import annotations
 
 import html
 import re
+import time
 
 import numpy as np
 import pytest
@@ -56,7 +57,7 @@ def test_articles_of_the_given_pages(sampled, model):
 def test_context_and_layouts(model):
     rng = np.random.default_rng(1)
     texts = ["Some words of prose, with a comma and an end.", "Another one. It has two sentences.", "Third text here; it goes on a little while."]
-    pages = [H.blocks(H.invented(rng, texts)) for _ in range(200)]
+    pages = [H.blocks(H.invented(rng, texts), marked=True) for _ in range(200)]
     labels = np.concatenate([p.labels for p in pages])
     assert (np.concatenate(H.label_blocks(model, pages) ) >= 0.5).astype(int).tolist().count(1) > 0
     assert ((np.concatenate(H.label_blocks(model, pages)) >= 0.5) == (labels == 1)).mean() > 0.97
@@ -68,7 +69,7 @@ def test_container_of_deep_blocks(model):
     for depth in (0, 9, 12, 16):
         wrapped = lambda mark, y: f"<{mark} data-y={y}>{'<div>' * depth}" + f"<p>{prose}</p>" * 3 + f"{'</div>' * depth}</{mark}>"
         for order in ((("aside", 0), ("article", 1), ("footer", 0)), (("nav", 0), ("main", 1)), (("article", 1), ("aside", 0))):
-            page = H.blocks("<html><body>" + "".join(wrapped(*x) for x in order) + "</body></html>")
+            page = H.blocks("<html><body>" + "".join(wrapped(*x) for x in order) + "</body></html>", marked=True)
             assert ((H.label_blocks(model, [page])[0] >= 0.5) == np.array(page.labels)).all(), (depth, order)
 
 
@@ -79,6 +80,35 @@ def test_many_unclosed_elements(model):
     assert len(H.label_blocks(model, [page])[0]) == 3_000
 
 
+def test_time_grows_with_the_page():
+    """Unclosed elements, closing marks of nothing and list items under them."""
+    for unit in ("<div>word", "<p><div>word", "<ul><li>word<div>", "<div>a</span></i>", "<a href=x>word<p>"):
+        began = time.time()
+        page = H.blocks("<article>" + unit * 50_000)
+        assert len(page.texts) == 50_000 or unit.startswith("<a"), unit
+        assert time.time() - began < 6, unit
+
+
+def test_one_long_page_among_small_ones(model, monkeypatch):
+    small = [H.blocks(f"<article><p>Some words of prose, number {k}.</p></article><footer>Foot</footer>") for k in range(127)]
+    long = H.blocks("<article>" + "<p>Some words of prose here.</p>" * 20_000 + "</article>")
+    shapes = []
+    padded = H._padded
+    monkeypatch.setattr(H, "_padded", lambda *a: shapes.append(padded(*a).shape) or padded(*a))
+    chances = H.label_blocks(model, [*small, long])
+    assert [len(c) for c in chances] == [2] * 127 + [20_000]
+    assert max(a * b for a, b, _ in shapes) <= max(H.MOST_CELLS, 20_000)
+
+
+def test_own_attributes_are_no_labels(model):
+    for value in ("left", "12.5", '"1"', "''", '"0"'):
+        page = H.blocks(f"<body><div data-y={value}>Some words of prose, with a comma and an end.</div></body>")
+        assert page.labels == [-1]
+    assert H.weakly_labelled('<body data-y="left"><article data-y="7">x y z</article></body>')
+    marked = H.weakly_labelled("<body><div data-y=left>menu</div><article data-y='2.5'>text</article></body>")
+    assert H.blocks(marked, marked=True).labels == [0, 1]
+
+
 def test_gradients():
     """The way back of the recurrent layer against differences."""
     rng = np.random.default_rng(0)
