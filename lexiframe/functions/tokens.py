@@ -28,6 +28,11 @@ def token_texts(text: Column) -> Column:
     return F.regexp_extract_all(text, F.lit(TOKEN), F.lit(0))
 
 
+def token_lowers(text: Column) -> Column:
+    """The lower-cased tokens of a text."""
+    return F.transform(token_texts(F.coalesce(text, F.lit(""))), lambda t: F.lower(t))
+
+
 def is_alpha(token: Column) -> Column:
     return token.rlike(r"^\p{L}+$")
 

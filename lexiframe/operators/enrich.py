@@ -4,21 +4,34 @@ from __future__ import annotations
 
 from collections.abc import Callable, Mapping, Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lexiframe.functions import linguistics as L
 from lexiframe.functions.normalize import normalize_columns, normalize_text
+from lexiframe.functions.tokens import token_lowers
 from lexiframe.operators import keyphrases as K
-from lexiframe.operators.linguistics import (
-    TOKENS,
-    entity_strings,
-    match_entities,
-    with_tokens,
-)
+from lexiframe.operators.gazetteer import entities, with_hits
+from lexiframe.operators.linguistics import TOKENS, with_tokens
 from lexiframe.operators.skew import HOT_ROWS, hot_join
 
 FAILED = "Processing failed"
+HITS = "__hits"
+
+
+def _with_tokens_and_hits(
+    df: DataFrame, text: str, lang: str | None, words: Mapping[str, Sequence[str]] | None, gazetteer: DataFrame | None
+) -> DataFrame:
+    """Token arrays, and before them the phrases of a gazetteer, so that tokens need not pass through its walk."""
+    if gazetteer is not None:
+        df = with_hits(df, gazetteer, token_lowers(F.col(text)), HITS)
+    return with_tokens(df, text, lang, words, heads=True)
+
+
+def _entity_string(mode: str, gazetteer: DataFrame | None) -> Column:
+    if gazetteer is None:
+        return F.lit(L.NO_ENTITY[mode])
+    return L.entity_string(entities(F.col(HITS), F.col(TOKENS)["text"]), mode)
 
 
 def analyze_text(
@@ -31,13 +44,8 @@ def analyze_text(
 ) -> DataFrame:
     """One struct ``result`` per text with everything the single-text mode reports."""
     clean = df.select(doc_id, *([lang] if lang else []), normalize_text(F.col(text)).alias("clean"))
-    docs = with_tokens(clean, "clean", lang, words, heads=True)
-    docs = K.keyphrases(docs, "text", "keyphrases")
-    if gazetteer is None:
-        docs = docs.withColumn("entities", F.lit(L.NO_ENTITY["text"]))
-    else:
-        found = match_entities(docs, doc_id, gazetteer)
-        docs = entity_strings(docs, doc_id, found, "text")
+    docs = _with_tokens_and_hits(clean, "clean", lang, words, gazetteer)
+    docs = K.keyphrases(docs, "text", "keyphrases").withColumn("entities", _entity_string("text", gazetteer))
     tokens = F.col(TOKENS)
     readability = L.readability_string(L.readability_metrics(F.col("clean"), tokens))
     result = F.struct(
@@ -67,13 +75,8 @@ def annotate_column(
     gazetteer: DataFrame | None = None,
     words: Mapping[str, Sequence[str]] | None = None,
 ) -> DataFrame:
-    docs = with_tokens(df, col, lang, words, heads=True)
-    docs = K.keyphrases(docs, "column", f"{col}__key_phrase")
-    if gazetteer is None:
-        docs = docs.withColumn(f"{col}__ner", F.lit(L.NO_ENTITY["column"]))
-    else:
-        found = match_entities(docs, row_id, gazetteer)
-        docs = entity_strings(docs, row_id, found, "column", f"{col}__ner")
+    docs = _with_tokens_and_hits(df, col, lang, words, gazetteer)
+    docs = K.keyphrases(docs, "column", f"{col}__key_phrase").withColumn(f"{col}__ner", _entity_string("column", gazetteer))
     return docs.select(
         *df.columns,
         L.pos_string(F.col(TOKENS), "column").alias(f"{col}__pos"),

@@ -9,12 +9,11 @@ from pyspark.sql import functions as F
 
 from lexiframe.functions import linguistics as L
 from lexiframe.functions import tokens as T
-from lexiframe.functions.columns import is_one_of, let, unnest
+from lexiframe.functions.columns import unnest
 from lexiframe.functions.stopwords import WORDS, stopwords
+from lexiframe.operators.gazetteer import entities, with_hits
 
 TOKENS = "tokens"
-# first words of a gazetteer that are tested in the row, as one literal set
-MAX_OPENERS = 20_000
 
 
 def stop_lists(languages: Sequence[str] = ("en",)) -> dict[str, list[str]]:
@@ -91,90 +90,20 @@ def split_sentences(df: DataFrame, doc_id: str, text: str) -> DataFrame:
     return rows.filter("sent_no is not null")
 
 
-def match_entities(
-    docs: DataFrame, doc_id: str, gazetteer: DataFrame, max_n: int = 4
-) -> DataFrame:
-    """Phrases of the gazetteer ``(phrase, label)`` found in token arrays.
+def match_entities(docs: DataFrame, doc_id: str, gazetteer: DataFrame, max_n: int | None = None) -> DataFrame:
+    """Phrases of the gazetteer ``(phrase, label)`` found in token arrays, one row each.
 
     Reading from the left, the longest phrase at a token wins and its tokens are
-    used up. Rows: document, entity number, text, label, first and last token.
-
-    Only token runs that open like a listed phrase travel on. Up to ``MAX_OPENERS``
-    first words are tested inside the document's row; more are joined.
+    used up. Rows: document, entity number, text, label, first and last token. With
+    ``max_n`` longer phrases are left out. See ``gazetteer.with_hits``: nothing shuffles.
     """
-    listed = gazetteer.select(F.lower("phrase").alias("key"), "label").dropDuplicates(["key"])
-    openers = listed.select(F.substring_index("key", " ", 1).alias("opener")).distinct()
-    known = [r.opener for r in openers.filter("opener IS NOT NULL").limit(MAX_OPENERS + 1).collect()]
-    few = len(known) <= MAX_OPENERS
-    starts = unnest(docs, [doc_id], _starts(F.col(TOKENS), max_n, known if few else None), "first")
-    if not few:
-        starts = starts.join(openers, "opener", "left_semi")
-    grams = starts.select(doc_id, "first", F.explode(_grams()).alias("g")).select(doc_id, "first", "g.*")
-    hits = (
-        grams.join(listed, "key")
-        .groupBy(doc_id, "first")
-        .agg(F.max_by(F.struct("last", "text", "label"), "last").alias("hit"))
-    )
-    found = hits.groupBy(doc_id).agg(
-        F.sort_array(F.collect_list(F.struct("first", "hit.last", "hit.text", "hit.label"))).alias(
-            "hits"
-        )
-    )
-    kept = _non_overlapping(F.col("hits"))
-    return found.select(doc_id, F.posexplode(kept).alias("ent_id", "e")).select(
-        doc_id, "ent_id", "e.text", "e.label", "e.first", "e.last"
-    )
-
-
-def _starts(tokens: Column, max_n: int, openers: Sequence[str] | None = None) -> Column:
-    """Tokens, those among the openers if given, with the next ones, as ``(opener, first, lowers, texts)``."""
-
-    def starts(lowers: Column, texts: Column) -> Column:
-        places = F.transform(lowers, lambda w, i: i)
-        if openers is not None:
-            places = F.filter(places, lambda i: is_one_of(F.get(lowers, i), openers))
-        return let(
-            places,
-            lambda at: F.arrays_zip(
-                F.transform(at, lambda i: F.get(lowers, i)).alias("opener"),
-                at.alias("first"),
-                F.transform(at, lambda i: F.slice(lowers, i + 1, max_n)).alias("lowers"),
-                F.transform(at, lambda i: F.slice(texts, i + 1, max_n)).alias("texts"),
-            ),
-        )
-
-    return let(tokens["lower"], lambda lw: let(tokens["text"], lambda tx: starts(lw, tx)))
-
-
-def _grams() -> Column:
-    """The runs that open at a start, from one token to all of them."""
-    return F.transform(
-        F.sequence(F.lit(1), F.size("lowers")),
-        lambda n: F.struct(
-            F.array_join(F.slice("lowers", 1, n), " ").alias("key"),
-            F.array_join(F.slice("texts", 1, n), " ").alias("text"),
-            (F.col("first") + n - 1).alias("last"),
-        ),
-    )
-
-
-def _non_overlapping(hits: Column) -> Column:
-    """Hits in order of their first token, leaving out those that start inside an earlier one."""
-    empty = F.expr(
-        "named_struct('upto', -1, 'kept',"
-        " cast(array() as array<struct<first:int,last:int,text:string,label:string>>))"
-    )
-    return F.aggregate(
-        hits,
-        empty,
-        lambda acc, h: F.when(
-            h["first"] > acc["upto"],
-            F.struct(
-                h["last"].alias("upto"), F.concat(acc["kept"], F.array(h)).alias("kept")
-            ),
-        ).otherwise(acc),
-        lambda acc: acc["kept"],
-    )
+    if max_n is not None:
+        gazetteer = gazetteer.filter(F.size(F.split("phrase", " ")) <= max_n)
+    tokens = F.col(TOKENS)
+    rows = docs.select(doc_id, tokens["text"].alias("__texts"), tokens["lower"].alias("__lowers"))
+    found = with_hits(rows, gazetteer, F.col("__lowers"), "__hits")
+    each = found.select(doc_id, F.posexplode(entities(F.col("__hits"), F.col("__texts"))).alias("ent_id", "e"))
+    return each.select(doc_id, "ent_id", "e.text", "e.label", "e.first", "e.last")
 
 
 def entity_strings(
