@@ -112,3 +112,32 @@ def base_scores(docs):
     total, types = sum(counts.values()), len(counts)
     base = lambda w: math.log10((counts[w] + 0.1) / (total + 0.1 * (types + 1)))
     return [(d, len(ws), sum(counts[w] > 0 for w in ws), total, sum(map(base, ws))) for d, ws in tokens]
+
+
+def class_scores(docs, counts, classes, step, below, strange):
+    """docs: (id, text); counts and classes by word. Per document (id, log10 of its class bigram probability)."""
+    out = []
+    for doc, text in docs:
+        before, total = 0, 0.0
+        for word in [*words(text), " "]:
+            now = classes.get(word, strange)
+            total += step[before][now] + math.log10(counts.get(word, 0) + 0.1) - below[now]
+            before = now
+        out.append((doc, total))
+    return out
+
+
+def best_classes(texts, classes, worth):
+    """The likeliest class of every word not in ``classes``, from the classes beside its occurrences."""
+    value = defaultdict(lambda: [0.0] * len(worth[0]))
+    for text in texts:
+        line = [" ", *words(text), " "]
+        for k in range(1, len(line) - 1):
+            if line[k] not in classes:
+                value[line[k]]  # also without a known neighbour
+                for c in range(len(worth[0])):
+                    if line[k - 1] in classes:
+                        value[line[k]][c] += worth[0][classes[line[k - 1]]][c]
+                    if line[k + 1] in classes:
+                        value[line[k]][c] += worth[1][classes[line[k + 1]]][c]
+    return value
