@@ -197,13 +197,15 @@ def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
 def merged(classes: DataFrame, links: DataFrame) -> DataFrame:
     """Give linked classes one label, the smallest.
 
-    ``classes`` has (rep, class), ``links`` pairs (u, v) of classes. Each pass moves
-    every linked class to the smallest one it is linked to, and maps the links along.
+    ``classes`` has (rep, class), ``links`` pairs (u, v) of classes. In each pass every
+    linked class points to the smallest one it is linked to. Pointers go downwards, so they
+    form trees; they are doubled until all point to the roots, and classes and links move
+    there. A chain of classes becomes one in a logarithm of its length.
     """
     while not links.isEmpty():
         ways = links.unionByName(links.select(F.col("v").alias("u"), F.col("u").alias("v")))
         lowest = ways.groupBy(F.col("u").alias("old")).agg(F.min("v").alias("new"))
-        lowest = stored(lowest.filter("new < old"), "class-moves")
+        lowest = to_roots(stored(lowest.filter("new < old"), "class-moves"))
         to = lambda df, c: df.join(lowest.withColumnRenamed("old", c), c, "left").withColumn(c, F.coalesce("new", c)).drop("new")
         classes = stored(to(classes, "class"), "classes")
         links = to(to(links, "u"), "v").filter("u <> v")
@@ -211,6 +213,16 @@ def merged(classes: DataFrame, links: DataFrame) -> DataFrame:
     return classes
 
 
+def to_roots(moves: DataFrame) -> DataFrame:
+    """Follow pointers (old, new) to their ends by doubling; ``new`` is always smaller than ``old``."""
+    while True:
+        further = moves.select(F.col("old").alias("new"), F.col("new").alias("next"))
+        longer = moves.join(further, "new")
+        if longer.isEmpty():
+            return moves
+        moves = stored(moves.join(further, "new", "left").select("old", F.coalesce("next", "new").alias("new")), "class-moves")
+
+
 def _class_pairs(pairs: DataFrame, classes: DataFrame) -> DataFrame:
     """Links between representatives as links between their classes."""
     a = classes.select(F.col("rep").alias("a"), F.col("class").alias("u"))

@@ -4,6 +4,8 @@ import random
 
 import numpy as np
 import plain
+import pytest
+from pyspark.sql import functions as F
 
 from lexiframe.llm import neardup as N
 
@@ -110,3 +112,34 @@ def test_odd_rows(docs, empty, pairs):
     )
     assert (kept.filter("doc_id = 4").first().text, kept.filter("doc_id = 4").first().source) == ("", "b")
     assert N.near_duplicates(empty).count() == 0 and N.deduplicated(empty).count() == 0
+
+
+def roots(n, links):
+    parent = list(range(n))
+
+    def top(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    for u, v in links:
+        parent[max(top(u), top(v))] = min(top(u), top(v))
+    return {k: top(k) for k in range(n)}
+
+
+@pytest.mark.parametrize("kind", ["chain", "shuffled", "random"])
+def test_classes_merge_in_few_passes(spark, monkeypatch, kind):
+    rng = random.Random(4)
+    n = 200
+    order = list(range(n))
+    if kind == "shuffled":
+        rng.shuffle(order)
+    links = list(zip(order, order[1:])) if kind != "random" else [(rng.randrange(n), rng.randrange(n)) for _ in range(150)]
+    passes = []
+    stored = N.stored
+    monkeypatch.setattr(N, "stored", lambda df, name: passes.append(name) or stored(df, name))
+    pairs = spark.createDataFrame([(min(a, b), max(a, b)) for a, b in links if a != b], "u long, v long")
+    classes = spark.range(n).select(F.col("id").alias("rep"), F.col("id").alias("class"))
+    got = {r.rep: r["class"] for r in N.merged(classes, pairs).collect()}
+    assert got == roots(n, links)
+    assert passes.count("classes") <= 8 and passes.count("class-moves") <= 24
