@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lexiframe.functions import cells as C
+from lexiframe.functions.sqlfuncs import register_functions
 from lexiframe.operators import chunks as B
 from lexiframe.operators import grid as G
 from lexiframe.plans import sqltext as S
@@ -114,6 +115,17 @@ def _(spark, sf):
     return rows.select("file", "row_idx", C.is_valid_header(F.col("cells")).alias("valid"))
 
 
+@query(
+    "header_predicate_in_sql",
+    f"WITH {GRID}, {TRIMMED} SELECT file, row_idx, ok AS valid FROM valid",
+)
+def _(spark, sf):
+    """The same test by the function that SQL callers use."""
+    register_functions(spark)
+    rows = G.trim_grid(grid(spark, sf))
+    return rows.select("file", "row_idx", F.expr("coalesce(is_valid_header(cells), false)").alias("valid"))
+
+
 @query(
     "header_predicate_typed",
     f"""WITH {GRID}, {TRIMMED}, typed AS (
