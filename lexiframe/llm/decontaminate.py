@@ -221,7 +221,8 @@ def phrase_matches(index: DataFrame, phrases: Iterable[tuple[str, str]], slop: i
 
     ``slop`` 0 finds exact phrases. Otherwise each word after the first may be up to
     ``slop`` positions from its exact place, inside the same document. Positions
-    count words from 0.
+    count words from 0. Null and empty texts hold no phrase, a repeated row gives its
+    matches again, and an empty index gives none.
     """
     named = windows_of([(n, t.encode()) for n, t in phrases], window=1 << 30)
     schema = T.StructType(
@@ -314,11 +315,11 @@ def _overlaps(index: DataFrame, phrases: Phrases) -> DataFrame:
 
 
 def _items(tests: DataFrame, item_col: str, text_col: str, round_bytes: int) -> tuple[DataFrame, int]:
-    """(item, text), and in how many rounds they are searched."""
+    """(item, text), each pair once, and in how many rounds they are searched."""
     items = tests.select(
         F.coalesce(tests[item_col].cast("string"), F.lit("null")).alias("item"),
         F.coalesce(tests[text_col], F.lit("")).cast("binary").alias("text"),
-    )
+    ).distinct()
     size = items.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
     return items, size // round_bytes + 1
 
@@ -351,13 +352,15 @@ def contamination(
         lengths = F.zip_with("froms", "tos", lambda a, b: b - a)
         n_hit = F.aggregate(lengths, F.lit(0).cast("long"), lambda s, x: s + x)
     else:
-        # every round searches all documents for its share of the items; what it finds in a document is put together
+        # every round searches all documents for its share of the texts, whosever they are; what it finds in a
+        # document is put together, an item of several rounds once
         found = None
         for k in range(rounds):
-            share = items.filter(F.pmod(F.xxhash64("item"), F.lit(rounds)) == k)
+            share = items.filter(F.pmod(F.xxhash64("item", "text"), F.lit(rounds)) == k)
             part = _overlaps(index, windows_of(share.collect(), window))
             found = part if found is None else found.unionByName(part)
-        together = (F.flatten(F.collect_list(c)).alias(c) for c in ("froms", "tos", "items"))
+        flat = lambda c: F.flatten(F.collect_list(c))
+        together = (flat("froms").alias("froms"), flat("tos").alias("tos"), F.array_distinct(flat("items")).alias("items"))
         found = found.groupBy("block", "number").agg(
             F.first("doc_id").alias("doc_id"), F.first("n_words").alias("n_words"), *together
         )
@@ -388,7 +391,9 @@ def decontaminated(
 
     The index of a block of documents is searched in the task that built it, so the
     documents themselves do not move. Test sets too large for one broadcast go by
-    the stored index; then contaminated texts are taken out by a join.
+    the stored index; then contaminated texts are taken out by a join. Null and empty
+    texts stay, repeated rows stay or go together, an empty table stays empty, and so
+    do all documents without tests.
     """
     names = docs.columns
     rows = docs.toDF(*(f"c{k}" for k in range(len(names))))

@@ -223,7 +223,11 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
 
 
 def mixed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", **settings) -> DataFrame:
-    """The mix itself: every document as often as it is taken, with all its columns; they do not shuffle."""
+    """The mix itself: every document as often as it is taken, with all its columns; they do not shuffle.
+
+    Texts without words, null ones among them, have size 0 and add nothing to a target. A null
+    source is a source. Repeated rows share their random number. An empty table gives an empty result.
+    """
     decided = plan(_sized(docs, id_col, text_col, source_col), **settings)
     names = docs.columns
     rows = docs.select(

@@ -314,7 +314,11 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
 
 def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The documents without near copies: of each class the row that ``near_duplicates`` keeps, all columns."""
+    """The documents without near copies: of each class the row that ``near_duplicates`` keeps, all columns.
+
+    Texts without words, null ones among them, are one class, so one of them stays. Of repeated rows one
+    stays. An empty table gives an empty result.
+    """
     record = F.struct(*(F.col(c).alias(f"c{k}") for k, c in enumerate(docs.columns) if c != text_col), F.lit(0).alias("none"))
     null = docs[text_col].isNull()
     table, named = _classified(_rows(docs, id_col, text_col, record.alias("record"), null.alias("null")))

@@ -250,7 +250,11 @@ def quality_scores(
 def accepted(
     docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", model: Model | None = None
 ) -> DataFrame:
-    """The documents that the classifier does not reject, with all their columns."""
+    """The documents that the classifier does not reject, with all their columns.
+
+    Null and empty texts are judged as texts without evidence, repeated rows alike. An
+    empty table gives an empty result. See ``quality_scores``.
+    """
     model = model or fit(docs, labels, id_col, text_col)
     names = docs.columns
     rows = docs.toDF(*(f"c{k}" for k in range(len(names))))

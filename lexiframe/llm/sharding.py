@@ -103,7 +103,7 @@ def edited_map(current: DataFrame, weights: DataFrame, shards: int) -> DataFrame
 
 
 def save_map(slot_map: DataFrame, path: str) -> None:
-    """Add a version to a stored map; a version is written once and then only read."""
+    """Add a version to a stored map. Writing a version again replaces that version alone."""
     slot_map.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("version").parquet(path)
 
 
@@ -175,7 +175,12 @@ def with_shards(
     shards: int = SHARDS,
     slots: int = SLOTS,
 ) -> DataFrame:
-    """The documents themselves with size, virtual_slot, shard and map_version added; they do not shuffle."""
+    """The documents themselves with size, virtual_slot, shard and map_version added; they do not shuffle.
+
+    A null text is 8 bytes, as an empty one. Rows equal in id and text share a slot. An empty table
+    gives an empty result. Where a document has a column of one of these names, the new one is
+    called ``shard_...``.
+    """
     records = record_slots(docs, id_col, text_col, slots)
     weights = stored(slot_weights(records.select("virtual_slot", "size"), slots), "slot-weights")
     save_map(first_map(weights, shards), map_path)

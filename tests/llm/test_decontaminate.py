@@ -41,6 +41,14 @@ def test_as_plain(docs, items, pairs, round_bytes):
     assert left == sorted((p for p, b in zip(pairs, bad) if not b), key=str)
 
 
+def test_one_item_larger_than_a_round(spark, docs, pairs):
+    """An id with most rows is searched in several rounds, and is still one item."""
+    items = [(7, t) for t in (PROSE, "a b c", "words in it", "zweite Zeile", "w1x1 w2x2 w3x3", None)] + [(8, "a b")]
+    table = spark.createDataFrame(items, "item_id long, text string")
+    assert D._items(table, "item_id", "text", 40)[1] > 4
+    assert rows(D.contamination(docs, table, round_bytes=40)) == sorted(plain.contamination(pairs, items), key=str)
+
+
 def test_empty_tables(docs, empty, items):
     assert D.contamination(empty, items).count() == 0
     assert D.decontaminated(empty, items).count() == 0

@@ -72,7 +72,7 @@ def test_sketch_loses_no_similar_pair(spark):
             base = [f"w{rng.randrange(10**9)}" for _ in range(size + 4)]
             texts += [" ".join(base), " ".join(base + [f"w{rng.randrange(10**9)}" for _ in range(size // 4)])]
     rows = spark.createDataFrame([(k, t.encode()) for k, t in enumerate(texts)], "id long, text binary")
-    facts = N.signed(rows).selectExpr("id", "struct(n, sketch, bands) AS facts").localCheckpoint()
+    facts = N.signed(rows).selectExpr("id", "struct(n, sketch, bands) AS facts").cache()
     ours = facts.filter("id % 2 = 0").selectExpr("id", "facts AS ours")
     both = ours.join(facts.selectExpr("id - 1 AS id", "facts AS theirs"), "id")
     assert both.count() == len(texts) // 2
