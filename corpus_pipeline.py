@@ -1,6 +1,9 @@
 """The corpus pipeline: from raw documents to sharded training data.
 
-Each stage takes what the one before kept, written as Parquet and read again.
+Each stage takes what the one before kept, written as Parquet and read again. In every
+stage null texts count as empty ones, repeated rows are rows of their own (but for
+near-duplicates, where one stays), an empty table stays empty, and further columns pass
+through, whatever their names.
 """
 
 from __future__ import annotations
