@@ -153,12 +153,13 @@ def _prefixes(owner, tokens, n) -> tuple[np.ndarray, np.ndarray]:
     """The prefix of every line that can have a partner other than itself, as 32-bit tokens.
 
     A token counted once in the corpus (class 0) shares with nobody; it keeps its
-    place as a 0.
+    place as a 0, which is no other token's number.
     """
     size = np.where(n >= OVER, n - (OVER * n + UNDER - 1) // UNDER + 1, 0)
     inner = np.arange(len(owner)) - np.repeat(np.cumsum(n) - n, n)
     kept = tokens[inner < size[owner]]
     short = (mix(kept) >> np.uint64(32)).astype(np.uint32).view(np.int32)
+    short[short == 0] = 1
     return size, np.where(kept >> np.uint64(_HASH) == 0, 0, short).astype(np.int32)
 
 
