@@ -24,7 +24,7 @@ def test_query(spark, sf, name):
 
 def test_all_are_registered():
     numbers = {n.split("_")[0] for n in plans.QUERIES if n != "pipeline"}
-    assert numbers == {f"op{k}" for k in range(1, 11)} and "pipeline" in plans.QUERIES
+    assert numbers == {f"op{k}" for k in range(1, 14)} and "pipeline" in plans.QUERIES
 
 
 def test_stages(spark, sf, tmp_path):
