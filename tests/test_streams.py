@@ -77,3 +77,10 @@ def test_a_table_may_be_a_file_or_a_folder(spark, sf, tmp_path):
     assert in_folder.count() == turns.count()
     assert not in_folder.exceptAll(in_file.select(in_folder.columns)).count()
     assert source(spark, str(tmp_path), "conversations").isStreaming
+
+
+def test_a_folder_of_documents_is_normalised_whole(spark, sf, tmp_path):
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    docs.repartition(3).write.parquet(str(tmp_path / "documents.parquet"))
+    run = all_queries()[0]["stream_enrich"]
+    assert sorted(run(spark, str(tmp_path)).collect()) == sorted(run(spark, sf).collect())
