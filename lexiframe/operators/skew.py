@@ -14,6 +14,8 @@ from lexiframe.session import materialize
 BLOCK_ROWS = 1_000_000
 # a block this many times as full calls for another way to cut
 OVERFULL = 4
+# ranges that cut clustered values; more only where blocks would exceed BLOCK_ROWS
+MOST_RANGES = 400
 # the block of rows without an order value
 NULL_BLOCK = -(1 << 62)
 # keys treated as hot: the most frequent ones, beyond this many rows
@@ -90,7 +92,8 @@ def with_block(
     ``width`` one pass over that column (minimum, maximum, count) picks the
     slices, and a second one checks that no (key, block) is overfull. If values
     cluster too much for that, blocks come from a range partitioning over keys and
-    all order columns, fixed by a checkpoint.
+    all order columns, fixed by a checkpoint. A range is a task and the driver holds
+    its bounds, so there are ``MOST_RANGES``, or as many as ``BLOCK_ROWS`` asks for.
     """
     number = order_number(F.col(order[0]), df.schema[order[0]].dataType.simpleString())
 
@@ -108,7 +111,7 @@ def with_block(
     fullest = blocked.groupBy(*keys, "__block").count().agg(F.max("count")).first()[0]
     if fullest <= OVERFULL * rows_per_block:
         return blocked
-    parts = max(n // rows_per_block, 1) + 1
+    parts = min(n // rows_per_block, max(n // BLOCK_ROWS, MOST_RANGES)) + 1
     ranged = df.repartitionByRange(int(parts), *keys, *order)
     return materialize(ranged.withColumn("__block", F.spark_partition_id().cast("long")))
 

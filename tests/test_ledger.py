@@ -65,6 +65,17 @@ def test_running_values_against_brute_force(spark, rows_per_block, clustered):
     assert {r.id: r.before for r in seen.collect()} == prev
 
 
+def test_small_blocks_of_many_rows_stay_few_ranges(spark, monkeypatch):
+    """A range is a task: their number must not follow the rows, however small the blocks asked for."""
+    monkeypatch.setattr(S, "MOST_RANGES", 5)
+    df = spark.range(600).select(F.lit("k").alias("k"), F.lit(1).alias("at"), "id")
+    assert S.with_block(df, ["k"], ["at", "id"], 10).select("__block").distinct().count() <= 6
+    sums = S.running_sum(df, ["k"], ["at", "id"], {"total": F.col("id")}, 10)
+    assert {r.id: r.total for r in sums.collect()} == {i: i * (i + 1) // 2 for i in range(600)}
+    seen = S.previous_value(df, ["k"], ["at", "id"], "id", "before", 10)
+    assert {r.id: r.before for r in seen.collect()} == {i: i - 1 if i else None for i in range(600)}
+
+
 def test_file_gate_is_tested_after_good_groups_only(spark):
     logs = {"all_bad": [True] * 4, "late": [True, True, True, False, False], "fine": [False, True, False]}
     rows = [(f, i, x) for f, listed in logs.items() for i, x in enumerate(listed)]
