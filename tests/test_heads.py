@@ -98,3 +98,13 @@ def test_with_heads(spark):
     assert H.with_heads(docs.limit(0), H.association(docs.limit(0))).count() == 0
     nulls = docs.withColumn("tokens", F.when(F.col("c0") > 3, F.col("tokens")))
     assert {r.c0: r.tokens for r in H.with_heads(nulls, H.association(docs)).collect()}[1] is None
+
+
+def test_tokens_stay_where_they_are(spark):
+    """Only texts, sentences and classes go to the parser, and learning reads numbers, not tokens."""
+    docs = L.with_tokens(spark.createDataFrame([(1, "I loved the good food!")], "id long, text string"), "text", annotate=True)
+    for out in (G.with_tags(docs, G.start_model()), H.with_heads(docs, H.association(docs))):
+        plan = out._jdf.queryExecution().optimizedPlan().toString()
+        assert "MapInArrow" not in plan and plan.count("ArrowEvalPython") == 1
+    (row,) = G.numbered(docs).collect()
+    assert row.lengths == [6] and [G.kinds()[k] for k in row.kinds][2] == "=the"
