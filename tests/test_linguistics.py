@@ -172,3 +172,13 @@ def test_missing_column_gets_an_error_column(spark):
     assert set(got) == {
         "id", "note", "note__pos", "note__dependency", "note__ner", "note__key_phrase", "absent__error",
     }
+
+
+def test_embedding_makes_tokens_once(spark):
+    rows = spark.createDataFrame([(1, "red fox red"), (2, "fox"), (3, ""), (4, None)], "id long, text string")
+    out = K.embed(O.with_tokens(rows, "text"), 8, keep=["id"])
+    assert out.columns == ["id", "embedding"]
+    assert "regexp_extract_all" not in out._jdf.queryExecution().optimizedPlan().toString()
+    found = {r.id: np.array(r.embedding) for r in out.collect()}
+    assert np.isclose(np.linalg.norm(found[1]), 1) and np.isclose(np.linalg.norm(found[2]), 1)
+    assert not found[3].any() and not found[4].any() and len(found[4]) == 8
