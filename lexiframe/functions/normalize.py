@@ -130,12 +130,11 @@ def normalize_text(
     return let(strip_quotes(split_colon_underscore(value)), collapse_ws)
 
 
-def normalize_columns(df: DataFrame, cols: Sequence[str], **tables) -> DataFrame:
-    """Overwrite each selected column with its normalised text; null becomes empty.
+def normalize_columns(df: DataFrame, cols: Sequence[str], keep_nulls: bool = False, **tables) -> DataFrame:
+    """Overwrite each selected column with its normalised text; null becomes empty, or stays null on demand.
 
     A selected name that is not in the table is skipped.
     """
+    text = (lambda c: c.cast("string")) if keep_nulls else null_to_empty
     present = [name for name in cols if name in df.columns]
-    return df.withColumns(
-        {name: normalize_text(null_to_empty(F.col(name)), **tables) for name in present}
-    )
+    return df.withColumns({name: normalize_text(text(F.col(name)), **tables) for name in present})

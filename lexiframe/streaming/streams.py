@@ -31,19 +31,21 @@ def stream_enrich(
     out: str,
     checkpoint: str,
     annotate: Callable[[DataFrame], DataFrame] | None = None,
+    keep_nulls: bool = False,
 ) -> StreamingQuery:
     """Normalise (and annotate) each row of a file stream and append it to Parquet.
 
     Every step works on one row, so the stream keeps no state. ``annotate`` may
-    use joins and aggregates; it then runs per micro-batch.
+    use joins and aggregates; it then runs per micro-batch. A null text becomes
+    empty, or stays null with ``keep_nulls``.
     """
     if annotate is None:
-        writer = normalize_columns(src, cols).writeStream.format("parquet").option("path", out)
+        writer = normalize_columns(src, cols, keep_nulls).writeStream.format("parquet").option("path", out)
     else:
 
         def write(batch: DataFrame, batch_id: int) -> None:
             # one folder per batch: a replayed batch replaces its own output
-            done = annotate(normalize_columns(batch, cols))
+            done = annotate(normalize_columns(batch, cols, keep_nulls))
             done.write.mode("overwrite").parquet(f"{out}/batch={batch_id}")
 
         writer = src.writeStream.foreachBatch(write)

@@ -3,6 +3,7 @@ from __future__ import annotations
 import random
 from datetime import datetime, timedelta
 
+import duckdb
 from pyspark.sql import functions as F
 
 from lexiframe.functions.normalize import normalize_text
@@ -84,3 +85,15 @@ def test_a_folder_of_documents_is_normalised_whole(spark, sf, tmp_path):
     docs.repartition(3).write.parquet(str(tmp_path / "documents.parquet"))
     run = all_queries()[0]["stream_enrich"]
     assert sorted(run(spark, str(tmp_path)).collect()) == sorted(run(spark, sf).collect())
+
+
+def test_null_texts_stay_null_as_in_sql(spark, tmp_path):
+    texts = [None, "", " ", "A  <b>b</b>", None, "BTW it's www.x.io"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    docs.coalesce(1).write.parquet(str(tmp_path / "documents.parquet"))
+    runs, checks = all_queries()
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/documents.parquet/*.parquet'")
+    got = sorted(tuple(r) for r in runs["stream_enrich"](spark, str(tmp_path)).collect())
+    assert got == sorted(con.execute(checks["stream_enrich"]).fetchall())
+    assert [i for i, text in got if text is None] == [0, 4]
