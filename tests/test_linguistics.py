@@ -182,3 +182,15 @@ def test_embedding_makes_tokens_once(spark):
     found = {r.id: np.array(r.embedding) for r in out.collect()}
     assert np.isclose(np.linalg.norm(found[1]), 1) and np.isclose(np.linalg.norm(found[2]), 1)
     assert not found[3].any() and not found[4].any() and len(found[4]) == 8
+
+
+def test_only_wanted_annotations_are_made(spark):
+    rows = [(1, "en", "She never loved 3 good, badly painted houses. Not cities!"), (2, "fr", "Le chat"), (3, None, None), (4, "xx", "the")]
+    table = spark.createDataFrame(rows, "id long, lang string, text string")
+    whole, some = (O.with_tokens(table, "text", "lang", heads=True, **o) for o in ({}, {"fields": ["pos"]}))
+    names = some.schema["tokens"].dataType.elementType.names
+    assert "lemma" not in names and "morph" not in names
+    read = lambda df: sorted(tuple(r) for r in O.token_rows(df, "id").select("id", *names).collect())
+    assert read(some) == read(whole)
+    tags = O.tagged_rows(O.with_tokens(table, "text", "lang"), "id").select("id", "tok_id", "pos", "is_stop").collect()
+    assert sorted(map(tuple, tags)) == sorted(map(tuple, O.token_rows(whole, "id").select("id", "tok_id", "pos", "is_stop").collect()))
