@@ -95,6 +95,20 @@ def test_graph(spark):
     }
 
 
+def test_content_words_without_tokens(spark):
+    texts = ["The Cat. sat?of 12 the mat", "cafe\u0301 of the caf\u00e9 x_y", "", None, "aa\u0301 bb.cc! \u03a3\u0391\u03a3 \u0130x"]
+    rows = [(k, lang, t) for k, t in enumerate(texts) for lang in ("en", "de", None)]
+    docs = spark.createDataFrame([(f"{k}{lang}", lang, t) for k, lang, t in rows], "id string, lang string, text string")
+    words = {"en": ["the", "of"], "de": ["cat"]}
+    plain = O.with_tokens(docs, "text", "lang", words=words)
+    short = O.with_content_words(docs, "text", "lang", words=words)
+    want = {r.id: r.w for r in plain.select("id", L.content(F.col(O.TOKENS))["lower"].alias("w")).collect()}
+    assert {r.id: r[O.WORDS_COLUMN] for r in short.collect()} == want and want["0de"] == ["the", "sat", "of", "the", "mat"]
+    for step in (K.cooccurrence_edges, K.pagerank):
+        got = sorted(step(short.select("id", O.WORDS_COLUMN), "id").collect())
+        assert got and got == sorted(step(plain.select("id", O.TOKENS), "id").collect())
+
+
 def slow_pagerank(words):
     """One document, one node at a time."""
     links = {}
