@@ -6,6 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from lexiframe.functions import linguistics as L
 from lexiframe.operators import gazetteer as Z
 from lexiframe.operators import linguistics as O
 
@@ -62,3 +63,18 @@ def test_plan_moves_no_document(spark):
     names = spark.createDataFrame([("new york", "A")], "phrase string, label string")
     plan = O.match_entities(docs, "id", names)._jdf.queryExecution().executedPlan().toString()
     assert "Exchange" not in plan
+
+
+@pytest.mark.parametrize("shard_bytes", [1 << 20, 20])
+def test_entities_of_texts_without_tokens(spark, shard_bytes):
+    texts = ["In New York. York! NEW YORK city", "nothing", "", None, "new\nyork? new"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "id long, text string")
+    names = spark.createDataFrame([("new york", "A"), ("york", "B")], "phrase string, label string")
+    plain = Z.with_hits(O.with_tokens(docs, "text"), names, F.col(O.TOKENS)["lower"])
+    want = plain.select("id", L.entity_string(Z.entities(F.col("hits"), F.col(O.TOKENS)["text"]), "text").alias("entities"))
+    out = O.text_entities(docs, "text", names, "text", shard_bytes=shard_bytes)
+    assert out.columns == ["id", "entities"]
+    assert sorted(out.collect()) == sorted(want.collect())
+    assert out.filter("id = 0").first().entities == "New York -> A , York -> B , NEW YORK -> A"
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert "struct<tok_id" not in plan and "is_stop" not in plan
