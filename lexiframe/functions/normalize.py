@@ -15,6 +15,10 @@ from lexiframe.functions import lexicons
 from lexiframe.functions.columns import MAYBE_RARE_WS, RARE_WS, WS, let, replace_words
 
 HTML_TAG = "(?d)<.*?>"
+# white space that is not one plain space; leaves the many single spaces alone
+UNEVEN_WS = r"\s(?:\s+|(?<! ))"
+# marks that the last step turns into spaces (the first two) or drops
+MARKS = ":_\"'"
 URL = f"https?://[^{WS}]+|www\\.[^{WS}]+"
 # a word with inner apostrophes, or a stretch between words
 CONTRACTION_PIECE = r"[\p{L}\p{N}_]+(?:['’][\p{L}\p{N}_]+)*|[^\p{L}\p{N}_]+"
@@ -60,8 +64,12 @@ def expand_contractions(c: Column, table: Mapping[str, str] | None = None) -> Co
 def expand_chat_words(c: Column, table: Mapping[str, str] | None = None) -> Column:
     """Expand chat shorthand that stands alone between spaces; words are re-joined by one space."""
     table = table or lexicons.CHAT_WORDS
-    words = F.split(collapse_ws(c), " ")
-    return F.array_join(F.transform(words, lambda w: replace_words(w, F.upper(w), table)), " ")
+    longest = max(map(len, table), default=0)  # upper case is never shorter
+
+    def word(w: Column) -> Column:
+        return F.when(F.length(w) <= longest, replace_words(w, F.upper(w), table)).otherwise(w)
+
+    return F.array_join(F.transform(F.split(collapse_ws(c), " "), word), " ")
 
 
 def demojize(c: Column, names: Mapping[int, str] | None = None) -> Column:
@@ -97,6 +105,11 @@ def strip_quotes(c: Column) -> Column:
     return F.translate(c, "\"'", "")
 
 
+def plain_marks(c: Column) -> Column:
+    """Both steps above at once."""
+    return F.when(c.rlike(f"[{MARKS}]"), F.translate(c, MARKS, "  ")).otherwise(c)
+
+
 def plain_spaces(c: Column) -> Column:
     """Turn the whitespace Java's ``\\s`` does not know into plain spaces."""
     return F.when(c.rlike(MAYBE_RARE_WS), F.regexp_replace(c, f"[{RARE_WS}]", " ")).otherwise(c)
@@ -104,7 +117,7 @@ def plain_spaces(c: Column) -> Column:
 
 def collapse_ws(c: Column) -> Column:
     """One space between words, none at the ends."""
-    return F.trim(F.regexp_replace(plain_spaces(c), r"\s+", " "))
+    return F.trim(F.regexp_replace(plain_spaces(c), UNEVEN_WS, " "))
 
 
 def normalize_text(
@@ -127,7 +140,7 @@ def normalize_text(
     value = F.lower(c)
     for step in steps:
         value = let(value, step)
-    return let(strip_quotes(split_colon_underscore(value)), collapse_ws)
+    return let(let(value, plain_marks), collapse_ws)
 
 
 def normalize_columns(df: DataFrame, cols: Sequence[str], keep_nulls: bool = False, **tables) -> DataFrame:

@@ -7,7 +7,7 @@ from collections.abc import Mapping
 from pyspark.sql import SparkSession
 
 from lexiframe.functions import cells, lexicons, normalize
-from lexiframe.functions.columns import RARE_WS, WS
+from lexiframe.functions.columns import MAYBE_RARE_WS, RARE_WS, WS
 
 
 def _text(value: str) -> str:
@@ -28,7 +28,7 @@ def _replaced(word: str, key: str, table: Mapping[str, str]) -> str:
 
 def bodies() -> dict[str, tuple[str, str, str]]:
     """Name -> (parameters, result type, body)."""
-    ws_run, rare = _text(r"\s+"), _text(f"[{RARE_WS}]")
+    ws_run, rare = _text(normalize.UNEVEN_WS), _text(f"[{RARE_WS}]")
     emoji = lexicons.emoji_names()
     names = {chr(cp): f":{name.replace(' ', '_')}:" for cp, name in emoji.items()}
     emoji_table = f"str_to_map({_text(chr(10).join(f'{k}{chr(9)}{v}' for k, v in names.items()))}, '\\n', '\\t')"
@@ -37,28 +37,39 @@ def bodies() -> dict[str, tuple[str, str, str]]:
                            {_text(normalize.EMOJI_PIECE)}, 0),
         p -> coalesce(element_at({emoji_table}, p), p))"""
     contraction = _replaced("p", "lower(translate(p, '’', \"'\"))", lexicons.contractions())
-    squeezed = f"trim(regexp_replace(regexp_replace(c, {rare}, ' '), {ws_run}, ' '))"
+    spaced = f"if(c rlike {_text(MAYBE_RARE_WS)}, regexp_replace(c, {rare}, ' '), c)"
+    squeezed = f"trim(regexp_replace({spaced}, {ws_run}, ' '))"
+    longest = max(map(len, lexicons.CHAT_WORDS))
+    chat_word = f"if(length(w) <= {longest}, {_replaced('w', 'upper(w)', lexicons.CHAT_WORDS)}, w)"
+    contracted = f"array_join(transform(regexp_extract_all(c, {_text(normalize.CONTRACTION_PIECE)}, 0), p -> {contraction}), '')"
     blank = f"(c is null or not c rlike {_text(f'[^{WS}]')})"
     return {
         "collapse_ws": ("c STRING", "STRING", squeezed),
-        "strip_html": ("c STRING", "STRING", f"regexp_replace(c, {_text(normalize.HTML_TAG)}, '')"),
-        "strip_urls": ("c STRING", "STRING", f"regexp_replace(c, {_text(normalize.URL)}, '')"),
+        "strip_html": ("c STRING", "STRING", f"if(contains(c, '<'), regexp_replace(c, {_text(normalize.HTML_TAG)}, ''), c)"),
+        "strip_urls": (
+            "c STRING", "STRING",
+            f"if(contains(c, 'http') or contains(c, 'www.'), regexp_replace(c, {_text(normalize.URL)}, ''), c)",
+        ),
         "expand_contractions": (
             "c STRING", "STRING",
-            f"array_join(transform(regexp_extract_all(c, {_text(normalize.CONTRACTION_PIECE)}, 0), p -> {contraction}), '')",
+            f"if(contains(c, '\\'') or contains(c, '’'), {contracted}, c)",
         ),
         "expand_chat_words": (
             "c STRING", "STRING",
-            f"array_join(transform(split(collapse_ws(c), ' '), w -> {_replaced('w', 'upper(w)', lexicons.CHAT_WORDS)}), ' ')",
+            f"array_join(transform(split(collapse_ws(c), ' '), w -> {chat_word}), ' ')",
         ),
         "demojize": (
             "c STRING", "STRING",
             f"if(c rlike {_text(f'[{normalize.EMOJI_CLASS}]')}, array_join({pieces}, ''), c)",
         ),
+        "plain_marks": (
+            "c STRING", "STRING",
+            f"if(c rlike {_text(f'[{normalize.MARKS}]')}, translate(c, {_text(normalize.MARKS)}, '  '), c)",
+        ),
         "normalize_text": (
             "c STRING", "STRING",
-            "collapse_ws(translate(demojize(expand_chat_words(expand_contractions("
-            "strip_urls(strip_html(lower(c)))))), ':_\"\\'', '  '))",
+            "collapse_ws(plain_marks(demojize(expand_chat_words(expand_contractions("
+            "strip_urls(strip_html(lower(c))))))))",
         ),
         "is_valid_header": (
             "cells ARRAY<STRING>", "BOOLEAN",

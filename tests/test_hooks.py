@@ -41,3 +41,18 @@ def test_sql_functions_agree_with_columns(spark):
         " round(cosine(array(float(1), float(0)), array(float(1), float(1))), 4) AS c"
     ).first()
     assert (row.h, row.n, row.c) == (True, False, 0.7071)
+
+
+def test_sql_functions_rewrite_only_what_needs_it(spark):
+    register_functions(spark)
+    texts = ["a  b", " a\tb ", "a b c", "\n", "", None, "a\u00a0 b\u2003\u2003c", "x \x1f\ny", "h\u00e9 \x0b\u3000 z ", "a:b_c \"d' e"]
+    rows = spark.createDataFrame([(t,) for t in texts], "t string")
+    names = ["collapse_ws", "strip_html", "strip_urls", "expand_contractions", "expand_chat_words", "demojize", "normalize_text"]
+    out = rows.select("t", *(F.expr(f"{n}(t)").alias(n) for n in names), normalize_text(F.col("t")).alias("column"))
+    for r in out.collect():
+        squeezed = None if r.t is None else " ".join(r.t.split())
+        assert (r.collapse_ws, r.expand_chat_words) == (squeezed, squeezed)
+        assert (r.strip_html, r.strip_urls, r.expand_contractions, r.demojize) == (r.t, r.t, r.t, r.t)
+        assert r.normalize_text == r.column
+    for name in ("strip_html", "strip_urls", "expand_contractions"):
+        assert "contains" in rows.select(F.expr(f"{name}(t)"))._jdf.queryExecution().optimizedPlan().toString().lower()
