@@ -216,9 +216,12 @@ def _whole_sets(rows: DataFrame, counts: np.ndarray) -> DataFrame:
 
 
 def candidates(reps: DataFrame) -> DataFrame:
-    """Pairs (a, b) of lines, a not longer than b, that pass the prefix, length and position filters."""
-    placed = reps.select("rep", "n", F.posexplode("prefix").alias("place", "token")).filter("token <> 0")
-    rows = placed.select("token", "rep", (F.col("n").cast("long") * _PLACE + F.col("place")).alias("size"))
+    """Pairs (a, b) of lines, a not longer than b, that pass the prefix, length and position filters and the first bitmap.
+
+    The rows carry half the bitmap, so that most pairs go inside the join, before any is shuffled.
+    """
+    placed = reps.select("rep", "n", "bits0", F.posexplode("prefix").alias("place", "token")).filter("token <> 0")
+    rows = placed.select("token", "rep", (F.col("n").cast("long") * _PLACE + F.col("place")).alias("size"), "bits0")
     # the same rows on both sides: they are shuffled once and read twice
     sizes = {c: F.col(f"{c}.size") for c in "xy"}
     n = {c: F.shiftright(size, 24) for c, size in sizes.items()}
@@ -229,7 +232,8 @@ def candidates(reps: DataFrame) -> DataFrame:
         & ((n["x"] < n["y"]) | ((n["x"] == n["y"]) & (F.col("x.rep") < F.col("y.rep"))))
         & (n["x"] * UNDER >= n["y"] * OVER)
         # |x & y| / |x | y| >= OVER / UNDER  means  |x & y| * (OVER + UNDER) >= (|x| + |y|) * OVER
-        & (F.least(left["x"], left["y"]) * (OVER + UNDER) >= (n["x"] + n["y"]) * OVER),
+        & (F.least(left["x"], left["y"]) * (OVER + UNDER) >= (n["x"] + n["y"]) * OVER)
+        & (F.bit_count(F.col("x.bits0").bitwiseXOR(F.col("y.bits0"))) * (OVER + UNDER) <= (n["x"] + n["y"]) * (UNDER - OVER)),
     )
     return pairs.select(F.col("x.rep").alias("a"), F.col("y.rep").alias("b")).distinct()
 

@@ -38,3 +38,14 @@ def test_a_hot_line(spark):
     rows = [(k, f"the very same line in every text\nown w{k} x{k} y{k} z{k}") for k in range(400)]
     out = L.repeated_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect()
     assert {(r.doc_id > 0, tuple(r.removed)) for r in out} == {(False, ()), (True, (0,))}
+
+
+def test_candidates_are_few(spark):
+    """Lines that share rare tokens only are told apart inside the join; no similar pair goes with them."""
+    rng = random.Random(5)
+    lines = [" ".join([f"r{k % 20}", f"s{k % 20}", *rng.sample([f"w{j}" for j in range(400)], 14)]) for k in range(400)]
+    lines += [f"{line} more" for line in lines[:50]]
+    docs = spark.createDataFrame([(k, t.encode()) for k, t in enumerate(lines)], "doc_id long, text binary")
+    found = L.lines_of(docs, L.token_counts(docs.select("text"))).withColumnRenamed("doc_id", "rep")
+    pairs = {(r.a, r.b) for r in L.candidates(found).collect()}
+    assert {(k, 400 + k) for k in range(50)} <= pairs and len(pairs) < 100
