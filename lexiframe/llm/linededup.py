@@ -8,6 +8,11 @@ out inside the join, the rest is verified on the whole sets.
 
 Equal lines are one representative before the join, so a line that stands in a
 third of all documents meets nobody.
+
+A line goes for one earlier match, so a group of similar lines need not be paired in
+full. Lines that share a min-hash key first meet the earliest line with that key
+alone; those that are similar to it are settled. The join then makes only pairs with a
+line that is not settled. No line is judged by a key: what the keys miss, the join finds.
 """
 
 from __future__ import annotations
@@ -31,8 +36,12 @@ OVER, UNDER = 4, 5
 #: a little more frequent; the order stays the same for all lines, so the join stays exact.
 COUNTERS, ROW_COUNTERS = 1 << 20, 1 << 12
 _PLACE = 1 << 24
-#: Longs of the bitmap that every line's tokens are hashed into.
-BITMAP = 2
+#: Longs of the bitmap that every line's tokens are hashed into: half into the first, which the
+#: candidate join carries, the rest shared among the others.
+BITMAP = 3
+#: Min-hash keys of a line, and the minima in each, of the rarer half of its tokens. Halves with similarity J
+#: share one with probability 1 - (1 - J ** MINIMA) ** KEYS: 0.98 for 0.9.
+KEYS, MINIMA = 3, 3
 #: Bits of a line number inside a portion, of a frequency class, and of a token's hash behind them.
 _LINE, _CLASS, _HASH = 12, 8, 44
 
@@ -142,13 +151,32 @@ def _set_keys(owner: np.ndarray, tokens: np.ndarray, lines: int) -> list[pa.Arra
 def _bitmaps(owner: np.ndarray, tokens: np.ndarray, lines: int) -> np.ndarray:
     """lines x BITMAP longs with a bit for each token."""
     where = mix(tokens ^ np.uint64(0xA0761D6478BD642F))
+    share = (where >> np.uint64(6)) % np.uint64(2 * BITMAP - 2)
     out = np.zeros((lines, BITMAP), np.uint64)
     for k in range(BITMAP):
-        here = (where >> np.uint64(6)) % np.uint64(BITMAP) == k
+        here = share >= BITMAP - 1 if k == 0 else share == k - 1
         out[:, k] = _summed(owner[here], np.uint64(1) << (where[here] & np.uint64(63)), lines, np.bitwise_or)
     return out.view(np.int64)
 
 
+def _min_hashes(owner: np.ndarray, tokens: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """lines x KEYS longs, each of MINIMA tokens of the rarer half that come first in an order of their own.
+
+    Frequent tokens bring together lines that have little else in common.
+    """
+    out = np.zeros((len(n), KEYS), np.uint64)
+    rarer = np.arange(len(owner)) - np.repeat(np.cumsum(n) - n, n) < ((n + 1) // 2)[owner]
+    owner, tokens = owner[rarer], tokens[rarer]
+    if len(owner):
+        begins = np.flatnonzero(np.diff(owner, prepend=-1))
+        mixed = mix(tokens ^ np.uint64(0xE7037ED1A0B428DB))
+        odd = mix(np.arange(1, KEYS * MINIMA + 1, dtype=np.uint64)) | np.uint64(1)
+        for k, factor in enumerate(odd):
+            at = (owner[begins], k // MINIMA)
+            out[at] = mix(out[at] ^ np.minimum.reduceat(mixed * factor, begins))
+    return out.view(np.int64)
+
+
 def _prefixes(owner, tokens, n) -> tuple[np.ndarray, np.ndarray]:
     """The prefix of every line that can have a partner other than itself, as 32-bit tokens.
 
@@ -164,11 +192,12 @@ def _prefixes(owner, tokens, n) -> tuple[np.ndarray, np.ndarray]:
 
 
 def lines_of(rows: DataFrame, counts: np.ndarray) -> DataFrame:
-    """One row per line of (doc_id, text): digest of the text, line, key of its token set, n, bitmap, prefix."""
+    """One row per line of (doc_id, text): digest of the text, line, key of its token set, n, bitmap, prefix, min-hash keys."""
     id_field = rows.schema.fields[0]
     fields = [
         ("digest", T.LongType()), ("line", T.IntegerType()), ("high", T.LongType()), ("low", T.LongType()),
         ("n", T.IntegerType()), *((f"bits{k}", T.LongType()) for k in range(BITMAP)), ("prefix", T.ArrayType(T.IntegerType())),
+        ("keys", T.ArrayType(T.LongType())),
     ]
     schema = T.StructType([id_field, *(T.StructField(*f) for f in fields)])
     shared = rows.sparkSession.sparkContext.broadcast(_classes(counts))  # COUNTERS bytes
@@ -185,11 +214,13 @@ def lines_of(rows: DataFrame, counts: np.ndarray) -> DataFrame:
                 digests = np.array([xxhash.xxh64_intdigest(t) for t in texts[a:b]], np.uint64).view(np.int64)
                 ends = np.concatenate(([0], np.cumsum(size))).astype(np.int32)
                 maps = _bitmaps(owner, tokens, len(n))
+                keys = _min_hashes(owner, tokens, n).ravel()
                 yield pa.RecordBatch.from_arrays(
                     [
                         batch.column(0).slice(a, b - a).take(pa.array(doc)), pa.array(digests[doc]), pa.array(number.astype(np.int32)),
                         *_set_keys(owner, tokens, len(n)), pa.array(n.astype(np.int32)), *(pa.array(maps[:, k].copy()) for k in range(BITMAP)),
                         pa.ListArray.from_arrays(pa.array(ends), pa.array(prefix)),
+                        pa.ListArray.from_arrays(pa.array(np.arange(0, len(keys) + 1, KEYS, dtype=np.int32)), pa.array(keys)),
                     ],
                     schema.names,
                 )
@@ -215,17 +246,41 @@ def _whole_sets(rows: DataFrame, counts: np.ndarray) -> DataFrame:
     return rows.mapInArrow(run, "high long, low long, tokens array<long>").filter(F.size("tokens") > 0)
 
 
-def candidates(reps: DataFrame) -> DataFrame:
+def to_earliest(reps: DataFrame) -> DataFrame:
+    """Pairs (a, b): line b beside the earliest line a that has a min-hash key of b, if their bitmaps may be similar.
+
+    One row per line and key at most, however many lines share a key.
+    """
+    bits = [f"bits{k}" for k in range(BITMAP)]
+    keyed = reps.select("rep", F.explode("keys").alias("key"))
+    shared = stored(keyed.groupBy("key").agg(F.count("*").alias("lines")).filter("lines > 1").select("key"), "shared-keys")
+    some = stored(keyed.join(shared, "key"), "shared-key-lines")
+    some = stored(some.join(reps.select("rep", "first", "n", *bits), "rep"), "shared-key-sizes")
+    earliest = stored(some.groupBy("key").agg(F.min(F.struct("first", "rep", "n", *bits)).alias("x")), "earliest-lines")
+    differ = sum((F.bit_count(F.col(f"x.{name}").bitwiseXOR(F.col(name))) for name in bits), F.lit(0))
+    tried = some.select("key", "rep", "n", *bits).join(earliest, "key").filter(F.col("rep") != F.col("x.rep"))
+    tried = tried.filter(differ * (OVER + UNDER) <= (F.col("x.n") + F.col("n")) * (UNDER - OVER))
+    return tried.select(F.col("x.rep").alias("a"), F.col("rep").alias("b")).distinct()
+
+
+def candidates(reps: DataFrame, settled: DataFrame | None = None) -> DataFrame:
     """Pairs (a, b) of lines, a not longer than b, that pass the prefix, length and position filters and the first bitmap.
 
-    The rows carry half the bitmap, so that most pairs go inside the join, before any is shuffled.
+    Pairs of two ``settled`` lines (rep) are left out; ``asks`` is 1 if a is not settled, 2 if b is not, 3 if both. The rows carry half the bitmap, so
+    that most pairs go inside the join, before any is shuffled.
     """
-    placed = reps.select("rep", "n", "bits0", F.posexplode("prefix").alias("place", "token")).filter("token <> 0")
-    rows = placed.select("token", "rep", (F.col("n").cast("long") * _PLACE + F.col("place")).alias("size"), "bits0")
+    reps = reps.select("rep", "n", "bits0", "prefix")
+    if settled is None:
+        reps = reps.withColumn("open", F.lit(1))
+    else:
+        reps = reps.join(settled.select("rep", F.lit(0).alias("open")), "rep", "left").withColumn("open", F.coalesce("open", F.lit(1)))
+    placed = reps.select("rep", "n", "bits0", "open", F.posexplode("prefix").alias("place", "token")).filter("token <> 0")
+    size = (F.col("n").cast("long") * _PLACE + F.col("place")) * 2 + F.col("open")
+    rows = placed.select("token", "rep", size.alias("size"), "bits0")
     # the same rows on both sides: they are shuffled once and read twice
     sizes = {c: F.col(f"{c}.size") for c in "xy"}
-    n = {c: F.shiftright(size, 24) for c, size in sizes.items()}
-    left = {c: n[c] - size.bitwiseAND(_PLACE - 1) for c, size in sizes.items()}  # tokens from the shared one on
+    n = {c: F.shiftright(size, 25) for c, size in sizes.items()}
+    left = {c: n[c] - F.shiftright(size, 1).bitwiseAND(_PLACE - 1) for c, size in sizes.items()}  # tokens from the shared one on
     pairs = rows.alias("x").join(
         rows.alias("y"),
         (F.col("x.token") == F.col("y.token"))
@@ -233,26 +288,47 @@ def candidates(reps: DataFrame) -> DataFrame:
         & (n["x"] * UNDER >= n["y"] * OVER)
         # |x & y| / |x | y| >= OVER / UNDER  means  |x & y| * (OVER + UNDER) >= (|x| + |y|) * OVER
         & (F.least(left["x"], left["y"]) * (OVER + UNDER) >= (n["x"] + n["y"]) * OVER)
-        & (F.bit_count(F.col("x.bits0").bitwiseXOR(F.col("y.bits0"))) * (OVER + UNDER) <= (n["x"] + n["y"]) * (UNDER - OVER)),
+        & (F.bit_count(F.col("x.bits0").bitwiseXOR(F.col("y.bits0"))) * (OVER + UNDER) <= (n["x"] + n["y"]) * (UNDER - OVER))
+        & (sizes["x"].bitwiseOR(sizes["y"]).bitwiseAND(1) == 1),
     )
-    return pairs.select(F.col("x.rep").alias("a"), F.col("y.rep").alias("b")).distinct()
+    asks = sizes["x"].bitwiseAND(1) + sizes["y"].bitwiseAND(1) * 2
+    return pairs.select(F.col("x.rep").alias("a"), F.col("y.rep").alias("b"), asks.cast("int").alias("asks")).distinct()
 
 
 def _overlapping(pairs: DataFrame, reps: DataFrame) -> DataFrame:
-    """The pairs whose bitmaps leave enough tokens in common.
+    """The pairs whose bitmaps leave enough tokens in common, the earlier line as a, if the later one is not settled.
 
     Every bit that only one line has stands for a token that only one line has, so
     no similar pair is lost.
     """
     bits = [f"bits{k}" for k in range(BITMAP)]
-    one = reps.select(F.col("rep").alias("a"), F.struct("n", *bits).alias("x"))
-    two = reps.select(F.col("rep").alias("b"), F.struct("n", *bits).alias("y"))
+    one = reps.select(F.col("rep").alias("a"), F.struct("n", "first", *bits).alias("x"))
+    two = reps.select(F.col("rep").alias("b"), F.struct("n", "first", *bits).alias("y"))
     differ: Column = F.lit(0)
     for name in bits:
         differ = differ + F.bit_count(F.col(f"x.{name}").bitwiseXOR(F.col(f"y.{name}")))
-    joined = pairs.join(one, "a").join(two, "b")
     # |x ^ y| = |x| + |y| - 2 |x & y|
-    return joined.filter(differ * (OVER + UNDER) <= (F.col("x.n") + F.col("y.n")) * (UNDER - OVER)).select("a", "b")
+    joined = pairs.join(one, "a").join(two, "b").filter(differ * (OVER + UNDER) <= (F.col("x.n") + F.col("y.n")) * (UNDER - OVER))
+    ordered = F.col("x.first") < F.col("y.first")
+    joined = joined.filter(F.col("asks").bitwiseAND(F.when(ordered, 2).otherwise(1)) != 0)
+    earlier, later = F.when(ordered, F.col("a")).otherwise(F.col("b")), F.when(ordered, F.col("b")).otherwise(F.col("a"))
+    return joined.select(earlier.alias("a"), later.alias("b"))
+
+
+def _ends(pairs: DataFrame) -> DataFrame:
+    return pairs.select(F.col("a").alias("rep")).unionByName(pairs.select(F.col("b").alias("rep"))).distinct()
+
+
+def _sets_of(rows: DataFrame, counts: np.ndarray, asked: DataFrame) -> DataFrame:
+    """(rep, tokens) of the lines of ``asked`` (rep, high, low, wanted: the id of a document they are in)."""
+    blocks = filter_blocks(asked.count())
+    # only documents that may be wanted are cut, and only lines whose key may be among those asked for go on
+    homes = stored(bloom_filter(asked.select(F.xxhash64("wanted").alias("cell")), blocks), "asked-homes")
+    bloom = stored(bloom_filter(asked.select(F.col("low").alias("cell")), blocks), "asked-filter")
+    texts = maybe_repeated(rows.withColumn("cell", F.xxhash64("doc_id")), homes, blocks).filter("maybe").select("doc_id", "text")
+    some = maybe_repeated(_whole_sets(texts, counts).withColumn("cell", F.col("low")), bloom, blocks).filter("maybe")
+    sets = some.join(asked.select("rep", "high", "low"), ["high", "low"]).groupBy("rep").agg(F.first("tokens").alias("tokens"))
+    return stored(sets.withColumn("tokens", F.array_distinct("tokens")), "asked-sets")
 
 
 def similar(pairs: DataFrame, sets: DataFrame) -> DataFrame:
@@ -285,27 +361,21 @@ def repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     distinct = lines.filter("n > 0").groupBy("high", "low").agg(
         F.min(here).alias("first"), F.count("*").alias("times"), F.first("n").alias("n"),
         *(F.first(f"bits{k}").alias(f"bits{k}") for k in range(BITMAP)), F.first("prefix").alias("prefix"),
+        F.first("keys").alias("keys"),
     )
     reps = stored(distinct.withColumn("rep", F.monotonically_increasing_id()), "line-sets")
 
-    pairs = stored(_overlapping(candidates(reps), reps), "line-candidates")
-    asked = pairs.select(F.col("a").alias("rep")).unionByName(pairs.select(F.col("b").alias("rep"))).distinct()
-    asked = stored(reps.join(asked, "rep").select("rep", "high", "low", F.col("first.doc_id").alias("wanted")), "asked-lines")
-    homes = asked.select("wanted").distinct()
-    texts = rows.join(homes, F.col("doc_id").eqNullSafe(F.col("wanted")), "left_semi")
-    # only lines whose key may be among those asked for go on
-    blocks = filter_blocks(asked.count())
-    bloom = stored(bloom_filter(asked.select(F.col("low").alias("cell")), blocks), "asked-filter")
-    some = maybe_repeated(_whole_sets(texts, counts).withColumn("cell", F.col("low")), bloom, blocks).filter("maybe")
-    sets = some.join(asked.select("rep", "high", "low"), ["high", "low"]).groupBy("rep").agg(F.first("tokens").alias("tokens"))
-    sets = stored(sets.withColumn("tokens", F.array_distinct("tokens")), "asked-sets")
+    wanted = reps.select("rep", "high", "low", F.col("first.doc_id").alias("wanted"))
+    tried = stored(to_earliest(reps), "line-tries")
+    known = _sets_of(rows, counts, stored(wanted.join(_ends(tried), "rep"), "asked-lines"))
+    settled = stored(similar(tried, known).select(F.col("b").alias("rep")).distinct(), "settled-lines")
+
+    pairs = stored(_overlapping(candidates(reps, settled), reps), "line-candidates")
+    more = _ends(pairs).join(known.select("rep"), "rep", "left_anti")
+    sets = known.unionByName(_sets_of(rows, counts, stored(wanted.join(more, "rep"), "asked-lines")))
     links = stored(similar(pairs, sets), "similar-lines")
 
-    order = reps.select("rep", "first")
-    both = links.join(order.withColumnsRenamed({"rep": "a", "first": "fa"}), "a").join(
-        order.withColumnsRenamed({"rep": "b", "first": "fb"}), "b"
-    )
-    late = both.select(F.when(F.col("fa") < F.col("fb"), F.col("b")).otherwise(F.col("a")).alias("rep")).distinct()
+    late = links.select(F.col("b").alias("rep")).unionByName(settled).distinct()
     status = reps.select("rep", "high", "low", "first", "times").join(late.withColumn("late", F.lit(True)), "rep", "left")
     status = stored(status.filter("times > 1 OR late").select("high", "low", "first", "late"), "line-status")
 

@@ -49,3 +49,20 @@ def test_candidates_are_few(spark):
     found = L.lines_of(docs, L.token_counts(docs.select("text"))).withColumnRenamed("doc_id", "rep")
     pairs = {(r.a, r.b) for r in L.candidates(found).collect()}
     assert {(k, 400 + k) for k in range(50)} <= pairs and len(pairs) < 100
+
+
+def test_a_group_is_not_paired_in_full(spark, monkeypatch):
+    """Lines that are all similar: one earlier match settles a line, so their pairs do not number its square."""
+    words = [f"w{j}" for j in range(40)]
+    rows = [(k, " ".join([*words[: k % 40], f"x{k}", *words[k % 40 + 1 :]])) for k in range(300)]
+    made, stored = {}, L.stored
+
+    def counted(df, name, *more):
+        out = stored(df, name, *more)
+        made[name] = out.count()
+        return out
+
+    monkeypatch.setattr(L, "stored", counted)
+    got = L.repeated_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted((r.doc_id, r.n_lines, list(r.removed)) for r in got) == plain.lines(rows)
+    assert made["line-candidates"] < 300 * 30 and made["similar-lines"] < 300 * 30
