@@ -73,6 +73,68 @@ def test_stretches(monkeypatch, cells):
             assert [heads[k] for k in part if heads[k] not in part] == first
 
 
+def whole(table, kinds, tags):
+    """The best tree from full span tables."""
+    return H.span_trees(*H.arc_scores(table, kinds[None], tags[None]))[0]
+
+
+def words_of(rng, n, scale):
+    size = len(G.kinds())
+    table = (scale * rng.normal(size=(size, size))).astype(np.float32)
+    return table, rng.integers(0, size, n), rng.integers(0, len(G.TAGS), n)
+
+
+def test_long_sentences_are_parsed_whole():
+    lengths = np.array([60, 3, 97, 49, 48, 1])
+    starts = np.cumsum(lengths) - lengths
+    table, kinds, tags = words_of(np.random.default_rng(1), lengths.sum(), 1.0)
+    heads = H.sentence_heads(table, kinds, tags, starts, lengths)
+    for a, n in zip(starts, lengths):
+        assert (heads[a : a + n] - a == whole(table, kinds[a : a + n], tags[a : a + n])).all()
+
+
+@pytest.mark.parametrize("scale", [0.0, 0.3, 1.0, 6.0])
+@pytest.mark.parametrize("band", [1, 5, 40])
+def test_bands_that_are_enough_give_the_best_tree(monkeypatch, scale, band):
+    """Also where long links are worth it, and where many trees are equal."""
+    rng = np.random.default_rng(int(scale * 10) + band)
+    lengths = np.array([70, 51, 90])
+    table, kinds, tags = words_of(rng, lengths.sum(), scale)
+    used, spans = [], H._spans
+
+    def watched(*args):
+        used.append((len(args[1]), args[-1], spans(*args)[2]))
+        return spans(*args)
+
+    monkeypatch.setattr(H, "_spans", watched)
+    heads = H.long_trees(table, kinds, tags, lengths, band)
+    for a, n in zip(np.cumsum(lengths) - lengths, lengths):
+        assert (heads[a : a + n] - a == whole(table, kinds[a : a + n], tags[a : a + n])).all()
+    if scale == 6:  # doubled up to the sentence
+        assert {b for _, b, _ in used} >= {69, 50, 89}
+    if scale == 0 and band == 40:  # shown for each sentence
+        assert {b for _, b, _ in used} == {40}
+
+
+def test_a_link_across_a_long_sentence_is_found():
+    """One pair of words far apart is worth more than the distance costs; no stretch or band may hide it."""
+    n, size = 120, len(G.kinds())
+    table = np.zeros((size, size), np.float32)
+    table[1, 2] = 200
+    kinds, tags = np.zeros(n, np.int64), np.full(n, G.TAGS.index("NOUN"))
+    kinds[2], kinds[110] = 1, 2
+    heads = H.sentence_heads(table, kinds, tags, np.array([0]), np.array([n]))
+    assert heads[110] == 2 or heads[2] == 110
+    assert (heads == whole(table, kinds, tags)).all()
+
+
+def test_time_and_memory_of_a_very_long_sentence():
+    """Tables of 20,000 words squared would not fit."""
+    table, kinds, tags = words_of(np.random.default_rng(2), 20_000, 0.3)
+    heads = H.sentence_heads(table, kinds, tags, np.array([0]), np.array([20_000]))
+    assert (heads == np.arange(20_000)).sum() == 1
+
+
 def test_counts(spark):
     docs = L.with_tokens(spark.createDataFrame([(1, "the good dog. the good cat!"), (2, "the dog"), (3, None)], "id long, text string"), "text")
     names = G.kinds()
