@@ -107,6 +107,27 @@ def test_scores_as_plain(monkeypatch, docs, pairs, held, own):
         assert a[0] == b[0] and np.isclose(a[1], b[1], rtol=1e-9, atol=1e-6)
 
 
+@pytest.mark.parametrize("held,own", [(3, 2), (40, 20), (C.HELD_WORDS, C.OWN_WORDS)])
+def test_every_pair_of_neighbours_counts(monkeypatch, docs, pairs, held, own):
+    """Also those of two words that tasks do not hold."""
+    monkeypatch.setattr(C, "OWN_WORDS", own)
+    model, counts, classes = fitted(docs, held)
+    steps = np.full((C.CLASSES, C.CLASSES), C.CLASS_ADDED)
+    for d, t in pairs:
+        if plain.remainder(d, 10):
+            ws = [" ", *plain.words(t), " "]
+            for a, b in zip(ws, ws[1:]):
+                steps[classes[a], classes[b]] += 1
+    assert np.allclose(model.step, np.log10(steps / steps.sum(1, keepdims=True)))
+
+
+def test_pairs_of_rare_words(spark):
+    texts = spark.createDataFrame([(b"x a b a the b b b",), (b"b",), (b"a",), (b"the",), (b"",)], "text binary")
+    others = spark.createDataFrame([(b"x", 1), (b"a", 2), (b"b", 3)], "word binary, class int")
+    found = C.rare_pairs(C.coded(texts, [b"the", C.END]), others).collect()
+    assert {(r["before"], r["class"]): r.n for r in found} == {(1, 2): 1, (2, 3): 1, (3, 2): 1, (3, 3): 2}
+
+
 def test_every_word_goes_where_it_is_likeliest(docs, pairs):
     texts = docs.select(F.col("text").cast("binary"))
     classes = {b" ": 0, b"beta": 1, b"word": 2, b"same": 3, b"b": 4, b"w1x1": 5}
