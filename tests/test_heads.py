@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from lexiframe.operators import heads as H
 from lexiframe.operators import linguistics as L
 from lexiframe.operators import tagger as G
+from lexiframe.plans.models import parsed_docs
 
 
 def trees(n):
@@ -162,6 +163,23 @@ def test_with_heads(spark):
     assert {r.c0: r.tokens for r in H.with_heads(nulls, H.association(docs)).collect()}[1] is None
 
 
+def test_links_need_no_lemmas(spark):
+    """The same links from tokens with word classes only, as the queries store them."""
+    rows = spark.createDataFrame([(1, "The service was not good. I loved the good food!"), (2, None)], "id long, text string")
+    found = []
+    for fields in (["pos"], ["pos", "lemma", "morph"]):
+        docs = L.with_tokens(rows, "text", annotate=True, fields=fields)
+        out = H.with_heads(docs, H.association(docs), fields=fields)
+        found.append([[(t.text, t.pos, t.dep, t.head_tok_id) for t in r.tokens] for r in out.orderBy("id").collect()])
+        assert [f.name for f in out.schema["tokens"].dataType.elementType.fields][6:] == [*fields, "dep", "head_tok_id"]
+    assert found[0] == found[1] and len(found[0][0]) == 12
+
+
+def test_stored_tokens_hold_what_trees_read(spark, sf):
+    names = [f.name for f in parsed_docs(spark, sf).schema["tokens"].dataType.elementType.fields]
+    assert names == ["tok_id", "sent_id", "text", "lower", "is_alpha", "is_stop", "pos", "dep", "head_tok_id"]
+
+
 def test_tokens_stay_where_they_are(spark):
     """Only texts, sentences and classes go to the parser, and learning reads numbers, not tokens."""
     docs = L.with_tokens(spark.createDataFrame([(1, "I loved the good food!")], "id long, text string"), "text", annotate=True)
